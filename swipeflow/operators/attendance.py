@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import (
-    ceil_minutes, hhmm, normalize_io, over, round_minutes, second_of_work_day,
-    swipe_timestamp, under, web_capped, work_date,
+    ceil_minutes, hhmm, normalize_io, over, plus_seconds, round_minutes,
+    second_of_work_day, swipe_timestamp, under, web_capped, work_date,
 )
 
 # Total order of swipes inside one employee-day: time, then direction, then
@@ -145,8 +145,8 @@ def day_measures(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFram
     d = d.select(
         "Employee_No", "Employee_Name", "work_date",
         first_io.alias("first_io"), last_io.alias("last_io"),
-        F.timestamp_add("SECOND", F.col("fe_in"), day0).alias("min_in_ts"),
-        F.timestamp_add("SECOND", F.col("le_out"), day0).alias("max_out_ts"),
+        plus_seconds(day0, F.col("fe_in")).alias("min_in_ts"),
+        plus_seconds(day0, F.col("le_out")).alias("max_out_ts"),
         F.col("first.first_type").alias("first_swipe_type"),
         inside.cast("long").alias("in_seconds"),
         outside.cast("long").alias("out_seconds"),

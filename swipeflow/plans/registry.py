@@ -37,3 +37,170 @@ def gold_attendance(spark, sf_dir):
 @register("gold_attendance_sparse", O.gold_sql("sparse"))
 def gold_attendance_sparse(spark, sf_dir):
     return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse"))
+
+
+# ------------------------------------------------------------------ cleaning
+from ..operators import clean as C  # noqa: E402
+from ..operators import conform as S  # noqa: E402
+from ..functions import columns as FN  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+_RAW_DIRTY = O.raw_fixture("sparse", dirty=True, duplicates=True)
+_RAW_TEXT = O.raw_fixture("sparse", dirty=True, swipe_as_text=True)
+_K = O.q("Employee No")
+_RAW_COLS = ", ".join(O.q(c) for c in O.RAW_NAMES)
+
+
+def raw_dirty(spark, sf_dir):
+    return FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, duplicates=True)
+
+
+def bronze_df(spark, sf_dir):
+    return C.clean_bronze(raw_dirty(spark, sf_dir))
+
+
+_BRONZE = O.bronze_from("raw")
+_SILVER_CAST = O.silver_cast_from("bronze")
+
+
+@register("clean_dropna", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw WHERE {_K} IS NOT NULL")
+def clean_dropna(spark, sf_dir):
+    return C.drop_missing_key(raw_dirty(spark, sf_dir))
+
+
+@register("clean_cast_trim",
+          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE (trim(CAST({_K} AS VARCHAR)) AS {_K}) "
+          f"FROM raw WHERE {_K} IS NOT NULL")
+def clean_cast_trim(spark, sf_dir):
+    return C.cast_trim(C.drop_missing_key(raw_dirty(spark, sf_dir)))
+
+
+@register("clean_regex_filter",
+          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE (trim(CAST({_K} AS VARCHAR)) AS {_K}) "
+          f"FROM raw WHERE {_K} IS NOT NULL AND regexp_matches(trim({_K}), '[a-zA-Z0-9]')")
+def clean_regex_filter(spark, sf_dir):
+    return C.keep_word_keys(C.cast_trim(C.drop_missing_key(raw_dirty(spark, sf_dir))))
+
+
+@register("clean_metrics", f"""WITH raw AS ({_RAW_TEXT}),
+p AS (SELECT {_K} AS k, TRY_CAST(trim("Swipe Date") AS TIMESTAMP) AS sw FROM raw),
+c AS (SELECT
+    CAST(COUNT(*) AS BIGINT) AS initial_rows,
+    CAST(COUNT(*) FILTER (WHERE k IS NULL) AS BIGINT) AS null_key,
+    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND NOT regexp_matches(trim(k), '[a-zA-Z0-9]')) AS BIGINT)
+        AS no_word_key,
+    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND regexp_matches(trim(k), '[a-zA-Z0-9]') AND sw IS NULL)
+        AS BIGINT) AS bad_swipe_date,
+    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND regexp_matches(trim(k), '[a-zA-Z0-9]')
+        AND sw IS NOT NULL) AS BIGINT) AS final_rows
+  FROM p)
+SELECT *, initial_rows - final_rows AS removed_rows FROM c""")
+def clean_metrics(spark, sf_dir):
+    raw = FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, swipe_as_text=True)
+    return C.cleaning_counts(C.parse_swipe(raw))
+
+
+@register("parse_swipe_ts", f"""WITH raw AS ({_RAW_TEXT})
+SELECT trim({_K}) AS Employee_No, "Swipe Date" AS swipe_text,
+       TRY_CAST(trim("Swipe Date") AS TIMESTAMP) AS swipe_ts,
+       TRY_CAST(trim("Swipe Date") AS TIMESTAMP) IS NULL AS quarantined
+FROM raw WHERE {_K} IS NOT NULL AND regexp_matches(trim({_K}), '[a-zA-Z0-9]')""")
+def parse_swipe_ts(spark, sf_dir):
+    raw = FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, swipe_as_text=True)
+    raw = C.keep_word_keys(C.cast_trim(C.drop_missing_key(raw)))
+    parsed = C.parse_swipe(raw.withColumn("swipe_text", F.col("`Swipe Date`")))
+    return parsed.select(
+        F.col("`Employee No`").alias("Employee_No"), "swipe_text",
+        F.col("`Swipe Date`").alias("swipe_ts"),
+        F.col("`Swipe Date`").isNull().alias("quarantined"))
+
+
+@register("date_bounds", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT MIN(Date) AS start_date, MAX(Date) AS end_date, CAST(COUNT(*) AS BIGINT) AS rows FROM bronze""")
+def date_bounds(spark, sf_dir):
+    return bronze_df(spark, sf_dir).agg(
+        F.min("Date").alias("start_date"), F.max("Date").alias("end_date"),
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("date_parts", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT Employee_No, Swipe_Date, Date, time, Year, Day, Month_short_name, Month_Number FROM bronze""")
+def date_parts(spark, sf_dir):
+    return bronze_df(spark, sf_dir).select(
+        "Employee_No", "Swipe_Date", "Date", "time", "Year", "Day", "Month_short_name", "Month_Number")
+
+
+@register("rename_columns", f"WITH raw AS ({_RAW_DIRTY}) SELECT " + ", ".join(
+    f"{O.q(r)} AS {t}" for r, t in zip(O.RAW_NAMES, O.TABLE_NAMES)) + " FROM raw")
+def rename_columns(spark, sf_dir):
+    return C.rename_columns(raw_dirty(spark, sf_dir))
+
+
+# --- fixed values: extra export headers used to exercise the name sanitizer ---
+EXTRA_HEADERS = {"Badge #": "Badge", "Site (HQ)": "Site_HQ", "__Floor__": "Floor", "%": "col"}
+
+
+@register("sanitize_columns", f"""WITH raw AS ({_RAW_DIRTY})
+SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, "Access Card" AS Badge,
+       "Door/Address" AS Site_HQ, "Location Type" AS Floor, "Remarks" AS col FROM raw""")
+def sanitize_columns(spark, sf_dir):
+    raw = raw_dirty(spark, sf_dir).select(
+        "`Employee No`", "`Swipe Date`",
+        F.col("`Access Card`").alias("Badge #"), F.col("`Door/Address`").alias("Site (HQ)"),
+        F.col("`Location Type`").alias("__Floor__"), F.col("Remarks").alias("%"))
+    return C.rename_columns(raw)
+
+
+@register("sanitize_values", f"""WITH raw AS ({_RAW_DIRTY}),
+s AS (SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date,
+      regexp_replace(regexp_replace(regexp_replace(Remarks, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'),
+                     '^_+|_+$', '', 'g') AS v FROM raw)
+SELECT Employee_No, Swipe_Date, CASE WHEN v = '' THEN 'col' ELSE v END AS remarks_name FROM s""")
+def sanitize_values(spark, sf_dir):
+    raw = raw_dirty(spark, sf_dir)
+    return raw.select(F.col("`Employee No`").alias("Employee_No"), F.col("`Swipe Date`").alias("Swipe_Date"),
+                      FN.sanitize_value(F.col("Remarks")).alias("remarks_name"))
+
+
+@register("bronze_clean", f"WITH raw AS ({_RAW_DIRTY}) {_BRONZE}")
+def bronze_clean(spark, sf_dir):
+    return bronze_df(spark, sf_dir)
+
+
+# -------------------------------------------------------------------- silver
+@register("silver_cast", f"WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE}) {_SILVER_CAST}")
+def silver_cast(spark, sf_dir):
+    return S.silver_cast(bronze_df(spark, sf_dir))
+
+
+@register("digits_only", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT Employee_No, Swipe_Date, Access_Card AS card_raw,
+       regexp_replace(Access_Card, '[^0-9]', '', 'g') AS card_digits FROM bronze""")
+def digits_only(spark, sf_dir):
+    b = bronze_df(spark, sf_dir)
+    return b.select("Employee_No", "Swipe_Date", F.col("Access_Card").alias("card_raw"),
+                    FN.digits_only(F.col("Access_Card")).alias("card_digits"))
+
+
+# --- fixed values: the calendar range used by the range queries ---
+RANGE_START, RANGE_END = "2024-01-08", "2024-01-21"
+
+
+@register("filter_date_between", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT * FROM bronze WHERE Date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'""")
+def filter_date_between(spark, sf_dir):
+    return bronze_df(spark, sf_dir).where(F.col("Date").between(F.lit(RANGE_START).cast("date"),
+                                                               F.lit(RANGE_END).cast("date")))
+
+
+@register("dedup_latest", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE}), sc AS ({_SILVER_CAST})
+{O.dedup_from('sc')}""")
+def dedup_latest(spark, sf_dir):
+    return S.dedup_latest(S.silver_cast(bronze_df(spark, sf_dir)))
+
+
+@register("silver_conform", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE}),
+sc AS ({_SILVER_CAST.replace('FROM bronze', f"FROM bronze WHERE Date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'")})
+{O.dedup_from('sc')}""")
+def silver_conform(spark, sf_dir):
+    return S.conform_silver(bronze_df(spark, sf_dir), RANGE_START, RANGE_END)

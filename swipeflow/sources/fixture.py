@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import plus_seconds, time_text, whole_seconds
 from ..schemas import RAW_SCHEMA, SILVER_SCHEMA
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -48,7 +49,7 @@ def _io() -> Column:
 
 def _base(events: DataFrame, density: str) -> DataFrame:
     emp = _employee(density)
-    swipe = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    swipe = whole_seconds(F.col("ts"))
     return events.select(
         F.col("event_id"),
         emp.alias("emp"),
@@ -59,13 +60,20 @@ def _base(events: DataFrame, density: str) -> DataFrame:
         F.col("value"),
         F.col("props"),
     ).withColumn(
-        "received", F.timestamp_add("MINUTE", F.col("event_id") % RECEIVED_LAG_MOD, F.col("swipe"))
+        "received", plus_seconds(F.col("swipe"), (F.col("event_id") % RECEIVED_LAG_MOD) * 60)
     )
 
 
 def raw_swipes(events: DataFrame, density: str = "sparse", dirty: bool = False,
-               duplicates: bool = False, keep_event_id: bool = False) -> DataFrame:
-    """Rows shaped like a raw swipe export (the 18 header names)."""
+               duplicates: bool = False, keep_event_id: bool = False,
+               swipe_as_text: bool = False) -> DataFrame:
+    """Rows shaped like a raw swipe export (the 18 header names).
+
+    ``dirty`` adds the cleaning cases (NULL / punctuation-only / padded keys,
+    a padded direction); ``duplicates`` re-sends every tenth swipe a day
+    later; ``swipe_as_text`` gives ``Swipe Date`` as text with some
+    unparseable values, as a CSV export would.
+    """
     b = _base(events, density)
     emp = F.col("emp")
     io = F.col("io_raw")
@@ -97,16 +105,22 @@ def raw_swipes(events: DataFrame, density: str = "sparse", dirty: bool = False,
         "Signed In/Out By": null_s,
         "Received On": F.col("received"),
     }
-    sel = [cols[f.name].cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
+    types = {f.name: f.dataType for f in RAW_SCHEMA.fields}
+    if swipe_as_text:
+        cols["Swipe Date"] = F.when(F.col("event_id") % DIRTY_EVERY == 4, F.lit("not a date")) \
+            .otherwise(F.col("swipe").cast("string"))
+        types["Swipe Date"] = None  # already text
+    sel = [(cols[n] if types[n] is None else cols[n].cast(types[n])).alias(n) for n in RAW_SCHEMA.fieldNames()]
     if keep_event_id:
         sel.append(F.col("event_id"))
     out = b.select(*sel)
     if duplicates:
         redo = b.where(F.col("event_id") % DUPLICATE_EVERY == 0)
         cols2 = dict(cols)
-        cols2["Received On"] = F.timestamp_add("DAY", F.lit(1), F.col("received"))
+        cols2["Received On"] = plus_seconds(F.col("received"), F.lit(86400))
         cols2["Remarks"] = F.lit("v2")
-        sel2 = [cols2[f.name].cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
+        sel2 = [(cols2[n] if types[n] is None else cols2[n].cast(types[n])).alias(n)
+                for n in RAW_SCHEMA.fieldNames()]
         if keep_event_id:
             sel2.append(F.col("event_id"))
         out = out.unionByName(redo.select(*sel2))
@@ -131,10 +145,10 @@ def silver_swipes(events: DataFrame, density: str = "dense") -> DataFrame:
         "Swipe_Date": sw.cast("string"),
         "Year": F.year(sw),
         "Day": F.dayofmonth(sw),
-        "Month_short_name": F.date_format(sw, "MMM"),
+        "Month_short_name": F.date_format(F.to_date(sw), "MMM"),
         "Month_Number": F.month(sw),
         "Date": F.to_date(sw),
-        "time": F.date_format(sw, "HH:mm:ss"),
+        "time": time_text(sw),
         "Door_Address": null_s,
         "In_Out": F.col("io_raw"),
         "Longitude": F.col("value"),
