@@ -204,3 +204,208 @@ sc AS ({_SILVER_CAST.replace('FROM bronze', f"FROM bronze WHERE Date BETWEEN DAT
 {O.dedup_from('sc')}""")
 def silver_conform(spark, sf_dir):
     return S.conform_silver(bronze_df(spark, sf_dir), RANGE_START, RANGE_END)
+
+
+# ------------------------------------------------------------ gold, by stage
+from ..operators import islands as I  # noqa: E402
+
+_DAY_KEYS = "Employee_No, work_date"
+
+
+def swipes_dense(spark, sf_dir):
+    return A.approved_swipes(silver_fixture(spark, sf_dir, "dense"))
+
+
+def day_dense(spark, sf_dir):
+    return A.day_measures(swipes_dense(spark, sf_dir))
+
+
+@register("filter_approved", O.stage_sql(
+    "SELECT Employee_No, Employee_Name, swipe_ts, work_date, io, Swipe_Type, Swipe_Date FROM swipes"))
+def filter_approved(spark, sf_dir):
+    return swipes_dense(spark, sf_dir).select(
+        "Employee_No", "Employee_Name", "swipe_ts", "work_date", "io", "Swipe_Type", "Swipe_Date")
+
+
+_TS_SQL = "strptime(strftime(Date, '%Y-%m-%d') || ' ' || time, '%Y-%m-%d %H:%M:%S')"
+
+
+@register("build_swipe_ts", f"""WITH silver AS ({O.silver_fixture('dense')})
+SELECT Employee_No, Swipe_Date, Date, time, {_TS_SQL} AS swipe_ts FROM silver""")
+def build_swipe_ts(spark, sf_dir):
+    s = silver_fixture(spark, sf_dir, "dense")
+    return s.select("Employee_No", "Swipe_Date", "Date", "time",
+                    FN.swipe_timestamp(F.col("Date"), F.col("time")).alias("swipe_ts"))
+
+
+@register("work_date_cutoff", f"""WITH silver AS ({O.silver_fixture('dense')}),
+t AS (SELECT Employee_No, Swipe_Date, {_TS_SQL} AS swipe_ts FROM silver)
+SELECT Employee_No, Swipe_Date, swipe_ts,
+       CASE WHEN hour(swipe_ts) < 5 THEN CAST(swipe_ts AS DATE) - 1 ELSE CAST(swipe_ts AS DATE) END
+           AS work_date FROM t""")
+def work_date_cutoff(spark, sf_dir):
+    s = silver_fixture(spark, sf_dir, "dense")
+    ts = FN.swipe_timestamp(F.col("Date"), F.col("time"))
+    return s.select("Employee_No", "Swipe_Date", ts.alias("swipe_ts"),
+                    FN.work_date(ts).alias("work_date"))
+
+
+@register("normalize_io", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT Employee_No, Swipe_Date, In_Out, upper(trim(In_Out)) AS io,
+       In_Out IN ('In', 'Out', 'IN', 'OUT') AS accepted_raw,
+       upper(trim(In_Out)) IN ('IN', 'OUT') AS accepted_normalized FROM bronze""")
+def normalize_io(spark, sf_dir):
+    b = bronze_df(spark, sf_dir)
+    io = FN.normalize_io(F.col("In_Out"))
+    return b.select("Employee_No", "Swipe_Date", "In_Out", io.alias("io"),
+                    F.col("In_Out").isin("In", "Out", "IN", "OUT").alias("accepted_raw"),
+                    io.isin("IN", "OUT").alias("accepted_normalized"))
+
+
+@register("islands_lag", O.stage_sql(
+    "SELECT Employee_No, work_date, swipe_ts, io, Swipe_Date, prev_io_sw AS prev_io, "
+    "is_start = 1 AS is_start, grp FROM islands"))
+def islands_lag(spark, sf_dir):
+    return I.islands_lag(swipes_dense(spark, sf_dir)).select(
+        "Employee_No", "work_date", "swipe_ts", "io", "Swipe_Date", "prev_io", "is_start", "grp")
+
+
+@register("islands_rownum", O.stage_sql(f"""SELECT Employee_No, work_date, swipe_ts, io, Swipe_Date,
+    CAST(ROW_NUMBER() OVER ({O.DAY_PART} ORDER BY {O.SWIPE_ORDER}) AS BIGINT) AS rn_all,
+    CAST(ROW_NUMBER() OVER (PARTITION BY Employee_No, work_date, io ORDER BY {O.SWIPE_ORDER}) AS BIGINT)
+        AS rn_io,
+    CAST(ROW_NUMBER() OVER ({O.DAY_PART} ORDER BY {O.SWIPE_ORDER})
+       - ROW_NUMBER() OVER (PARTITION BY Employee_No, work_date, io ORDER BY {O.SWIPE_ORDER}) AS BIGINT)
+        AS grp
+FROM swipes"""))
+def islands_rownum(spark, sf_dir):
+    return I.islands_rownum(swipes_dense(spark, sf_dir)).select(
+        "Employee_No", "work_date", "swipe_ts", "io", "Swipe_Date", "rn_all", "rn_io", "grp")
+
+
+def collapsed_dense(spark, sf_dir):
+    return I.collapse(I.islands_lag(swipes_dense(spark, sf_dir)))
+
+
+@register("collapse_islands", O.stage_sql(
+    "SELECT Employee_No, work_date, io, grp, Employee_Name, effective_ts FROM collapsed"))
+def collapse_islands(spark, sf_dir):
+    return collapsed_dense(spark, sf_dir).select(
+        "Employee_No", "work_date", "io", "grp", "Employee_Name", "effective_ts")
+
+
+@register("collapsed_seq", O.stage_sql(
+    "SELECT Employee_No, work_date, io, effective_ts, seq FROM ordered_collapsed"))
+def collapsed_seq(spark, sf_dir):
+    return collapsed_dense(spark, sf_dir).select("Employee_No", "work_date", "io", "effective_ts", "seq")
+
+
+@register("first_last_value", O.stage_sql(
+    "SELECT Employee_No, work_date, seq, io, first_io_temp, last_io_temp FROM windows"))
+def first_last_value(spark, sf_dir):
+    return I.first_last_value(collapsed_dense(spark, sf_dir)).select(
+        "Employee_No", "work_date", "seq", "io", "first_io_temp", "last_io_temp")
+
+
+@register("pair_lead_lag", O.stage_sql(
+    "SELECT Employee_No, work_date, seq, io, effective_ts, end_ts, end_io, prev_io FROM pairs"))
+def pair_lead_lag(spark, sf_dir):
+    return I.pairs(collapsed_dense(spark, sf_dir)).select(
+        "Employee_No", "work_date", "seq", "io", "effective_ts", "end_ts", "end_io", "prev_io")
+
+
+@register("in_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM in_durs"))
+def in_intervals(spark, sf_dir):
+    return I.in_intervals(I.pairs(collapsed_dense(spark, sf_dir)))
+
+
+@register("out_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM out_durs"))
+def out_intervals(spark, sf_dir):
+    return I.out_intervals(I.pairs(collapsed_dense(spark, sf_dir)))
+
+
+@register("sum_in_seconds", O.stage_sql("SELECT * FROM agg_in"))
+def sum_in_seconds(spark, sf_dir):
+    return I.sum_seconds(I.in_intervals(I.pairs(collapsed_dense(spark, sf_dir))), "in_seconds")
+
+
+@register("sum_out_seconds", O.stage_sql("SELECT * FROM agg_out"))
+def sum_out_seconds(spark, sf_dir):
+    return I.sum_seconds(I.out_intervals(I.pairs(collapsed_dense(spark, sf_dir))), "out_seconds")
+
+
+@register("day_first_last", O.stage_sql("SELECT * FROM first_last"))
+def day_first_last(spark, sf_dir):
+    return I.day_first_last(collapsed_dense(spark, sf_dir)).drop("min_in_sec", "max_out_sec")
+
+
+@register("first_swipe", O.stage_sql("SELECT * FROM first_swipe"))
+def first_swipe(spark, sf_dir):
+    return I.first_swipe(swipes_dense(spark, sf_dir))
+
+
+_FINAL = O.stage_sql("SELECT * FROM final_calculations")
+
+
+@register("left_join_day_measures", _FINAL)
+def left_join_day_measures(spark, sf_dir):
+    return I.day_measures_joined(swipes_dense(spark, sf_dir))
+
+
+@register("day_measures_salted", _FINAL)
+def day_measures_salted(spark, sf_dir):
+    return day_dense(spark, sf_dir)
+
+
+@register("gold_attendance_joined", O.gold_sql("dense"))
+def gold_attendance_joined(spark, sf_dir):
+    return A.gold_columns(I.day_measures_joined(swipes_dense(spark, sf_dir)))
+
+
+@register("coalesce_zero", O.stage_sql(
+    "SELECT Employee_No, work_date, in_seconds, out_seconds FROM final_calculations"))
+def coalesce_zero(spark, sf_dir):
+    return day_dense(spark, sf_dir).select(*A.DAY, "in_seconds", "out_seconds")
+
+
+@register("raw_full_span", O.stage_sql(
+    "SELECT Employee_No, work_date, first_io, last_io, raw_full_span_seconds FROM final_calculations"))
+def raw_full_span(spark, sf_dir):
+    return day_dense(spark, sf_dir).select(*A.DAY, "first_io", "last_io", "raw_full_span_seconds")
+
+
+@register("filter_has_swipe", O.stage_sql(
+    "SELECT Employee_No, work_date, min_in_ts, max_out_ts FROM final_calculations"))
+def filter_has_swipe(spark, sf_dir):
+    return day_dense(spark, sf_dir).select(*A.DAY, "min_in_ts", "max_out_ts")
+
+
+@register("web_cap", O.measured_projection(
+    "Employee_No, work_date, first_swipe_type, in_seconds, in_cap, raw_full_span_seconds, span_cap"))
+def web_cap(spark, sf_dir):
+    d = day_dense(spark, sf_dir)
+    t = F.col("first_swipe_type")
+    return d.select(*A.DAY, "first_swipe_type", "in_seconds",
+                    FN.web_capped(F.col("in_seconds"), t).alias("in_cap"), "raw_full_span_seconds",
+                    FN.web_capped(F.col("raw_full_span_seconds"), t).alias("span_cap"))
+
+
+def _gold_cols(cols):
+    def q(spark, sf_dir):
+        return A.gold_columns(day_dense(spark, sf_dir)).select(*A.DAY, *cols)
+    return q
+
+
+for _name, _cols in {
+    "sign_in_method": ["sign_in_method"],
+    "swipe_status": ["swipe_status"],
+    "in_out_time": ["in_time", "out_time"],
+    "format_hhmm": ["in_duration", "out_duration", "full_span"],
+    "productive_ot_sf": ["Productive_Overtime", "Productive_Shortfall"],
+    "overall_ot_sf": ["Overall_Overtime", "Overall_Shortfall"],
+    "minute_of_day": ["in_time_minutes", "out_time_minutes"],
+    "duration_minutes": ["in_duration_minutes", "out_duration_minutes"],
+    "ot_sf_minutes": ["Productive_Overtime_Minutes", "Productive_Shortfall_Minutes",
+                      "Overall_Overtime_Minutes", "Overall_Shortfall_Minutes"],
+}.items():
+    register(_name, O.gold_projection(", ".join([_DAY_KEYS, *_cols])))(_gold_cols(_cols))
