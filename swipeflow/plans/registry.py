@@ -409,3 +409,126 @@ for _name, _cols in {
                       "Overall_Overtime_Minutes", "Overall_Shortfall_Minutes"],
 }.items():
     register(_name, O.gold_projection(", ".join([_DAY_KEYS, *_cols])))(_gold_cols(_cols))
+
+
+# ------------------------------------------------------------------ upserts
+from ..operators import upsert as U  # noqa: E402
+from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_MINUTE_COLUMNS, GOLD_SCHEMA  # noqa: E402
+from ..session import work_path  # noqa: E402
+from . import batch as B  # noqa: E402
+
+
+def _batches(spark, sf_dir):
+    ev = FX.read_events(spark, sf_dir)
+    return FX.raw_batch(ev, 1), FX.raw_batch(ev, 2)
+
+
+def _bronze_two(spark, sf_dir):
+    """Upsert both batches into a fresh bronze table; returns (path, second result)."""
+    path = work_path(spark, "bronze")
+    r1, r2 = _batches(spark, sf_dir)
+    U.upsert(spark, path, C.clean_bronze(r1), BRONZE_KEYS, "Date", latest="Received_On")
+    res = U.upsert(spark, path, C.clean_bronze(r2), BRONZE_KEYS, "Date", latest="Received_On")
+    return path, res
+
+
+def _chain_two(spark, sf_dir):
+    root = work_path(spark, "medallion")
+    t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    r1, r2 = _batches(spark, sf_dir)
+    B.run_batch(spark, r1, t)
+    res2 = B.run_batch(spark, r2, t)
+    return t, res2
+
+
+_BRONZE_COLS = ", ".join(O.BRONZE_NAMES)
+
+
+@register("upsert_bronze", f"SELECT {_BRONZE_COLS} FROM ({O.bronze_after_two()})")
+def upsert_bronze(spark, sf_dir):
+    path, _ = _bronze_two(spark, sf_dir)
+    return U.read_table(spark, path).select(*O.BRONZE_NAMES)
+
+
+@register("upsert_action_counts", f"""WITH b1 AS ({O.bronze_batch(1)}), b2 AS ({O.bronze_batch(2)}),
+t AS (SELECT * FROM b1 WHERE Date IN (SELECT DISTINCT Date FROM b2)),
+j AS (SELECT CASE WHEN t.Employee_No IS NULL THEN 'insert'
+                  WHEN b2.Employee_No IS NULL THEN 'target_only'
+                  WHEN {' OR '.join(f't.{c} IS DISTINCT FROM b2.{c}' for c in O.BRONZE_NAMES
+                                   if c not in ('Employee_No', 'Swipe_Date'))} THEN 'update'
+                  ELSE 'unchanged' END AS a
+      FROM t FULL OUTER JOIN b2 ON t.Employee_No = b2.Employee_No AND t.Swipe_Date = b2.Swipe_Date)
+SELECT CAST(COUNT(*) FILTER (WHERE a = 'insert') AS BIGINT) AS insert,
+       CAST(COUNT(*) FILTER (WHERE a = 'update') AS BIGINT) AS update,
+       CAST(COUNT(*) FILTER (WHERE a = 'unchanged') AS BIGINT) AS unchanged,
+       CAST(COUNT(*) FILTER (WHERE a = 'target_only') AS BIGINT) AS target_only
+FROM j""")
+def upsert_action_counts(spark, sf_dir):
+    _, res = _bronze_two(spark, sf_dir)
+    return U.action_counts(spark.read.parquet(res.staging))
+
+
+@register("change_detect", f"""WITH b1 AS ({O.bronze_batch(1)}), b2 AS ({O.bronze_batch(2)})
+SELECT COALESCE(b1.Employee_No, b2.Employee_No) AS Employee_No,
+       COALESCE(b1.Swipe_Date, b2.Swipe_Date) AS Swipe_Date,
+       CASE WHEN b1.Employee_No IS NULL THEN 'insert' WHEN b2.Employee_No IS NULL THEN 'target_only'
+            WHEN {' OR '.join(f'b1.{c} IS DISTINCT FROM b2.{c}' for c in O.BRONZE_NAMES
+                             if c not in ('Employee_No', 'Swipe_Date'))} THEN 'update'
+            ELSE 'unchanged' END AS _action
+FROM b1 FULL OUTER JOIN b2 ON b1.Employee_No = b2.Employee_No AND b1.Swipe_Date = b2.Swipe_Date""")
+def change_detect(spark, sf_dir):
+    r1, r2 = _batches(spark, sf_dir)
+    b1 = U.dedup_by(C.clean_bronze(r1), BRONZE_KEYS, "Received_On")
+    b2 = U.dedup_by(C.clean_bronze(r2), BRONZE_KEYS, "Received_On")
+    return U.merge_plan(b1, b2, BRONZE_KEYS).select(*BRONZE_KEYS, "_action")
+
+
+_SILVER_AFTER = O.silver_cast_from(f"({O.bronze_after_two()})")
+
+
+@register("upsert_silver", _SILVER_AFTER)
+def upsert_silver(spark, sf_dir):
+    t, _ = _chain_two(spark, sf_dir)
+    return U.read_table(spark, t.silver).select(*O.SILVER_NAMES)
+
+
+def _gold_after_two_sql() -> str:
+    g2 = O.gold_over(_SILVER_AFTER)
+    g1 = O.gold_over(O.silver_cast_from(f"({O.bronze_batch(1)})"))
+    return f"""SELECT * FROM ({g2})
+UNION ALL
+SELECT * FROM ({g1}) g1 WHERE NOT EXISTS (
+    SELECT 1 FROM ({g2}) g2 WHERE g2.Employee_No = g1.Employee_No AND g2.work_date = g1.work_date)"""
+
+
+@register("upsert_gold", _gold_after_two_sql())
+def upsert_gold(spark, sf_dir):
+    t, _ = _chain_two(spark, sf_dir)
+    return U.read_table(spark, t.gold, GOLD_SCHEMA)
+
+
+_COERCED = ", ".join(["Employee_No", "Employee_Name", "work_date", "sign_in_method", "swipe_status",
+                      "in_time", "out_time", "in_duration", "out_duration", "full_span",
+                      "Productive_Overtime", "Productive_Shortfall", "Overall_Overtime",
+                      "Overall_Shortfall"]
+                     + [f"CAST(COALESCE(TRY_CAST({c} AS DOUBLE), 0) AS BIGINT) AS {c}"
+                        for c in GOLD_MINUTE_COLUMNS])
+
+
+def coerce_minutes_df(df):
+    return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("long")
+                           for c in GOLD_MINUTE_COLUMNS})
+
+
+@register("medallion_two_batches", f"""SELECT {_COERCED} FROM ({_gold_after_two_sql()})
+WHERE work_date BETWEEN DATE '{FX.BATCH2_FROM}' AND (SELECT MAX(CAST(ts AS DATE)) FROM events)""")
+def medallion_two_batches(spark, sf_dir):
+    """Two overlapping loads through bronze, silver and gold; the report of
+    the second load (its date range, minute columns as integers)."""
+    t, res = _chain_two(spark, sf_dir)
+    return coerce_minutes_df(B.gold_for_range(spark, t, res.start_date, res.end_date))
+
+
+@register("coerce_minutes", f"SELECT {_COERCED} FROM ({O.gold_sql('dense')})")
+def coerce_minutes(spark, sf_dir):
+    return coerce_minutes_df(gold_attendance(spark, sf_dir))

@@ -164,3 +164,37 @@ def silver_swipes(events: DataFrame, density: str = "dense") -> DataFrame:
         "Received_On": F.col("received"),
     }
     return b.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in SILVER_SCHEMA.fields])
+
+
+# --- fixed values: two overlapping re-exports for the upsert scenarios ---
+BATCH1_BEFORE = "2024-01-20"  # batch 1: swipes before this day
+BATCH2_FROM = "2024-01-10"    # batch 2: swipes from this day on
+EDIT_EVERY = 4                # in the overlap, event_id % 4 = 0 comes back edited
+REJECT_EVERY = 8              # ... and event_id % 8 = 0 comes back Rejected
+# --- end of fixed values ---
+
+
+def raw_batch(events: DataFrame, n: int, density: str = "sparse") -> DataFrame:
+    """Batch 1 or 2 of a re-export: batch 2 overlaps batch 1 by ten days and
+    re-sends some overlapping swipes edited (``Remarks`` 'v2', received an
+    hour later) or rejected."""
+    ts = F.col("ts")
+    if n == 1:
+        ev = events.where(ts < F.lit(BATCH1_BEFORE).cast("timestamp_ntz"))
+    elif n == 2:
+        ev = events.where(ts >= F.lit(BATCH2_FROM).cast("timestamp_ntz"))
+    else:
+        raise ValueError("batch is 1 or 2")
+    raw = raw_swipes(ev, density, keep_event_id=True)
+    if n == 2:
+        overlap = F.col("`Swipe Date`") < F.lit(BATCH1_BEFORE).cast("timestamp_ntz")
+        eid = F.col("event_id")
+        edit = overlap & (eid % EDIT_EVERY == 0)
+        raw = raw.withColumns({
+            "Remarks": F.when(edit, F.lit("v2")).otherwise(F.col("Remarks")),
+            "Received On": F.when(edit, plus_seconds(F.col("`Received On`"), F.lit(3600)))
+                            .otherwise(F.col("`Received On`")),
+            "Status": F.when(overlap & (eid % REJECT_EVERY == 0), F.lit("Rejected"))
+                       .otherwise(F.col("Status")),
+        })
+    return raw.drop("event_id")
