@@ -44,6 +44,7 @@ from ..operators import clean as C  # noqa: E402
 from ..operators import conform as S  # noqa: E402
 from ..functions import columns as FN  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
 
 _RAW_DIRTY = O.raw_fixture("sparse", dirty=True, duplicates=True)
 _RAW_TEXT = O.raw_fixture("sparse", dirty=True, swipe_as_text=True)
@@ -532,3 +533,173 @@ def medallion_two_batches(spark, sf_dir):
 @register("coerce_minutes", f"SELECT {_COERCED} FROM ({O.gold_sql('dense')})")
 def coerce_minutes(spark, sf_dir):
     return coerce_minutes_df(gold_attendance(spark, sf_dir))
+
+
+# ------------------------------------------------------- sources and sinks
+from ..schemas import BRONZE_SCHEMA, RAW_SCHEMA, ddl  # noqa: E402
+from ..sources import files as IO  # noqa: E402
+from ..streaming import incremental as ST  # noqa: E402
+
+_BRONZE_DIRTY = f"WITH raw AS ({_RAW_DIRTY}) {_BRONZE}"
+
+
+@register("scan_csv_explicit_schema", _BRONZE_DIRTY)
+def scan_csv_explicit_schema(spark, sf_dir):
+    """Bronze staged as headerless, fully quoted CSV and read back with an
+    explicit schema (no inference pass)."""
+    b = bronze_df(spark, sf_dir)
+    path = IO.write_csv_quoted(b, work_path(spark, "staging-csv"), header=False)
+    return IO.read_csv(spark, path, ddl(b.schema), header=False)
+
+
+@register("sink_csv_quoted", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw")
+def sink_csv_quoted(spark, sf_dir):
+    """Raw export (names with spaces and slashes, text with quotes) through a
+    quoted CSV with header, read back."""
+    raw = raw_dirty(spark, sf_dir)
+    path = IO.write_csv_quoted(raw, work_path(spark, "export-csv"), header=True)
+    return IO.read_csv(spark, path, RAW_SCHEMA, header=True)
+
+
+@register("append_csv_merge_schema", f"""WITH raw AS ({_RAW_DIRTY})
+SELECT {_K} AS Employee_No, CAST("Swipe Date" AS VARCHAR) AS Swipe_Date, "In/Out" AS In_Out,
+       CASE WHEN "Swipe Date" >= TIMESTAMP '2024-01-15' THEN "Swipe Type" END AS Swipe_Type
+FROM raw""")
+def append_csv_merge_schema(spark, sf_dir):
+    """Two CSV loads with different headers appended to one Parquet table;
+    read back with merged schema (the first load has no Swipe_Type)."""
+    raw = raw_dirty(spark, sf_dir).select(
+        F.col("`Employee No`").alias("Employee_No"), F.col("`Swipe Date`").cast("string").alias("Swipe_Date"),
+        F.col("`In/Out`").alias("In_Out"), F.col("`Swipe Type`").alias("Swipe_Type"),
+        F.col("`Swipe Date`").alias("_ts"))
+    cut = F.col("_ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    a = IO.write_csv_quoted(raw.where(~cut).drop("_ts", "Swipe_Type"), work_path(spark, "load-a"))
+    b = IO.write_csv_quoted(raw.where(cut).drop("_ts"), work_path(spark, "load-b"))
+    table = work_path(spark, "appended")
+    IO.load_csv_append(spark, a, table)
+    IO.load_csv_append(spark, b, table)
+    return IO.read_merged(spark, table).select("Employee_No", "Swipe_Date", "In_Out", "Swipe_Type")
+
+
+def _gold_table(spark, sf_dir, density="sparse"):
+    """Gold of the sparse fixture written as a table partitioned by work_date."""
+    path = work_path(spark, "gold")
+    g = A.gold_attendance(silver_fixture(spark, sf_dir, density))
+    IO.create_if_missing(g, path, "work_date")
+    return path
+
+
+_GOLD_SPARSE = O.gold_sql("sparse")
+
+
+@register("scan_parquet", _GOLD_SPARSE)
+def scan_parquet(spark, sf_dir):
+    return U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA)
+
+
+@register("create_if_missing", _GOLD_SPARSE)
+def create_if_missing(spark, sf_dir):
+    """Second create of an existing table changes nothing (rows not doubled)."""
+    path = _gold_table(spark, sf_dir)
+    IO.create_if_missing(A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")), path, "work_date")
+    return U.read_table(spark, path, GOLD_SCHEMA)
+
+
+@register("schema_clone_empty", f"{_SILVER_CAST.replace('FROM bronze', f'FROM ({_BRONZE})')} LIMIT 0"
+          .replace("SELECT", f"WITH raw AS ({_RAW_DIRTY}) SELECT", 1))
+def schema_clone_empty(spark, sf_dir):
+    path = work_path(spark, "silver-clone")
+    IO.create_if_missing(S.silver_cast(bronze_df(spark, sf_dir)).limit(0), path)
+    return spark.read.schema(S.SILVER_SCHEMA).parquet(path)
+
+
+@register("table_count", f"SELECT CAST(COUNT(*) AS BIGINT) AS cnt FROM ({_BRONZE_DIRTY})")
+def table_count(spark, sf_dir):
+    return bronze_df(spark, sf_dir).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("exists_probe", f"SELECT 1 AS probe FROM ({_GOLD_SPARSE}) LIMIT 1")
+def exists_probe(spark, sf_dir):
+    return U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA).select(F.lit(1).alias("probe")).limit(1)
+
+
+@register("gold_range_read", f"""SELECT * FROM ({_GOLD_SPARSE})
+WHERE work_date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}' ORDER BY Employee_No, work_date""")
+def gold_range_read(spark, sf_dir):
+    t = B.Tables("", "", _gold_table(spark, sf_dir))
+    return B.gold_for_range(spark, t, RANGE_START, RANGE_END)
+
+
+# --- fixed values: report page size and the page read ---
+PAGE_SIZE, PAGE_INDEX = 1000, 2
+
+
+@register("page_limit_offset", f"""SELECT * FROM ({_GOLD_SPARSE}) ORDER BY Employee_No, work_date
+LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE * PAGE_INDEX}""")
+def page_limit_offset(spark, sf_dir):
+    g = U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA)
+    return g.orderBy("Employee_No", "work_date").offset(PAGE_SIZE * PAGE_INDEX).limit(PAGE_SIZE)
+
+
+@register("preview_head", f"SELECT * FROM ({_GOLD_SPARSE}) ORDER BY Employee_No, work_date LIMIT 5")
+def preview_head(spark, sf_dir):
+    return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")).orderBy("Employee_No", "work_date").limit(5)
+
+
+@register("describe_table")
+def describe_table(spark, sf_dir):
+    """Column names and types of the gold table, as rows."""
+    name = f"gold_{abs(hash(sf_dir)) % 10**8}"
+    U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA).createOrReplaceTempView(name)
+    return spark.sql(f"DESCRIBE {name}").select("col_name", "data_type")
+
+
+_POS_NAMES = ["emp", "name", "day"]
+
+
+@register("positional_rename", "SELECT Employee_No AS emp, Employee_Name AS name, work_date AS day, "
+          "in_duration AS col_3, out_duration AS col_4 FROM (" + _GOLD_SPARSE + ")")
+def positional_rename(spark, sf_dir):
+    g = A.gold_attendance(silver_fixture(spark, sf_dir, "sparse"))
+    return IO.with_names(g.select("Employee_No", "Employee_Name", "work_date", "in_duration", "out_duration"),
+                         _POS_NAMES)
+
+
+@register("report_csv", f"SELECT {_COERCED} FROM ({_GOLD_SPARSE})")
+def report_csv(spark, sf_dir):
+    """Gold report written as CSV named by its first work day, read back."""
+    g = coerce_minutes_df(A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")))
+    path = IO.write_report(g.orderBy("Employee_No", "work_date"), work_path(spark, "reports"), "run")
+    schema = T.StructType([f if f.name not in GOLD_MINUTE_COLUMNS else T.StructField(f.name, T.LongType())
+                           for f in GOLD_SCHEMA.fields])
+    return IO.read_csv(spark, path, schema, header=True, null_value=IO.NO_NULLS)
+
+
+@register("batch_multi_file", f"""WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE})
+SELECT *, strftime("Swipe_Date", '%Y-%m-%d') AS landed_day FROM bronze""")
+def batch_multi_file(spark, sf_dir):
+    """Exports landed as one folder per day; all files cleaned in one job,
+    each row keeping the day folder it came from."""
+    landing = work_path(spark, "landing")
+    raw = raw_dirty(spark, sf_dir).withColumn("day", F.to_date("`Swipe Date`").cast("string"))
+    _csv_by_day(raw, landing)
+    got = IO.read_landing(spark, landing, RAW_SCHEMA)
+    b = C.clean_bronze(got)
+    return b.withColumn("landed_day", F.regexp_extract("source_file", r"day=([0-9-]+)", 1)).drop("source_file")
+
+
+def _csv_by_day(raw, landing):
+    IO._csv_opts(raw.write.mode("overwrite").partitionBy("day").option("quoteAll", True), True).csv(landing)
+
+
+@register("stream_incremental_upsert", _gold_after_two_sql())
+def stream_incremental_upsert(spark, sf_dir):
+    """Two exports land one after the other; each run of the file stream
+    (availableNow) upserts only the new files through bronze/silver/gold."""
+    root = work_path(spark, "stream")
+    t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    r1, r2 = _batches(spark, sf_dir)
+    for i, r in enumerate((r1, r2), 1):
+        IO.write_csv_quoted(r, f"{root}/landing/export-{i}")
+        ST.run_incremental(spark, f"{root}/landing", t, f"{root}/checkpoint")
+    return U.read_table(spark, t.gold, GOLD_SCHEMA)
