@@ -27,7 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,30 +119,61 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_col: str,
            schema: T.StructType | None = None, compare: list[str] | None = None,
-           latest: str | None = None) -> UpsertResult:
-    """Upsert ``source`` into the Parquet table at ``path`` (created if missing)."""
+           latest: str | None = None, partition_range: tuple | None = None,
+           unique_keys: bool = False) -> UpsertResult:
+    """Upsert ``source`` into the Parquet table at ``path`` (created if missing).
+
+    ``partition_range`` (lo, hi) is the range of partition values the source
+    can touch, when the caller already knows it; otherwise it is taken with
+    one min/max aggregate.  The target is read only inside that range.
+    ``unique_keys`` skips the latest-wins reduction for a source that has one
+    row per key by construction.
+    """
     schema = schema or source.schema
     src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), schema)
-    src = dedup_by(src, keys, latest)
-    # the partitions the batch touches: one small distinct set (days, not rows)
-    parts = [r[0] for r in src.select(partition_col).distinct().collect()]
-    if not parts:
+    if not unique_keys:
+        src = dedup_by(src, keys, latest)
+    if partition_range is None:
+        b = src.agg(F.min(partition_col), F.max(partition_col)).first()
+        partition_range = (b[0], b[1])
+    lo, hi = partition_range
+    if lo is None:
         return UpsertResult(path, {a: 0 for a in ACTIONS}, [], None)
-    if table_exists(spark, path):
-        tgt = read_table(spark, path, schema).where(F.col(partition_col).isin(parts))
-    else:
-        tgt = spark.createDataFrame([], schema)
+    if not table_exists(spark, path):
+        # first load: every row is an insert; the commit protocol makes the
+        # new table appear whole or not at all, so no staged copy is needed
+        obs = Observation("create")
+        src = src.observe(obs, F.count(F.lit(1)).alias("n"),
+                          F.collect_set(F.col(partition_col)).alias("_parts"))
+        src.hint("rebalance", partition_col).write.mode("overwrite") \
+            .partitionBy(partition_col).parquet(path)
+        m = obs.get
+        counts = {a: 0 for a in ACTIONS}
+        counts["insert"] = int(m["n"])
+        return UpsertResult(path, counts, sorted(m["_parts"]), None)
+    tgt = read_table(spark, path, schema).where(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
     merged = merge_plan(align(tgt, schema), src, keys, compare)
+    # counts and the partitions holding an insert/update, gathered while the
+    # staged copy is written (no second pass); the set holds partition
+    # values (days), not rows
+    obs = Observation("upsert")
+    is_new = F.col("_action").isin("insert", "update")
+    merged = merged.observe(
+        obs,
+        *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS],
+        F.collect_set(F.when(is_new, F.col(partition_col))).alias("_dirty"),
+    )
     staging = work_path(spark, "upsert-staging")
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
-    staged = spark.read.schema(T.StructType(schema.fields + [T.StructField("_action", T.StringType())])) \
-        .parquet(staging)
-    per_part = staged.groupBy(partition_col).agg(
-        *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS]).collect()
-    counts = {a: int(sum(r[a] for r in per_part)) for a in ACTIONS}
-    dirty = [r[partition_col] for r in per_part if r["insert"] or r["update"]]
+    # rebalance: AQE sizes the output files and splits a skewed partition value
+    merged.hint("rebalance", partition_col).write.mode("overwrite") \
+        .partitionBy(partition_col).parquet(staging)
+    m = obs.get
+    counts = {a: int(m[a]) for a in ACTIONS}
+    dirty = sorted(m["_dirty"])
     if dirty:
+        staged = spark.read.schema(T.StructType(schema.fields + [T.StructField("_action", T.StringType())])) \
+            .parquet(staging)
         out = staged.where(F.col(partition_col).isin(dirty)).drop("_action")
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition_col).parquet(path))
-    return UpsertResult(path, counts, sorted(dirty), staging)
+    return UpsertResult(path, counts, dirty, staging)

@@ -46,9 +46,11 @@ class BatchResult:
     counts: dict = field(default_factory=dict)
 
 
-def affected_days(staged_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
+def affected_days(changed_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
     """(Employee_No, work_date) of silver rows inserted or updated."""
-    ch = staged_silver.where(F.col("_action").isin("insert", "update"))
+    ch = changed_silver
+    if "_action" in ch.columns:
+        ch = ch.where(F.col("_action").isin("insert", "update"))
     ts = swipe_timestamp(F.col("Date"), F.col("time"))
     wd = F.coalesce(work_date(ts, cfg), F.col("Date"))
     return ch.select("Employee_No", wd.alias("work_date")).distinct()
@@ -63,7 +65,8 @@ def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
     silver = read_table(spark, tables.silver, SILVER_SCHEMA)
     rng = silver.where(F.col("Date").between(F.lit(b["lo"]), F.date_add(F.lit(b["hi"]), 1)))
     fresh = gold_attendance(rng, cfg).join(days, GOLD_KEYS, "left_semi")
-    res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA)
+    res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA,
+                 partition_range=(b["lo"], b["hi"]), unique_keys=True)
     return res.counts
 
 
@@ -74,16 +77,21 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     out = BatchResult(bounds["lo"], bounds["hi"])
     if bounds["lo"] is None:
         return out
-    rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On")
+    rng = (bounds["lo"], bounds["hi"])
+    rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On",
+                partition_range=rng)
     out.counts["bronze"] = rb.counts
     bronze = read_table(spark, tables.bronze)
     src = silver_cast(bronze.where(F.col("Date").between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))))
-    rs = upsert(spark, tables.silver, src, SILVER_KEYS, "Date", schema=SILVER_SCHEMA, latest="Received_On")
+    # bronze keys map one-to-one onto silver keys: no second reduction
+    rs = upsert(spark, tables.silver, src, SILVER_KEYS, "Date", schema=SILVER_SCHEMA,
+                partition_range=rng, unique_keys=True)
     out.counts["silver"] = rs.counts
-    if rs.staging is None:
+    if not rs.partitions_written:
         return out
-    staged = spark.read.parquet(rs.staging)
-    out.counts["gold"] = refresh_gold(spark, tables, affected_days(staged, cfg), cfg)
+    # changed rows: the staged merge of this upsert, or the whole new table
+    changed = spark.read.parquet(rs.staging) if rs.staging else read_table(spark, tables.silver, SILVER_SCHEMA)
+    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg)
     return out
 
 

@@ -43,14 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is.  Only when it is unset (a local test run) is a fresh local
     folder taken.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="swipeflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+        path = tempfile.mkdtemp(prefix="swipeflow-ckpt-")  # local runs only
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def work_path(spark: SparkSession, name: str) -> str:
