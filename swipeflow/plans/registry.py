@@ -703,3 +703,18 @@ def stream_incremental_upsert(spark, sf_dir):
         IO.write_csv_quoted(r, f"{root}/landing/export-{i}")
         ST.run_incremental(spark, f"{root}/landing", t, f"{root}/checkpoint")
     return U.read_table(spark, t.gold, GOLD_SCHEMA)
+
+
+# ---------------------------------------------------------------- workbooks
+from ..sources import workbook as W  # noqa: E402
+
+
+@register("scan_workbooks", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw")
+def scan_workbooks(spark, sf_dir):
+    """Raw exports written as workbooks (one per day group), then the whole
+    folder read back in one job: every cell must survive the round trip."""
+    folder = work_path(spark, "workbooks")
+    raw = raw_dirty(spark, sf_dir)
+    W.write_workbooks(raw.repartition(4, F.to_date("`Swipe Date`")), folder) \
+        .write.format("noop").mode("overwrite").save()
+    return W.scan_workbooks(spark, folder).drop("source_file")

@@ -1,0 +1,238 @@
+"""Folders of swipe workbooks (.xlsx) as a DataFrame, and a workbook sink.
+
+Reading: ``binaryFile`` lists the folder (any Hadoop file system) and
+``mapInPandas`` parses each workbook in the task that holds it, so a folder
+of thousands of exports is one distributed job.  A workbook is a zip of
+XML parts; the standard library reads it.  The sheet named ``mainsheet`` is
+used, else the first sheet.  Cells are converted to the declared export
+schema: Excel day serials become timestamps, whole numbers in text columns
+lose their ``.0`` (a numeric employee number stays ``1001``).
+
+Writing (used to produce test exports): each Spark partition becomes one
+workbook in a folder visible to the executors as a local path.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import io
+import os
+import re
+import uuid
+import zipfile
+from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..schemas import RAW_SCHEMA
+
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+EPOCH = dt.datetime(1899, 12, 30)  # day 0 of the 1900 date system
+SHEET = "mainsheet"
+
+
+def _col_index(ref: str) -> int:
+    n = 0
+    for ch in re.match(r"[A-Z]+", ref).group(0):
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def _col_ref(i: int) -> str:
+    s = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def _sheet_path(z: zipfile.ZipFile, sheet: str) -> str:
+    wb = ET.fromstring(z.read("xl/workbook.xml"))
+    sheets = [(s.get("name"), s.get(f"{_REL}id")) for s in wb.iter(f"{_NS}sheet")]
+    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+    target = {r.get("Id"): r.get("Target") for r in rels.iter(f"{_PKG}Relationship")}
+    name, rid = next(((n, r) for n, r in sheets if n == sheet), sheets[0])
+    t = target[rid].lstrip("/")
+    return t if t.startswith("xl/") else f"xl/{t}"
+
+
+def read_rows(content: bytes, sheet: str = SHEET) -> list[list]:
+    """Cell values of one sheet, row by row (numbers as float, text as str)."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
+            shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
+    rows = []
+    with z.open(_sheet_path(z, sheet)) as fh:
+        for _, el in ET.iterparse(fh):
+            if el.tag != f"{_NS}row":
+                continue
+            vals: dict[int, object] = {}
+            for c in el.iter(f"{_NS}c"):
+                t, v = c.get("t"), c.find(f"{_NS}v")
+                if t == "inlineStr":
+                    val = "".join(x.text or "" for x in c.iter(f"{_NS}t"))
+                elif v is None or v.text is None:
+                    continue
+                elif t == "s":
+                    val = shared[int(v.text)]
+                elif t in ("str", "e"):
+                    val = v.text
+                elif t == "b":
+                    val = v.text == "1"
+                else:
+                    val = float(v.text)
+                vals[_col_index(c.get("r"))] = val
+            rows.append([vals.get(i) for i in range(max(vals) + 1)] if vals else [])
+            el.clear()
+    return rows
+
+
+def _to_type(v, dtype):
+    if v is None:
+        return None
+    if isinstance(dtype, T.TimestampNTZType):
+        if isinstance(v, float):
+            ms = round(v * 86400000)
+            return EPOCH + dt.timedelta(milliseconds=ms)
+        x = pd.to_datetime(str(v).strip(), errors="coerce")
+        return None if pd.isna(x) else x.to_pydatetime()
+    if isinstance(dtype, T.DoubleType):
+        try:
+            return float(v)
+        except (TypeError, ValueError):
+            return None
+    if isinstance(v, float) and v.is_integer():
+        return str(int(v))
+    return str(v)
+
+
+def _parse_files(schema: T.StructType, sheet: str):
+    names = schema.fieldNames()
+    types = {f.name: f.dataType for f in schema.fields}
+
+    def parse(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows = read_rows(bytes(content), sheet)
+                if not rows:
+                    continue
+                header = [str(h).strip() if h is not None else "" for h in rows[0]]
+                pos = {h: i for i, h in enumerate(header)}
+                out = {n: [] for n in names}
+                for r in rows[1:]:
+                    if not any(x is not None for x in r):
+                        continue
+                    for n in names:
+                        i = pos.get(n)
+                        out[n].append(_to_type(r[i] if i is not None and i < len(r) else None, types[n]))
+                frame = pd.DataFrame(out)
+                for n in names:
+                    if isinstance(types[n], T.TimestampNTZType):
+                        frame[n] = pd.to_datetime(frame[n])
+                frame["source_file"] = path
+                yield frame
+    return parse
+
+
+def scan_workbooks(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+                   sheet: str = SHEET) -> DataFrame:
+    """All ``*.xlsx`` under ``path`` as rows of ``schema`` plus ``source_file``."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+             .option("recursiveFileLookup", True).load(path).select("path", "content"))
+    out = T.StructType(schema.fields + [T.StructField("source_file", T.StringType())])
+    return files.mapInPandas(_parse_files(schema, sheet), out)
+
+
+# ------------------------------------------------------------------ writing
+_CT = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+       '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+       '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+       '<Default Extension="xml" ContentType="application/xml"/>'
+       '<Override PartName="/xl/workbook.xml" ContentType="application/'
+       'vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+       '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/'
+       'vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+       '<Override PartName="/xl/styles.xml" ContentType="application/'
+       'vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
+_RELS = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+         '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+         '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+         'relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+_WB_RELS = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+            'relationships/worksheet" Target="worksheets/sheet1.xml"/>'
+            '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+            'relationships/styles" Target="styles.xml"/></Relationships>')
+_STYLES = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+           '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+           '<numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy-mm-dd hh:mm:ss"/></numFmts>'
+           '<fonts count="1"><font/></fonts><fills count="1"><fill/></fills>'
+           '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
+           '<cellXfs count="2"><xf/><xf numFmtId="164" applyNumberFormat="1"/></cellXfs></styleSheet>')
+
+
+def _workbook_xml(sheet: str) -> str:
+    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+            '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+            'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+            f'<sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+
+
+def _cell(ref: str, v) -> str:
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return ""
+    if isinstance(v, (pd.Timestamp, dt.datetime)):
+        serial = (pd.Timestamp(v) - pd.Timestamp(EPOCH)) / pd.Timedelta(days=1)
+        return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return f'<c r="{ref}"><v>{float(v)!r}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def workbook_bytes(frame: pd.DataFrame, sheet: str = SHEET) -> bytes:
+    rows = ['<row r="1">' + "".join(_cell(f"{_col_ref(i)}1", c) for i, c in enumerate(frame.columns)) + "</row>"]
+    for n, rec in enumerate(frame.itertuples(index=False), start=2):
+        rows.append(f'<row r="{n}">' + "".join(_cell(f"{_col_ref(i)}{n}", v) for i, v in enumerate(rec)) + "</row>")
+    sheet_xml = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                 '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+                 f'<sheetData>{"".join(rows)}</sheetData></worksheet>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", _CT)
+        z.writestr("_rels/.rels", _RELS)
+        z.writestr("xl/workbook.xml", _workbook_xml(sheet))
+        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
+        z.writestr("xl/styles.xml", _STYLES)
+        z.writestr("xl/worksheets/sheet1.xml", sheet_xml)
+    return buf.getvalue()
+
+
+def write_workbooks(df: DataFrame, folder: str, sheet: str = SHEET) -> DataFrame:
+    """One workbook per Spark partition under a local/mounted ``folder``;
+    returns (file, rows) per workbook written (lazy: runs on action)."""
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    cols = df.columns
+
+    def write(batches):
+        frames = [b for b in batches]
+        if not frames:
+            return
+        frame = pd.concat(frames, ignore_index=True)[cols]
+        if frame.empty:
+            return
+        os.makedirs(local, exist_ok=True)
+        path = os.path.join(local, f"export-{uuid.uuid4().hex[:12]}.xlsx")
+        with open(path, "wb") as fh:
+            fh.write(workbook_bytes(frame, sheet))
+        yield pd.DataFrame({"file": [path], "rows": [len(frame)]})
+
+    return df.mapInPandas(write, "file string, rows long")
