@@ -161,9 +161,8 @@ def day_measures_joined(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> D
     """Day measures assembled like the textbook plan: first/last, inside
     and outside sums and first swipe type, left-joined on (employee, day).
     Every joined side has one row per day, so the joins have no hot key."""
-    col = collapse(islands_lag(swipes, cfg))
-    p = pairs(col)
-    f = day_first_last(col)
+    p = pairs(collapse(islands_lag(swipes, cfg)))
+    f = day_first_last(p)  # pairs keeps every island once, so it serves here too
     a = sum_seconds(in_intervals(p), "in_seconds")
     o = sum_seconds(out_intervals(p), "out_seconds")
     fs = first_swipe(swipes)

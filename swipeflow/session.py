@@ -17,6 +17,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT methods over 8000 bytes of bytecode; whole-stage
+    # code above that would run interpreted, so such subtrees fall back to
+    # per-operator codegen instead (the value Spark documents for HotSpot)
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
