@@ -5,7 +5,9 @@ Semantics (for every key in source or target):
 * key only in source            -> ``insert``
 * in both, any compared column differs (NULL-safe) -> ``update`` (source row wins)
 * in both, nothing differs      -> ``unchanged`` (target row kept)
-* key only in target            -> ``target_only`` (kept; no delete arm)
+* key only in target            -> ``target_only`` (kept; no delete arm), or
+  ``delete`` when the caller names a scope of keys the source fully owns
+  (e.g. whole recomputed work days) and the key is inside it
 
 Plan for a table partitioned by a column that is a function of the key
 (so a row never moves partition):
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from ..functions.columns import is_distinct
 from ..session import work_path
 
-ACTIONS = ("insert", "update", "unchanged", "target_only")
+ACTIONS = ("insert", "update", "unchanged", "target_only", "delete")
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -52,8 +54,13 @@ def changed(t_cols: list[Column], s_cols: list[Column]) -> Column:
 
 
 def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
-               compare: list[str] | None = None) -> DataFrame:
-    """Rows of the table after the upsert, with an ``_action`` column."""
+               compare: list[str] | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Rows of the table after the upsert, with an ``_action`` column.
+
+    ``scope`` (distinct key columns, a subset of ``keys``) marks target rows
+    the source replaces wholesale: those missing from the source become
+    ``delete`` rows, which the writer drops.
+    """
     cols = target.columns
     vals = [c for c in cols if c not in keys]
     compare = [c for c in (compare or vals)]
@@ -61,9 +68,14 @@ def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
                         for c in cols], F.lit(True).alias("_in_s"))
     t = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") if c not in keys else F.col(f"`{c}`")
                         for c in cols], F.lit(True).alias("_in_t"))
+    if scope is not None:
+        sk = scope.columns
+        t = t.join(scope.select(*sk).distinct().withColumn("_in_scope", F.lit(True)), sk, "left")
     j = t.join(s, on=keys, how="full_outer")
     diff = changed([F.col(f"t_{c}") for c in compare], [F.col(f"s_{c}") for c in compare])
+    gone = F.col("_in_s").isNull() & (F.col("_in_scope").isNotNull() if scope is not None else F.lit(False))
     action = (F.when(F.col("_in_t").isNull(), "insert")
+              .when(gone, "delete")
               .when(F.col("_in_s").isNull(), "target_only")
               .when(diff, "update")
               .otherwise("unchanged"))
@@ -120,14 +132,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_col: str,
            schema: T.StructType | None = None, compare: list[str] | None = None,
            latest: str | None = None, partition_range: tuple | None = None,
-           unique_keys: bool = False) -> UpsertResult:
+           unique_keys: bool = False, scope: DataFrame | None = None) -> UpsertResult:
     """Upsert ``source`` into the Parquet table at ``path`` (created if missing).
 
     ``partition_range`` (lo, hi) is the range of partition values the source
     can touch, when the caller already knows it; otherwise it is taken with
     one min/max aggregate.  The target is read only inside that range.
     ``unique_keys`` skips the latest-wins reduction for a source that has one
-    row per key by construction.
+    row per key by construction.  ``scope``: see ``merge_plan``.
     """
     schema = schema or source.schema
     src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), schema)
@@ -152,16 +164,17 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
         counts["insert"] = int(m["n"])
         return UpsertResult(path, counts, sorted(m["_parts"]), None)
     tgt = read_table(spark, path, schema).where(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
-    merged = merge_plan(align(tgt, schema), src, keys, compare)
+    merged = merge_plan(align(tgt, schema), src, keys, compare, scope)
     # counts and the partitions holding an insert/update, gathered while the
     # staged copy is written (no second pass); the set holds partition
     # values (days), not rows
     obs = Observation("upsert")
-    is_new = F.col("_action").isin("insert", "update")
+    is_new = F.col("_action").isin("insert", "update", "delete")
     merged = merged.observe(
         obs,
         *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS],
         F.collect_set(F.when(is_new, F.col(partition_col))).alias("_dirty"),
+        F.collect_set(F.when(F.col("_action") != "delete", F.col(partition_col))).alias("_kept"),
     )
     staging = work_path(spark, "upsert-staging")
     # rebalance: AQE sizes the output files and splits a skewed partition value
@@ -173,7 +186,20 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
     if dirty:
         staged = spark.read.schema(T.StructType(schema.fields + [T.StructField("_action", T.StringType())])) \
             .parquet(staging)
-        out = staged.where(F.col(partition_col).isin(dirty)).drop("_action")
+        out = staged.where(F.col(partition_col).isin(dirty) & (F.col("_action") != "delete")).drop("_action")
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition_col).parquet(path))
+        # dynamic overwrite leaves partitions absent from the output alone, so
+        # a partition whose rows were all deleted is removed explicitly
+        emptied = sorted(set(dirty) - set(m["_kept"]))
+        if emptied:
+            _drop_partitions(spark, path, partition_col, emptied)
     return UpsertResult(path, counts, dirty, staging)
+
+
+def _drop_partitions(spark: SparkSession, path: str, partition_col: str, values: list) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for v in values:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition_col}={v}")
+        p.getFileSystem(conf).delete(p, True)

@@ -57,21 +57,27 @@ def affected_days(changed_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) ->
 
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
-                 cfg: AttendanceConfig = DEFAULT) -> dict:
-    """Recompute whole affected work days from silver and upsert them."""
+                 cfg: AttendanceConfig = DEFAULT, replace_days: bool = False) -> dict:
+    """Recompute whole affected work days from silver and upsert them.
+
+    By default a day that no longer has any counted swipe keeps its old gold
+    row (no delete arm).  ``replace_days=True`` lets the recomputed days
+    replace their gold rows wholesale, deleting such rows.
+    """
     b = days.agg(F.min("work_date").alias("lo"), F.max("work_date").alias("hi")).first()
     if b is None or b["lo"] is None:
-        return {"insert": 0, "update": 0, "unchanged": 0, "target_only": 0}
+        return {"insert": 0, "update": 0, "unchanged": 0, "target_only": 0, "delete": 0}
     silver = read_table(spark, tables.silver, SILVER_SCHEMA)
     rng = silver.where(F.col("Date").between(F.lit(b["lo"]), F.date_add(F.lit(b["hi"]), 1)))
     fresh = gold_attendance(rng, cfg).join(days, GOLD_KEYS, "left_semi")
     res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA,
-                 partition_range=(b["lo"], b["hi"]), unique_keys=True)
+                 partition_range=(b["lo"], b["hi"]), unique_keys=True,
+                 scope=days if replace_days else None)
     return res.counts
 
 
 def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
-              cfg: AttendanceConfig = DEFAULT) -> BatchResult:
+              cfg: AttendanceConfig = DEFAULT, replace_days: bool = False) -> BatchResult:
     bronze_src = clean_bronze(raw)
     bounds = bronze_src.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
     out = BatchResult(bounds["lo"], bounds["hi"])
@@ -91,7 +97,7 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
         return out
     # changed rows: the staged merge of this upsert, or the whole new table
     changed = spark.read.parquet(rs.staging) if rs.staging else read_table(spark, tables.silver, SILVER_SCHEMA)
-    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg)
+    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg, replace_days)
     return out
 
 

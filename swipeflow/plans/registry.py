@@ -433,12 +433,12 @@ def _bronze_two(spark, sf_dir):
     return path, res
 
 
-def _chain_two(spark, sf_dir):
+def _chain_two(spark, sf_dir, replace_days=False):
     root = work_path(spark, "medallion")
     t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
     r1, r2 = _batches(spark, sf_dir)
-    B.run_batch(spark, r1, t)
-    res2 = B.run_batch(spark, r2, t)
+    B.run_batch(spark, r1, t, replace_days=replace_days)
+    res2 = B.run_batch(spark, r2, t, replace_days=replace_days)
     return t, res2
 
 
@@ -462,7 +462,8 @@ j AS (SELECT CASE WHEN t.Employee_No IS NULL THEN 'insert'
 SELECT CAST(COUNT(*) FILTER (WHERE a = 'insert') AS BIGINT) AS insert,
        CAST(COUNT(*) FILTER (WHERE a = 'update') AS BIGINT) AS update,
        CAST(COUNT(*) FILTER (WHERE a = 'unchanged') AS BIGINT) AS unchanged,
-       CAST(COUNT(*) FILTER (WHERE a = 'target_only') AS BIGINT) AS target_only
+       CAST(COUNT(*) FILTER (WHERE a = 'target_only') AS BIGINT) AS target_only,
+       CAST(COUNT(*) FILTER (WHERE a = 'delete') AS BIGINT) AS "delete"
 FROM j""")
 def upsert_action_counts(spark, sf_dir):
     _, res = _bronze_two(spark, sf_dir)
@@ -508,6 +509,14 @@ def upsert_gold(spark, sf_dir):
     return U.read_table(spark, t.gold, GOLD_SCHEMA)
 
 
+@register("upsert_gold_replace_days", O.gold_over(_SILVER_AFTER))
+def upsert_gold_replace_days(spark, sf_dir):
+    """Same two loads, with recomputed work days replacing their gold rows:
+    a day whose swipes were all rejected by the second load disappears."""
+    t, _ = _chain_two(spark, sf_dir, replace_days=True)
+    return U.read_table(spark, t.gold, GOLD_SCHEMA)
+
+
 _COERCED = ", ".join(["Employee_No", "Employee_Name", "work_date", "sign_in_method", "swipe_status",
                       "in_time", "out_time", "in_duration", "out_duration", "full_span",
                       "Productive_Overtime", "Productive_Shortfall", "Overall_Overtime",

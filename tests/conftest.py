@@ -39,13 +39,13 @@ def silver_rows(spark, rows):
     return spark.createDataFrame(out, SILVER_SCHEMA)
 
 
-def raw_rows(spark, rows):
-    """rows: (emp, 'YYYY-MM-DD HH:MM:SS', In/Out) -> raw export rows, approved card swipes."""
+def raw_rows(spark, rows, status="Approved", received_delay=0):
+    """rows: (emp, 'YYYY-MM-DD HH:MM:SS', In/Out) -> raw export rows, card swipes."""
     out = []
     for emp, when, io in rows:
         rec = dict.fromkeys(RAW_SCHEMA.fieldNames())
         rec.update({"Employee No": emp, "Employee Name": f"Employee {emp}", "Swipe Date": ts(when),
-                    "In/Out": io, "Swipe Type": "Card Swipe", "Status": "Approved",
-                    "Received On": ts(when)})
+                    "In/Out": io, "Swipe Type": "Card Swipe", "Status": status,
+                    "Received On": ts(when) + dt.timedelta(seconds=received_delay)})
         out.append(tuple(rec[c] for c in RAW_SCHEMA.fieldNames()))
     return spark.createDataFrame(out, RAW_SCHEMA)

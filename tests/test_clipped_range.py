@@ -31,3 +31,25 @@ def test_reload_is_a_no_op(spark):
     for layer in ("bronze", "silver"):
         assert again.counts[layer]["insert"] == 0 and again.counts[layer]["update"] == 0
     assert "gold" not in again.counts  # nothing changed in silver -> no day recomputed
+
+
+def _reject_day(spark, replace_days):
+    root = work_path(spark, "reject")
+    t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+    day = [("9", "2024-01-12 09:00:00", "IN"), ("9", "2024-01-12 17:00:00", "OUT")]
+    run_batch(spark, raw_rows(spark, day), t, replace_days=replace_days)
+    res = run_batch(spark, raw_rows(spark, day, status="Rejected", received_delay=60), t,
+                    replace_days=replace_days)
+    return res, read_table(spark, t.gold, GOLD_SCHEMA).collect()
+
+
+def test_rejected_day_kept_by_default(spark):
+    res, gold = _reject_day(spark, False)
+    assert res.counts["silver"]["update"] == 2
+    assert [r["in_time"] for r in gold] == ["2024-01-12 09:00:00"]
+
+
+def test_rejected_day_removed_with_replace_days(spark):
+    res, gold = _reject_day(spark, True)
+    assert res.counts["gold"]["delete"] == 1
+    assert gold == []

@@ -66,10 +66,10 @@ def test_upsert_fixture_counts_and_idempotence(spark):
     path = work_path(spark, "upsert-fixture")
     U.upsert(spark, path, tgt, ["event_id"], "day", unique_keys=True)
     r1 = U.upsert(spark, path, src, ["event_id"], "day", unique_keys=True)
-    assert r1.counts == {"insert": 1667, "update": 1666, "unchanged": 1667, "target_only": 3333}
+    assert r1.counts == {"insert": 1667, "update": 1666, "unchanged": 1667, "target_only": 3333, "delete": 0}
     assert sum(r1.counts.values()) == 8333
     r2 = U.upsert(spark, path, src, ["event_id"], "day", unique_keys=True)
-    assert r2.counts == {"insert": 0, "update": 0, "unchanged": 5000, "target_only": 3333}
+    assert r2.counts == {"insert": 0, "update": 0, "unchanged": 5000, "target_only": 3333, "delete": 0}
     assert r2.partitions_written == []
     assert U.read_table(spark, path).count() == 8333
 
