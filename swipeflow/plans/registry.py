@@ -655,7 +655,10 @@ def preview_head(spark, sf_dir):
     return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")).orderBy("Employee_No", "work_date").limit(5)
 
 
-@register("describe_table")
+@register("describe_table", f"""SELECT column_name AS col_name,
+    CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'DOUBLE' THEN 'double'
+         ELSE lower(column_type) END AS data_type
+FROM (DESCRIBE {_GOLD_SPARSE})""")
 def describe_table(spark, sf_dir):
     """Column names and types of the gold table, as rows."""
     name = f"gold_{abs(hash(sf_dir)) % 10**8}"

@@ -42,3 +42,46 @@ def test_stream_equals_batch(spark):
     a = E.queries()["stream_incremental_upsert"](spark, SF_SMALL)
     b = E.queries()["upsert_gold"](spark, SF_SMALL)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def _xlsx(parts: dict) -> bytes:
+    import io
+    import zipfile
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+    return buf.getvalue()
+
+
+def test_workbook_shared_strings_and_first_sheet_fallback():
+    from swipeflow.sources.workbook import read_rows
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    pk = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    book = _xlsx({
+        "xl/workbook.xml": f'<workbook {ns} {rel}><sheets><sheet name="Swipes" sheetId="1" r:id="rId7"/>'
+                           f'</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships {pk}><Relationship Id="rId7" Type="x" '
+                                      f'Target="/xl/worksheets/other.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst {ns}><si><t>Employee No</t></si><si><r><t>In</t></r><r><t>/Out</t></r></si>'
+                                f'<si><t>IN</t></si></sst>',
+        "xl/worksheets/other.xml": f'<worksheet {ns}><sheetData>'
+                                   f'<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
+                                   f'<row r="2"><c r="A2"><v>1001</v></c><c r="C2" t="s"><v>2</v></c></row>'
+                                   f'</sheetData></worksheet>',
+    })
+    assert read_rows(book) == [["Employee No", None, "In/Out"], [1001.0, None, "IN"]]
+
+
+def test_workbook_round_trip_with_other_sheet_name(spark):
+    from pyspark.sql import functions as F
+    from swipeflow.sources import fixture as FX
+    from swipeflow.sources import workbook as W
+    raw = FX.raw_swipes(FX.read_events(spark, SF_SMALL), "sparse", dirty=True)
+    folder = work_path(spark, "wb")
+    W.write_workbooks(raw.repartition(3, F.col("`In/Out`")), folder, sheet="Export").count()
+    back = W.scan_workbooks(spark, folder)   # asks for 'mainsheet', falls back to the first sheet
+    assert back.select("source_file").distinct().count() == 3
+    assert sorted(map(tuple, back.drop("source_file").collect()), key=str) == \
+        sorted(map(tuple, raw.collect()), key=str)
