@@ -18,6 +18,7 @@ fragment in this batch.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,21 +58,27 @@ def affected_days(changed_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) ->
 
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
-                 cfg: AttendanceConfig = DEFAULT, replace_days: bool = False) -> dict:
+                 cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
+                 day_range: tuple | None = None) -> dict:
     """Recompute whole affected work days from silver and upsert them.
 
+    ``day_range`` bounds the affected work days when the caller knows it
+    (from the changed silver partitions); otherwise one aggregate finds it.
     By default a day that no longer has any counted swipe keeps its old gold
     row (no delete arm).  ``replace_days=True`` lets the recomputed days
     replace their gold rows wholesale, deleting such rows.
     """
-    b = days.agg(F.min("work_date").alias("lo"), F.max("work_date").alias("hi")).first()
-    if b is None or b["lo"] is None:
+    if day_range is None:
+        b = days.agg(F.min("work_date").alias("lo"), F.max("work_date").alias("hi")).first()
+        day_range = (b["lo"], b["hi"]) if b is not None else (None, None)
+    lo, hi = day_range
+    if lo is None:
         return {"insert": 0, "update": 0, "unchanged": 0, "target_only": 0, "delete": 0}
     silver = read_table(spark, tables.silver, SILVER_SCHEMA)
-    rng = silver.where(F.col("Date").between(F.lit(b["lo"]), F.date_add(F.lit(b["hi"]), 1)))
+    rng = silver.where(F.col("Date").between(F.lit(lo), F.date_add(F.lit(hi), 1)))
     fresh = gold_attendance(rng, cfg).join(days, GOLD_KEYS, "left_semi")
     res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA,
-                 partition_range=(b["lo"], b["hi"]), unique_keys=True,
+                 partition_range=(lo, hi), unique_keys=True,
                  scope=days if replace_days else None)
     return res.counts
 
@@ -97,7 +104,10 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
         return out
     # changed rows: the staged merge of this upsert, or the whole new table
     changed = spark.read.parquet(rs.staging) if rs.staging else read_table(spark, tables.silver, SILVER_SCHEMA)
-    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg, replace_days)
+    # a changed swipe on calendar day D belongs to work day D-1 or D
+    wd_range = (min(rs.partitions_written) - dt.timedelta(days=1), max(rs.partitions_written))
+    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg, replace_days,
+                                      day_range=wd_range)
     return out
 
 
