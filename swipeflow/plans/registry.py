@@ -39,6 +39,13 @@ def gold_attendance_sparse(spark, sf_dir):
     return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse"))
 
 
+@register("gold_attendance_hot_badge", O.gold_sql("hot"))
+def gold_attendance_hot_badge(spark, sf_dir):
+    """One shared badge holds a third of all swipes; its days are cut into
+    time slices, so no task holds a whole day of that badge."""
+    return A.gold_attendance(silver_fixture(spark, sf_dir, "hot"))
+
+
 # ------------------------------------------------------------------ cleaning
 from ..operators import clean as C  # noqa: E402
 from ..operators import conform as S  # noqa: E402

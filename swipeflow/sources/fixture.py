@@ -17,6 +17,7 @@ EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 # --- fixed values: fixture rules ---
 DENSE_EMPLOYEES = 20
+HOT_EVERY = 3            # 'hot': users with user_id % 3 = 0 share badge '0'
 IO_BY_EVENT = {"view": "In", "signup": "IN", "click": "Out", "purchase": "OUT", "error": "Out"}
 REJECTED_EVENT = "error"
 WEB_EVERY = 3            # event_id % 3 = 0 -> web sign-in
@@ -31,12 +32,17 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _employee(density: str) -> Column:
+    """``dense``: 20 employees; ``sparse``: one per user; ``hot``: one per
+    user, except that every third user swipes with the same shared badge
+    ``0`` (one key holding a third of all rows)."""
     uid = F.col("user_id")
     if density == "dense":
         return (uid % DENSE_EMPLOYEES).cast("string")
     if density == "sparse":
         return uid.cast("string")
-    raise ValueError(f"density must be 'dense' or 'sparse', not {density!r}")
+    if density == "hot":
+        return F.when(uid % HOT_EVERY == 0, F.lit("0")).otherwise(uid.cast("string"))
+    raise ValueError(f"density must be 'dense', 'sparse' or 'hot', not {density!r}")
 
 
 def _io() -> Column:

@@ -84,3 +84,12 @@ def test_dedup_keeps_latest(spark):
     kept = silver.join(keys, ["Employee_No", "Swipe_Date"])
     assert kept.count() == keys.count() > 0
     assert kept.where(F.col("Remarks") != "v2").count() == 0
+
+
+def test_hot_badge_days_are_cut_into_slices(spark):
+    """Badge '0' holds a third of all swipes; each of its days must reach the
+    ordered step as many slice groups, not as one group."""
+    sw = A.approved_swipes(_silver(spark, SF_MID, "hot"))
+    assert sw.where(F.col("Employee_No") == "0").count() * 4 > sw.count()  # about a third
+    per_day = A.slice_summaries(sw).where(F.col("Employee_No") == "0").groupBy("work_date").count()
+    assert per_day.agg(F.min("count")).first()[0] >= 10
