@@ -197,6 +197,14 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
     return UpsertResult(path, counts, dirty, staging)
 
 
+def remove_path(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder this library created (a staged copy), if present."""
+    if not path:
+        return
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_partitions(spark: SparkSession, path: str, partition_col: str, values: list) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -29,7 +29,7 @@ from ..functions.columns import swipe_timestamp, work_date
 from ..operators.attendance import gold_attendance
 from ..operators.clean import clean_bronze
 from ..operators.conform import silver_cast
-from ..operators.upsert import read_table, upsert
+from ..operators.upsert import read_table, remove_path, upsert
 from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_SCHEMA, SILVER_KEYS, SILVER_SCHEMA
 
 
@@ -59,7 +59,7 @@ def affected_days(changed_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) ->
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
                  cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
-                 day_range: tuple | None = None) -> dict:
+                 day_range: tuple | None = None, keep_staging: bool = False) -> dict:
     """Recompute whole affected work days from silver and upsert them.
 
     ``day_range`` bounds the affected work days when the caller knows it
@@ -80,11 +80,20 @@ def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
     res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA,
                  partition_range=(lo, hi), unique_keys=True,
                  scope=days if replace_days else None)
+    if not keep_staging:
+        remove_path(spark, res.staging)
     return res.counts
 
 
 def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
-              cfg: AttendanceConfig = DEFAULT, replace_days: bool = False) -> BatchResult:
+              cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
+              keep_staging: bool = False) -> BatchResult:
+    """Load one batch of raw export rows through the three tables.
+
+    Staged copies (under ``spark.checkpoint.dir``) are removed once the batch
+    has fully succeeded, unless ``keep_staging``; a batch that fails leaves
+    the tables as the last completed step wrote them and can be run again.
+    """
     bronze_src = clean_bronze(raw)
     bounds = bronze_src.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
     out = BatchResult(bounds["lo"], bounds["hi"])
@@ -94,6 +103,8 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On",
                 partition_range=rng)
     out.counts["bronze"] = rb.counts
+    if not keep_staging:
+        remove_path(spark, rb.staging)
     bronze = read_table(spark, tables.bronze)
     src = silver_cast(bronze.where(F.col("Date").between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))))
     # bronze keys map one-to-one onto silver keys: no second reduction
@@ -101,13 +112,17 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
                 partition_range=rng, unique_keys=True)
     out.counts["silver"] = rs.counts
     if not rs.partitions_written:
+        if not keep_staging:
+            remove_path(spark, rs.staging)
         return out
     # changed rows: the staged merge of this upsert, or the whole new table
     changed = spark.read.parquet(rs.staging) if rs.staging else read_table(spark, tables.silver, SILVER_SCHEMA)
     # a changed swipe on calendar day D belongs to work day D-1 or D
     wd_range = (min(rs.partitions_written) - dt.timedelta(days=1), max(rs.partitions_written))
     out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg, replace_days,
-                                      day_range=wd_range)
+                                      day_range=wd_range, keep_staging=keep_staging)
+    if not keep_staging:
+        remove_path(spark, rs.staging)
     return out
 
 
