@@ -546,6 +546,24 @@ def medallion_two_batches(spark, sf_dir):
     return coerce_minutes_df(B.gold_for_range(spark, t, res.start_date, res.end_date))
 
 
+_SILVER_FROM_DIRTY = O.dedup_from(f"({O.silver_cast_from(f'(WITH raw AS ({_RAW_DIRTY}) {_BRONZE})')})")
+
+
+@register("gold_from_export", O.gold_over(_SILVER_FROM_DIRTY))
+def gold_from_export(spark, sf_dir):
+    """Raw export (dirty rows, re-sent swipes) -> bronze -> silver -> gold,
+    without tables in between; ' In ' is not a valid direction (raw rule)."""
+    return A.gold_attendance(S.conform_silver(bronze_df(spark, sf_dir)))
+
+
+@register("gold_from_export_normalized_io", O.gold_over(_SILVER_FROM_DIRTY, normalize_io=True))
+def gold_from_export_normalized_io(spark, sf_dir):
+    """Same, with directions trimmed and upper-cased before they are tested."""
+    from ..config import AttendanceConfig
+    cfg = AttendanceConfig(normalize_io_first=True)
+    return A.gold_attendance(S.conform_silver(bronze_df(spark, sf_dir)), cfg)
+
+
 @register("coerce_minutes", f"SELECT {_COERCED} FROM ({O.gold_sql('dense')})")
 def coerce_minutes(spark, sf_dir):
     return coerce_minutes_df(gold_attendance(spark, sf_dir))
