@@ -76,3 +76,14 @@ def test_salted_measures_match_brute_force(case, width):
                                                 r["first_swipe_type"], r["in_seconds"], r["out_seconds"],
                                                 r["raw_full_span_seconds"]) for r in d.collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("width", [1, 7, 900])
+def test_salted_textbook_stages_match_brute_force(case, width):
+    from swipeflow.operators import islands as I
+    silver, expected = case
+    d = I.day_measures_joined(A.approved_swipes(silver), AttendanceConfig(salt_seconds=width))
+    got = {(r["Employee_No"], r["work_date"]): (r["first_io"], r["last_io"], r["min_in_ts"], r["max_out_ts"],
+                                                r["first_swipe_type"], r["in_seconds"], r["out_seconds"],
+                                                r["raw_full_span_seconds"]) for r in d.collect()}
+    assert got == expected
