@@ -113,3 +113,42 @@ def clean_bronze(raw: DataFrame, quarantine: bool = False):
 
 def bronze_value_columns(df: DataFrame, keys: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c not in keys]
+
+
+# Type rule for columns that arrive without a declared type, first match wins.
+TYPE_ORDER = (("bigint", "BIGINT"), ("double", "DOUBLE"), ("boolean", "BOOLEAN"),
+              ("timestamp_ntz", "TIMESTAMP"))
+
+
+def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Spark type for each text column: the first of bigint, double,
+    boolean, timestamp that every non-NULL value casts to, else string.
+    One aggregate pass over the data; only the counts reach the driver."""
+    if not columns:
+        return {}
+    aggs = []
+    for c in columns:
+        col = F.col(f"`{c}`")
+        aggs.append(F.count(col).alias(f"{c}|n"))
+        for t, _ in TYPE_ORDER:
+            aggs.append(F.count(col.try_cast(t)).alias(f"{c}|{t}"))
+    r = df.agg(*aggs).first()
+    out = {}
+    for c in columns:
+        n = r[f"{c}|n"]
+        out[c] = next((t for t, _ in TYPE_ORDER if n and r[f"{c}|{t}"] == n), "string")
+    return out
+
+
+def expand_extra_columns(df: DataFrame, col: str = "extra", infer: bool = True) -> DataFrame:
+    """Headers kept in a header -> text map become columns of their own,
+    named by the sanitizer rule and typed by ``infer_types``.  Only the
+    distinct header names are gathered (bounded by the headers, not rows)."""
+    keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(F.col(col)))).distinct().collect())
+    names = table_names([c for c in df.columns if c != col] + keys)
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c != col],
+                    *[F.col(col)[k].alias(names[k]) for k in keys])
+    if infer and keys:
+        types = infer_types(out, [names[k] for k in keys])
+        out = out.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in types.items() if t != "string"})
+    return out

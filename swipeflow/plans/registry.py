@@ -755,3 +755,25 @@ def scan_workbooks(spark, sf_dir):
     W.write_workbooks(raw.repartition(4, F.to_date("`Swipe Date`")), folder) \
         .write.format("noop").mode("overwrite").save()
     return W.scan_workbooks(spark, folder).drop("source_file")
+
+
+@register("scan_workbooks_extra_columns", f"""WITH raw AS ({O.raw_fixture('sparse', dirty=True, keep_event=True)})
+SELECT "Employee No", "Swipe Date", CAST(event_id AS BIGINT) AS Badge, "Longitude" * 2 AS Site_HQ,
+       hour(ts) < 5 AS Night_Shift, date_trunc('second', ts) AS Arrived, "Remarks" AS Comment
+FROM raw""")
+def scan_workbooks_extra_columns(spark, sf_dir):
+    """Exports carrying headers outside the declared ones: they pass through
+    under sanitized names, typed by the first-match rule (whole number,
+    decimal, true/false, date-time, else text)."""
+    ev = FX.read_events(spark, sf_dir)
+    raw = FX.raw_swipes(ev, "sparse", dirty=True, keep_event_id=True).join(
+        ev.select("event_id", "ts", "value"), "event_id")
+    raw = raw.select(*[F.col(f"`{c}`") for c in RAW_SCHEMA.fieldNames()],
+                     F.col("event_id").alias("Badge #"), (F.col("value") * 2).alias("Site (HQ)"),
+                     (F.hour("ts") < 5).alias("Night Shift"), FN.whole_seconds(F.col("ts")).alias("Arrived"),
+                     F.col("Remarks").alias("Comment"))
+    folder = work_path(spark, "workbooks-extra")
+    W.write_workbooks(raw.repartition(4, F.to_date("`Swipe Date`")), folder) \
+        .write.format("noop").mode("overwrite").save()
+    got = C.expand_extra_columns(W.scan_workbooks(spark, folder, keep_extra=True))
+    return got.select("`Employee No`", "`Swipe Date`", "Badge", "Site_HQ", "Night_Shift", "Arrived", "Comment")

@@ -62,9 +62,33 @@ def _sheet_path(z: zipfile.ZipFile, sheet: str) -> str:
     return t if t.startswith("xl/") else f"xl/{t}"
 
 
+# --- fixed values: built-in number formats that show a date or time ---
+BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
+# --- end of fixed values ---
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indices of cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    st = ET.fromstring(z.read("xl/styles.xml"))
+    custom = set()
+    for f in st.iter(f"{_NS}numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        if re.search(r"[ymdhs]", code):
+            custom.add(int(f.get("numFmtId")))
+    xfs = st.find(f"{_NS}cellXfs")
+    if xfs is None:
+        return set()
+    return {i for i, xf in enumerate(xfs.iter(f"{_NS}xf"))
+            if int(xf.get("numFmtId", "0")) in BUILTIN_DATE_FORMATS | custom}
+
+
 def read_rows(content: bytes, sheet: str = SHEET) -> list[list]:
-    """Cell values of one sheet, row by row (numbers as float, text as str)."""
+    """Cell values of one sheet, row by row: numbers as float, date-styled
+    numbers as datetime, text as str."""
     z = zipfile.ZipFile(io.BytesIO(content))
+    dates = _date_styles(z)
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
@@ -89,6 +113,8 @@ def read_rows(content: bytes, sheet: str = SHEET) -> list[list]:
                     val = v.text == "1"
                 else:
                     val = float(v.text)
+                    if int(c.get("s", "0")) in dates:
+                        val = EPOCH + dt.timedelta(milliseconds=round(val * 86400000))
                 vals[_col_index(c.get("r"))] = val
             rows.append([vals.get(i) for i in range(max(vals) + 1)] if vals else [])
             el.clear()
@@ -98,6 +124,10 @@ def read_rows(content: bytes, sheet: str = SHEET) -> list[list]:
 def _to_type(v, dtype):
     if v is None:
         return None
+    if isinstance(v, dt.datetime):
+        if isinstance(dtype, T.TimestampNTZType):
+            return v
+        v = v.isoformat(sep=" ")
     if isinstance(dtype, T.TimestampNTZType):
         if isinstance(v, float):
             ms = round(v * 86400000)
@@ -114,9 +144,10 @@ def _to_type(v, dtype):
     return str(v)
 
 
-def _parse_files(schema: T.StructType, sheet: str):
+def _parse_files(schema: T.StructType, sheet: str, keep_extra: bool = False):
     names = schema.fieldNames()
     types = {f.name: f.dataType for f in schema.fields}
+    text = T.StringType()
 
     def parse(batches):
         for pdf in batches:
@@ -126,14 +157,21 @@ def _parse_files(schema: T.StructType, sheet: str):
                     continue
                 header = [str(h).strip() if h is not None else "" for h in rows[0]]
                 pos = {h: i for i, h in enumerate(header)}
+                extra = [(h, i) for i, h in enumerate(header) if h and h not in types]
                 out = {n: [] for n in names}
+                extras = []
                 for r in rows[1:]:
                     if not any(x is not None for x in r):
                         continue
                     for n in names:
                         i = pos.get(n)
                         out[n].append(_to_type(r[i] if i is not None and i < len(r) else None, types[n]))
+                    if keep_extra:
+                        extras.append({h: _to_type(r[i], text) for h, i in extra
+                                       if i < len(r) and r[i] is not None})
                 frame = pd.DataFrame(out)
+                if keep_extra:
+                    frame["extra"] = extras
                 for n in names:
                     if isinstance(types[n], T.TimestampNTZType):
                         frame[n] = pd.to_datetime(frame[n])
@@ -143,12 +181,18 @@ def _parse_files(schema: T.StructType, sheet: str):
 
 
 def scan_workbooks(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
-                   sheet: str = SHEET) -> DataFrame:
-    """All ``*.xlsx`` under ``path`` as rows of ``schema`` plus ``source_file``."""
+                   sheet: str = SHEET, keep_extra: bool = False) -> DataFrame:
+    """All ``*.xlsx`` under ``path`` as rows of ``schema`` plus ``source_file``.
+
+    With ``keep_extra`` every header outside ``schema`` is kept too, as a
+    ``extra`` map of header -> cell text (see ``expand_extra_columns``).
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    out = T.StructType(schema.fields + [T.StructField("source_file", T.StringType())])
-    return files.mapInPandas(_parse_files(schema, sheet), out)
+    fields = schema.fields + [T.StructField("source_file", T.StringType())]
+    if keep_extra:
+        fields.append(T.StructField("extra", T.MapType(T.StringType(), T.StringType())))
+    return files.mapInPandas(_parse_files(schema, sheet, keep_extra), T.StructType(fields))
 
 
 # ------------------------------------------------------------------ writing
