@@ -262,11 +262,18 @@ def workbook_bytes(frame: pd.DataFrame, sheet: str = SHEET) -> bytes:
 
 def write_workbooks(df: DataFrame, folder: str, sheet: str = SHEET) -> DataFrame:
     """One workbook per Spark partition under a local/mounted ``folder``;
-    returns (file, rows) per workbook written (lazy: runs on action)."""
+    returns (file, rows) per workbook written (lazy: runs on action).
+
+    File names come from this call's token and the partition number, and
+    each file is written under a temporary name and renamed into place, so
+    a retried task replaces its own output instead of adding a copy.
+    """
     local = folder[len("file:"):] if folder.startswith("file:") else folder
     cols = df.columns
+    token = uuid.uuid4().hex[:12]
 
     def write(batches):
+        from pyspark import TaskContext
         frames = [b for b in batches]
         if not frames:
             return
@@ -274,9 +281,12 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str = SHEET) -> DataFrame
         if frame.empty:
             return
         os.makedirs(local, exist_ok=True)
-        path = os.path.join(local, f"export-{uuid.uuid4().hex[:12]}.xlsx")
-        with open(path, "wb") as fh:
+        ctx = TaskContext.get()
+        path = os.path.join(local, f"export-{token}-{ctx.partitionId():05d}.xlsx")
+        tmp = os.path.join(local, f".{os.path.basename(path)}.{ctx.attemptNumber()}.tmp")
+        with open(tmp, "wb") as fh:
             fh.write(workbook_bytes(frame, sheet))
+        os.replace(tmp, path)
         yield pd.DataFrame({"file": [path], "rows": [len(frame)]})
 
     return df.mapInPandas(write, "file string, rows long")
