@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
+from ..session import materialize
 from .attendance import DAY, TIE_BREAK
 
 SLICE = "slice"
@@ -161,7 +162,9 @@ def day_measures_joined(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> D
     """Day measures assembled like the textbook plan: first/last, inside
     and outside sums and first swipe type, left-joined on (employee, day).
     Every joined side has one row per day, so the joins have no hot key."""
-    p = pairs(collapse(islands_lag(swipes, cfg)))
+    # the collapsed islands feed four branches (both sides of the pairs join,
+    # first/last, the interval sums): compute them once, then cut lineage
+    p = pairs(materialize(collapse(islands_lag(swipes, cfg))))
     f = day_first_last(p)  # pairs keeps every island once, so it serves here too
     a = sum_seconds(in_intervals(p), "in_seconds")
     o = sum_seconds(out_intervals(p), "out_seconds")

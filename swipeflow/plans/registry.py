@@ -295,6 +295,12 @@ def collapsed_dense(spark, sf_dir):
     return I.collapse(I.islands_lag(swipes_dense(spark, sf_dir)))
 
 
+def collapsed_dense_once(spark, sf_dir):
+    """Collapsed islands, computed once for plans that use them twice."""
+    from ..session import materialize
+    return materialize(collapsed_dense(spark, sf_dir))
+
+
 @register("collapse_islands", O.stage_sql(
     "SELECT Employee_No, work_date, io, grp, Employee_Name, effective_ts FROM collapsed"))
 def collapse_islands(spark, sf_dir):
@@ -311,35 +317,35 @@ def collapsed_seq(spark, sf_dir):
 @register("first_last_value", O.stage_sql(
     "SELECT Employee_No, work_date, seq, io, first_io_temp, last_io_temp FROM windows"))
 def first_last_value(spark, sf_dir):
-    return I.first_last_value(collapsed_dense(spark, sf_dir)).select(
+    return I.first_last_value(collapsed_dense_once(spark, sf_dir)).select(
         "Employee_No", "work_date", "seq", "io", "first_io_temp", "last_io_temp")
 
 
 @register("pair_lead_lag", O.stage_sql(
     "SELECT Employee_No, work_date, seq, io, effective_ts, end_ts, end_io, prev_io FROM pairs"))
 def pair_lead_lag(spark, sf_dir):
-    return I.pairs(collapsed_dense(spark, sf_dir)).select(
+    return I.pairs(collapsed_dense_once(spark, sf_dir)).select(
         "Employee_No", "work_date", "seq", "io", "effective_ts", "end_ts", "end_io", "prev_io")
 
 
 @register("in_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM in_durs"))
 def in_intervals(spark, sf_dir):
-    return I.in_intervals(I.pairs(collapsed_dense(spark, sf_dir)))
+    return I.in_intervals(I.pairs(collapsed_dense_once(spark, sf_dir)))
 
 
 @register("out_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM out_durs"))
 def out_intervals(spark, sf_dir):
-    return I.out_intervals(I.pairs(collapsed_dense(spark, sf_dir)))
+    return I.out_intervals(I.pairs(collapsed_dense_once(spark, sf_dir)))
 
 
 @register("sum_in_seconds", O.stage_sql("SELECT * FROM agg_in"))
 def sum_in_seconds(spark, sf_dir):
-    return I.sum_seconds(I.in_intervals(I.pairs(collapsed_dense(spark, sf_dir))), "in_seconds")
+    return I.sum_seconds(I.in_intervals(I.pairs(collapsed_dense_once(spark, sf_dir))), "in_seconds")
 
 
 @register("sum_out_seconds", O.stage_sql("SELECT * FROM agg_out"))
 def sum_out_seconds(spark, sf_dir):
-    return I.sum_seconds(I.out_intervals(I.pairs(collapsed_dense(spark, sf_dir))), "out_seconds")
+    return I.sum_seconds(I.out_intervals(I.pairs(collapsed_dense_once(spark, sf_dir))), "out_seconds")
 
 
 @register("day_first_last", O.stage_sql("SELECT * FROM first_last"))
