@@ -39,7 +39,14 @@ from ..functions.columns import (
 
 # Total order of swipes inside one employee-day: time, then direction, then
 # columns that make equal-second swipes deterministic (IN sorts before OUT).
+# Row-level outputs (island numbers per swipe) use all of it.
 TIE_BREAK = ["io", "Swipe_Type", "Swipe_Date", "Received_On", "Longitude"]
+# Day-level outputs need only (time, direction, type): swipes equal on those
+# are interchangeable for every gold column (either can be the island end at
+# the same second, and the first swipe has the same direction and type), so
+# the flagship orders by them alone and the other columns never enter the
+# shuffle.
+DAY_ORDER = ["io", "Swipe_Type"]
 DAY = ["Employee_No", "work_date"]
 
 
@@ -72,7 +79,7 @@ def approved_swipes(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
 
 
 def _order():
-    return [F.col("sec")] + [F.col(c).asc_nulls_first() for c in TIE_BREAK]
+    return [F.col("sec")] + [F.col(c).asc_nulls_first() for c in DAY_ORDER]
 
 
 def slice_summaries(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
