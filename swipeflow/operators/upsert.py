@@ -13,8 +13,10 @@ Plan for a table partitioned by a column that is a function of the key
 (so a row never moves partition):
 
 1. source keys must be non-NULL and unique (``dedup_by`` enforces latest-wins);
-2. the target is read only for the partitions the source touches
-   (partition pruning in the scan);
+2. the target is read only for the partitions the source touches: a
+   left-semi join with the source's distinct partition values lets dynamic
+   partition pruning drop the others in the scan (the broadcast holds
+   partition values, e.g. days, never rows);
 3. FULL OUTER JOIN on the keys classifies every row (one shuffle of the two
    sides on the keys);
 4. the merged partitions are written once to a staging folder under the
@@ -108,6 +110,7 @@ class UpsertResult:
     counts: dict
     partitions_written: list
     staging: str | None
+    source_partitions: list | None = None
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -135,9 +138,9 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
            unique_keys: bool = False, scope: DataFrame | None = None) -> UpsertResult:
     """Upsert ``source`` into the Parquet table at ``path`` (created if missing).
 
-    ``partition_range`` (lo, hi) is the range of partition values the source
-    can touch, when the caller already knows it; otherwise it is taken with
-    one min/max aggregate.  The target is read only inside that range.
+    The target is read only for the partitions the source holds (dynamic
+    partition pruning); ``partition_range`` (lo, hi), when the caller knows
+    it, adds a static filter that also trims the file listing.
     ``unique_keys`` skips the latest-wins reduction for a source that has one
     row per key by construction.  ``scope``: see ``merge_plan``.
     """
@@ -145,12 +148,6 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
     src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), schema)
     if not unique_keys:
         src = dedup_by(src, keys, latest)
-    if partition_range is None:
-        b = src.agg(F.min(partition_col), F.max(partition_col)).first()
-        partition_range = (b[0], b[1])
-    lo, hi = partition_range
-    if lo is None:
-        return UpsertResult(path, {a: 0 for a in ACTIONS}, [], None)
     if not table_exists(spark, path):
         # first load: every row is an insert; the commit protocol makes the
         # new table appear whole or not at all, so no staged copy is needed
@@ -162,8 +159,17 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
         m = obs.get
         counts = {a: 0 for a in ACTIONS}
         counts["insert"] = int(m["n"])
-        return UpsertResult(path, counts, sorted(m["_parts"]), None)
-    tgt = read_table(spark, path, schema).where(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
+        parts = sorted(m["_parts"])
+        return UpsertResult(path, counts, parts, None, parts)
+    tgt = read_table(spark, path, schema)
+    if partition_range is not None:
+        tgt = tgt.where(F.col(partition_col).between(F.lit(partition_range[0]), F.lit(partition_range[1])))
+    # partitions to read: the source's, and the scope's (rows the source
+    # replaces wholesale may sit in partitions the source no longer reaches)
+    parts = src.select(partition_col)
+    if scope is not None and partition_col in scope.columns:
+        parts = parts.unionByName(scope.select(partition_col))
+    tgt = tgt.join(F.broadcast(parts.distinct()), partition_col, "left_semi")
     merged = merge_plan(align(tgt, schema), src, keys, compare, scope)
     # counts and the partitions holding an insert/update, gathered while the
     # staged copy is written (no second pass); the set holds partition
@@ -175,6 +181,8 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
         *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS],
         F.collect_set(F.when(is_new, F.col(partition_col))).alias("_dirty"),
         F.collect_set(F.when(F.col("_action") != "delete", F.col(partition_col))).alias("_kept"),
+        F.collect_set(F.when(F.col("_action").isin("insert", "update", "unchanged"),
+                             F.col(partition_col))).alias("_src"),
     )
     staging = work_path(spark, "upsert-staging")
     # rebalance: AQE sizes the output files and splits a skewed partition value
@@ -194,7 +202,7 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
         emptied = sorted(set(dirty) - set(m["_kept"]))
         if emptied:
             _drop_partitions(spark, path, partition_col, emptied)
-    return UpsertResult(path, counts, dirty, staging)
+    return UpsertResult(path, counts, dirty, staging, sorted(m["_src"]))
 
 
 def remove_path(spark: SparkSession, path: str | None) -> None:

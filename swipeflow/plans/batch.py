@@ -4,16 +4,14 @@
 pipeline, but for any number of files at once:
 
 raw -> clean -> upsert bronze -> conform the batch's date range -> upsert
-silver -> recompute every *whole* work day touched by a changed silver row
--> upsert gold -> (optional) CSV report.
+silver -> recompute every *whole* work day the batch touches -> upsert gold.
 
 Work days: a swipe before the 05:00 cut-off belongs to the previous day, so
 a batch starting on day D can change day D-1.  The affected (employee, work
-day) pairs come from the silver rows the upsert inserted or updated
-(whatever their status, so a swipe turned ``Rejected`` still triggers a
-recompute); silver is read for [first affected day, last affected day + 1]
-so every affected day is rebuilt from all of its swipes, not from the
-fragment in this batch.
+day) pairs are those of every row in the batch, whatever its status (a swipe
+re-sent as ``Rejected`` still triggers a rebuild); silver is read for [first
+affected day, last affected day + 1] so every affected day is rebuilt from
+all of its swipes, not from the fragment in this batch.
 """
 
 from __future__ import annotations
@@ -47,14 +45,11 @@ class BatchResult:
     counts: dict = field(default_factory=dict)
 
 
-def affected_days(changed_silver: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
-    """(Employee_No, work_date) of silver rows inserted or updated."""
-    ch = changed_silver
-    if "_action" in ch.columns:
-        ch = ch.where(F.col("_action").isin("insert", "update"))
+def affected_days(rows: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
+    """(Employee_No, work_date) of the given silver/bronze-shaped rows."""
     ts = swipe_timestamp(F.col("Date"), F.col("time"))
     wd = F.coalesce(work_date(ts, cfg), F.col("Date"))
-    return ch.select("Employee_No", wd.alias("work_date")).distinct()
+    return rows.select("Employee_No", wd.alias("work_date")).distinct()
 
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
@@ -63,7 +58,7 @@ def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
     """Recompute whole affected work days from silver and upsert them.
 
     ``day_range`` bounds the affected work days when the caller knows it
-    (from the changed silver partitions); otherwise one aggregate finds it.
+    (from the days the batch holds); otherwise one aggregate finds it.
     By default a day that no longer has any counted swipe keeps its old gold
     row (no delete arm).  ``replace_days=True`` lets the recomputed days
     replace their gold rows wholesale, deleting such rows.
@@ -90,39 +85,37 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
               keep_staging: bool = False) -> BatchResult:
     """Load one batch of raw export rows through the three tables.
 
-    Staged copies (under ``spark.checkpoint.dir``) are removed once the batch
-    has fully succeeded, unless ``keep_staging``; a batch that fails leaves
-    the tables as the last completed step wrote them and can be run again.
+    Every step takes the whole batch, not only what the step before changed:
+    silver re-conforms every day the batch holds and gold rebuilds every work
+    day it touches (unchanged results are classified ``unchanged`` and not
+    rewritten).  So a batch interrupted after any step can simply be run
+    again and heals the later tables.  Staged copies (under
+    ``spark.checkpoint.dir``) are removed once the batch has succeeded,
+    unless ``keep_staging``.
     """
     bronze_src = clean_bronze(raw)
-    bounds = bronze_src.agg(F.min("Date").alias("lo"), F.max("Date").alias("hi")).first()
-    out = BatchResult(bounds["lo"], bounds["hi"])
-    if bounds["lo"] is None:
-        return out
-    rng = (bounds["lo"], bounds["hi"])
-    rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On",
-                partition_range=rng)
+    rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On")
+    days = rb.source_partitions or []
+    out = BatchResult(min(days) if days else None, max(days) if days else None)
     out.counts["bronze"] = rb.counts
     if not keep_staging:
         remove_path(spark, rb.staging)
+    if not days:
+        return out
+    rng = (min(days), max(days))
     bronze = read_table(spark, tables.bronze)
-    src = silver_cast(bronze.where(F.col("Date").between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))))
+    src = silver_cast(bronze.where(F.col("Date").isin(days)))
     # bronze keys map one-to-one onto silver keys: no second reduction
     rs = upsert(spark, tables.silver, src, SILVER_KEYS, "Date", schema=SILVER_SCHEMA,
                 partition_range=rng, unique_keys=True)
     out.counts["silver"] = rs.counts
-    if not rs.partitions_written:
-        if not keep_staging:
-            remove_path(spark, rs.staging)
-        return out
-    # changed rows: the staged merge of this upsert, or the whole new table
-    changed = spark.read.parquet(rs.staging) if rs.staging else read_table(spark, tables.silver, SILVER_SCHEMA)
-    # a changed swipe on calendar day D belongs to work day D-1 or D
-    wd_range = (min(rs.partitions_written) - dt.timedelta(days=1), max(rs.partitions_written))
-    out.counts["gold"] = refresh_gold(spark, tables, affected_days(changed, cfg), cfg, replace_days,
-                                      day_range=wd_range, keep_staging=keep_staging)
     if not keep_staging:
         remove_path(spark, rs.staging)
+    # every work day the batch touches: a swipe on calendar day D belongs to
+    # work day D-1 or D
+    wd_range = (rng[0] - dt.timedelta(days=1), rng[1])
+    out.counts["gold"] = refresh_gold(spark, tables, affected_days(bronze_src, cfg), cfg, replace_days,
+                                      day_range=wd_range, keep_staging=keep_staging)
     return out
 
 

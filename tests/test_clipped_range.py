@@ -30,7 +30,8 @@ def test_reload_is_a_no_op(spark):
     again = run_batch(spark, raw, t)
     for layer in ("bronze", "silver"):
         assert again.counts[layer]["insert"] == 0 and again.counts[layer]["update"] == 0
-    assert "gold" not in again.counts  # nothing changed in silver -> no day recomputed
+    # every day of the batch is rebuilt, and found unchanged: nothing is rewritten
+    assert again.counts["gold"]["insert"] == 0 and again.counts["gold"]["update"] == 0
 
 
 def _reject_day(spark, replace_days):
@@ -53,3 +54,24 @@ def test_rejected_day_removed_with_replace_days(spark):
     res, gold = _reject_day(spark, True)
     assert res.counts["gold"]["delete"] == 1
     assert gold == []
+
+
+def test_rerun_after_interrupted_batch_heals_gold(spark):
+    """A batch that died after silver (gold never written) is simply run again."""
+    from swipeflow.operators import upsert as U
+    from swipeflow.operators.clean import clean_bronze
+    from swipeflow.operators.conform import silver_cast
+    from swipeflow.schemas import BRONZE_KEYS, SILVER_KEYS, SILVER_SCHEMA
+    root = work_path(spark, "rerun")
+    t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+    raw = raw_rows(spark, [("5", "2024-01-10 09:00:00", "IN"), ("5", "2024-01-10 17:30:00", "OUT"),
+                           ("5", "2024-01-11 02:00:00", "IN"), ("5", "2024-01-11 03:00:00", "OUT")])
+    U.upsert(spark, t.bronze, clean_bronze(raw), BRONZE_KEYS, "Date", latest="Received_On")
+    U.upsert(spark, t.silver, silver_cast(read_table(spark, t.bronze)), SILVER_KEYS, "Date",
+             schema=SILVER_SCHEMA, unique_keys=True)
+    res = run_batch(spark, raw, t)
+    assert res.counts["bronze"]["insert"] == 0 and res.counts["silver"]["insert"] == 0
+    assert res.counts["gold"]["insert"] == 1
+    g = read_table(spark, t.gold, GOLD_SCHEMA).collect()
+    assert [(str(r["work_date"]), r["in_time"], r["out_time"]) for r in g] == \
+        [("2024-01-10", "2024-01-10 09:00:00", "2024-01-11 03:00:00")]
