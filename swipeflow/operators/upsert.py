@@ -146,6 +146,9 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
     """
     schema = schema or source.schema
     src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), schema)
+    # the partition value is a function of the key, so the reduction below
+    # cannot change the set of partitions: take it from the cheap side
+    src_parts = src.select(partition_col)
     if not unique_keys:
         src = dedup_by(src, keys, latest)
     if not table_exists(spark, path):
@@ -166,7 +169,7 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], p
         tgt = tgt.where(F.col(partition_col).between(F.lit(partition_range[0]), F.lit(partition_range[1])))
     # partitions to read: the source's, and the scope's (rows the source
     # replaces wholesale may sit in partitions the source no longer reaches)
-    parts = src.select(partition_col)
+    parts = src_parts
     if scope is not None and partition_col in scope.columns:
         parts = parts.unionByName(scope.select(partition_col))
     tgt = tgt.join(F.broadcast(parts.distinct()), partition_col, "left_semi")
