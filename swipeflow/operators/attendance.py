@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import (
-    ceil_minutes, hhmm, normalize_io, over, plus_seconds, round_minutes,
+    hhmm, normalize_io, over, plus_seconds, round_minutes,
     second_of_work_day, swipe_timestamp, under, web_capped, work_date,
 )
 
@@ -207,5 +207,5 @@ def gold_attendance(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
 
 __all__ = [
     "approved_swipes", "slice_summaries", "day_measures", "gold_columns", "gold_attendance",
-    "TIE_BREAK", "DAY", "ceil_minutes",
+    "TIE_BREAK", "DAY_ORDER", "DAY",
 ]

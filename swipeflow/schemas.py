@@ -40,8 +40,6 @@ RAW_SCHEMA = T.StructType(
 )
 
 # Bronze: the 18 renamed columns plus six parts derived from Swipe_Date.
-DERIVED_DATE_PARTS = ["Date", "time", "Year", "Day", "Month_short_name", "Month_Number"]
-
 BRONZE_SCHEMA = T.StructType(
     [T.StructField(RENAME_MAP[f.name], f.dataType) for f in RAW_SCHEMA.fields]
     + [
@@ -87,9 +85,6 @@ SILVER_SCHEMA = T.StructType(
 )
 SILVER_KEYS = ["Employee_No", "Swipe_Date"]
 
-GOLD_STRING_COLUMNS = [
-    "Employee_No", "Employee_Name",
-]
 GOLD_CLOCK_COLUMNS = [
     "in_duration", "out_duration", "full_span",
     "Productive_Overtime", "Productive_Shortfall", "Overall_Overtime", "Overall_Shortfall",
@@ -113,7 +108,6 @@ GOLD_SCHEMA = T.StructType(
     + [T.StructField(c, _D) for c in GOLD_MINUTE_COLUMNS]
 )
 GOLD_KEYS = ["Employee_No", "work_date"]
-GOLD_COLUMNS = GOLD_SCHEMA.fieldNames()
 
 BRONZE_KEYS = ["Employee_No", "Swipe_Date"]
 

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import plus_seconds, time_text, whole_seconds
 from ..schemas import RAW_SCHEMA, SILVER_SCHEMA
 
-EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-
 # --- fixed values: fixture rules ---
 DENSE_EMPLOYEES = 20
 HOT_EVERY = 3            # 'hot': users with user_id % 3 = 0 share badge '0'
