@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,17 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     ``spark.checkpoint.dir``) are removed once the batch has succeeded,
     unless ``keep_staging``.
     """
-    bronze_src = clean_bronze(raw)
+    # the cleaned batch feeds the bronze merge, its partition set and the
+    # affected work days: keep it for the duration of the batch so the
+    # exports are read (workbooks parsed) once; lost blocks are recomputed
+    bronze_src = clean_bronze(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _run(spark, bronze_src, tables, cfg, replace_days, keep_staging)
+    finally:
+        bronze_src.unpersist()
+
+
+def _run(spark, bronze_src, tables, cfg, replace_days, keep_staging) -> BatchResult:
     rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On")
     days = rb.source_partitions or []
     out = BatchResult(min(days) if days else None, max(days) if days else None)
