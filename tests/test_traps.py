@@ -44,3 +44,11 @@ def test_t14_repeat_keys_in_one_load_keep_latest(spark):
 def test_sanitizer_applies_to_extra_headers(spark):
     df = spark.createDataFrame([("1", "x")], "`Employee No` string, `Gate (North)#` string")
     assert C.rename_columns(df).columns == ["Employee_No", "Gate_North"]
+
+
+def test_first_match_type_rule(spark):
+    rows = [("1", "2.5", "true", "2024-01-10 09:00:00", "1", None),
+            ("22", "3", "FALSE", "2024-01-11 10:30:00", "x", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
+    assert C.infer_types(df, df.columns) == {"a": "bigint", "b": "double", "c": "boolean",
+                                             "d": "timestamp_ntz", "e": "string", "f": "string"}
