@@ -20,7 +20,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
@@ -97,9 +97,18 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     # the cleaned batch feeds the bronze merge, its partition set and the
     # affected work days: keep it for the duration of the batch so the
     # exports are read (workbooks parsed) once; lost blocks are recomputed
-    bronze_src = clean_bronze(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    # rows in and rows kept, observed while the batch is first computed (the
+    # removed-row report, without a second pass)
+    seen_in, seen_out = Observation("raw_rows"), Observation("clean_rows")
+    raw = raw.observe(seen_in, F.count(F.lit(1)).alias("n"))
+    bronze_src = clean_bronze(raw).observe(seen_out, F.count(F.lit(1)).alias("n"))
+    bronze_src = bronze_src.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _run(spark, bronze_src, tables, cfg, replace_days, keep_staging)
+        out = _run(spark, bronze_src, tables, cfg, replace_days, keep_staging)
+        out.counts["cleaning"] = {"initial_rows": int(seen_in.get["n"]), "final_rows": int(seen_out.get["n"])}
+        out.counts["cleaning"]["removed_rows"] = (out.counts["cleaning"]["initial_rows"]
+                                                  - out.counts["cleaning"]["final_rows"])
+        return out
     finally:
         bronze_src.unpersist()
 

@@ -75,3 +75,15 @@ def test_rerun_after_interrupted_batch_heals_gold(spark):
     g = read_table(spark, t.gold, GOLD_SCHEMA).collect()
     assert [(str(r["work_date"]), r["in_time"], r["out_time"]) for r in g] == \
         [("2024-01-10", "2024-01-10 09:00:00", "2024-01-11 03:00:00")]
+
+
+def test_batch_reports_removed_rows(spark):
+    from pyspark.sql import functions as F
+    root = work_path(spark, "removed")
+    t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+    raw = raw_rows(spark, [("1", "2024-01-10 09:00:00", "IN"), ("--", "2024-01-10 10:00:00", "IN"),
+                           ("2", "2024-01-10 11:00:00", "OUT")])
+    raw = raw.withColumn("Employee No", F.when(F.col("`Employee No`") == "2", None)
+                         .otherwise(F.col("`Employee No`")))
+    res = run_batch(spark, raw, t)
+    assert res.counts["cleaning"] == {"initial_rows": 3, "final_rows": 1, "removed_rows": 2}
