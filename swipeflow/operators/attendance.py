@@ -199,6 +199,14 @@ def gold_columns(day: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
     )
 
 
+def minutes_as_integers(gold: DataFrame) -> DataFrame:
+    """The eight minute columns as integers for a report; anything that is
+    not a number reads as 0."""
+    from ..schemas import GOLD_MINUTE_COLUMNS
+    return gold.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("long")
+                             for c in GOLD_MINUTE_COLUMNS})
+
+
 def gold_attendance(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
                     start=None, end=None) -> DataFrame:
     """The flagship: silver swipes -> 22-column gold rows."""
@@ -207,5 +215,6 @@ def gold_attendance(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
 
 __all__ = [
     "approved_swipes", "slice_summaries", "day_measures", "gold_columns", "gold_attendance",
+    "minutes_as_integers",
     "TIE_BREAK", "DAY_ORDER", "DAY",
 ]

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import swipe_timestamp, work_date
-from ..operators.attendance import gold_attendance
+from ..operators.attendance import gold_attendance, minutes_as_integers
 from ..operators.clean import clean_bronze
 from ..operators.conform import silver_cast
 from ..operators.upsert import read_table, remove_path, upsert
 from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_SCHEMA, SILVER_KEYS, SILVER_SCHEMA
+from ..sources.files import write_report
 
 
 @dataclass
@@ -44,6 +45,7 @@ class BatchResult:
     start_date: object
     end_date: object
     counts: dict = field(default_factory=dict)
+    report: str | None = None
 
 
 def affected_days(rows: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
@@ -83,7 +85,8 @@ def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
 
 def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
               cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
-              keep_staging: bool = False) -> BatchResult:
+              keep_staging: bool = False, report_root: str | None = None,
+              run_id: str | None = None) -> BatchResult:
     """Load one batch of raw export rows through the three tables.
 
     Every step takes the whole batch, not only what the step before changed:
@@ -93,6 +96,10 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     again and heals the later tables.  Staged copies (under
     ``spark.checkpoint.dir``) are removed once the batch has succeeded,
     unless ``keep_staging``.
+
+    With ``report_root``, the gold rows of the batch's date range are written
+    as a CSV report (minute columns as integers) to
+    ``<report_root>/<run_id>/attendance_report_<first work day>``.
     """
     # the cleaned batch feeds the bronze merge, its partition set and the
     # affected work days: keep it for the duration of the batch so the
@@ -108,6 +115,10 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
         out.counts["cleaning"] = {"initial_rows": int(seen_in.get["n"]), "final_rows": int(seen_out.get["n"])}
         out.counts["cleaning"]["removed_rows"] = (out.counts["cleaning"]["initial_rows"]
                                                   - out.counts["cleaning"]["final_rows"])
+        if report_root and out.start_date is not None:
+            import uuid
+            report = minutes_as_integers(gold_for_range(spark, tables, out.start_date, out.end_date))
+            out.report = write_report(report, report_root, run_id or uuid.uuid4().hex[:12])
         return out
     finally:
         bronze_src.unpersist()

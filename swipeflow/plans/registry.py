@@ -539,8 +539,7 @@ _COERCED = ", ".join(["Employee_No", "Employee_Name", "work_date", "sign_in_meth
 
 
 def coerce_minutes_df(df):
-    return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("long")
-                           for c in GOLD_MINUTE_COLUMNS})
+    return A.minutes_as_integers(df)
 
 
 @register("medallion_two_batches", f"""SELECT {_COERCED} FROM ({_gold_after_two_sql()})

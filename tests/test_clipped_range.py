@@ -87,3 +87,14 @@ def test_batch_reports_removed_rows(spark):
                          .otherwise(F.col("`Employee No`")))
     res = run_batch(spark, raw, t)
     assert res.counts["cleaning"] == {"initial_rows": 3, "final_rows": 1, "removed_rows": 2}
+
+
+def test_batch_writes_report_for_its_range(spark):
+    from swipeflow.sources.files import NO_NULLS, read_csv
+    root = work_path(spark, "report")
+    t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+    raw = raw_rows(spark, [("3", "2024-01-15 09:00:00", "IN"), ("3", "2024-01-15 17:00:00", "OUT")])
+    res = run_batch(spark, raw, t, report_root=f"{root}/reports", run_id="r1")
+    assert res.report.endswith("/r1/attendance_report_2024-01-15")
+    rows = read_csv(spark, res.report, header=True, null_value=NO_NULLS).collect()
+    assert [(r["Employee_No"], r["in_duration"], r["in_duration_minutes"]) for r in rows] == [("3", "08:00", "480")]
