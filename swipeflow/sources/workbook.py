@@ -29,6 +29,16 @@ from pyspark.sql import types as T
 
 from ..schemas import RAW_SCHEMA
 
+# The parsing functions run in Python workers.  Ship them by value, so the
+# workers need pandas and the standard library but not this package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: workers import the package
+    pass
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
