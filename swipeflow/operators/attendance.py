@@ -30,11 +30,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import (
     hhmm, normalize_io, over, plus_seconds, round_minutes,
-    second_of_work_day, swipe_timestamp, under, web_capped, work_date,
+    second_of_work_day, swipe_timestamp, time_text, under, web_capped, work_date,
 )
 
 # Total order of swipes inside one employee-day: time, then direction, then
@@ -67,7 +68,12 @@ def approved_swipes(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
         cond = cond & (F.col("Date") >= F.lit(start).cast("date"))
     if end is not None:
         cond = cond & (F.col("Date") <= F.lit(end).cast("date"))
-    ts = swipe_timestamp(F.col("Date"), F.col("time"))
+    time_col = F.col("time")
+    if isinstance(silver.schema["time"].dataType, (T.TimestampType, T.TimestampNTZType)):
+        # silver tables that keep `time` as a timestamp: only its clock time counts
+        time_col = time_text(time_col.cast("timestamp_ntz"))
+    ts = swipe_timestamp(F.col("Date").cast("date"), time_col)
+    cond = cond & ts.isNotNull()
     s = silver.where(cond).select(
         "Employee_No", "Employee_Name",
         ts.alias("swipe_ts"),

@@ -112,3 +112,18 @@ def test_salt_width_does_not_matter(spark):
     for width in (1, 60, 3600, 200000):
         got = sorted(map(tuple, gold_attendance(s, AttendanceConfig(salt_seconds=width)).collect()))
         assert got == base, width
+
+
+def test_time_as_timestamp_or_fractional_text(spark):
+    """Silver tables that keep `time` as a timestamp (or as text with a
+    fraction) give the same gold as HH:mm:ss text."""
+    from pyspark.sql import functions as F
+    rows = [("T", f"{D} 09:00:00", "IN", CARD, A), ("T", f"{D} 18:00:00", "OUT", CARD, A)]
+    base = silver_rows(spark, rows)
+    want = [tuple(r) for r in gold_attendance(base).collect()]
+    as_ts = base.withColumn("time", F.to_timestamp_ntz(F.concat(F.lit("1970-01-01 "), F.col("time"))))
+    assert [tuple(r) for r in gold_attendance(as_ts).collect()] == want
+    frac = base.withColumn("time", F.concat(F.col("time"), F.lit(".250")))
+    assert [tuple(r) for r in gold_attendance(frac).collect()] == want
+    bad = base.withColumn("time", F.when(F.col("In_Out") == "OUT", F.lit("late")).otherwise(F.col("time")))
+    assert [(r["in_time"], r["out_time"]) for r in gold_attendance(bad).collect()] == [(f"{D} 09:00:00", "")]
