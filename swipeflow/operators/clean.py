@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import sanitize_name, time_text, whole_seconds
+from ..functions.columns import sanitize_name, time_text
 from ..schemas import RENAME_MAP
 
 KEY_RAW = "Employee No"

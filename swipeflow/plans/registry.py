@@ -427,7 +427,7 @@ for _name, _cols in {
 
 # ------------------------------------------------------------------ upserts
 from ..operators import upsert as U  # noqa: E402
-from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_MINUTE_COLUMNS, GOLD_SCHEMA  # noqa: E402
+from ..schemas import BRONZE_KEYS, GOLD_MINUTE_COLUMNS, GOLD_SCHEMA  # noqa: E402
 from ..session import work_path  # noqa: E402
 from . import batch as B  # noqa: E402
 
@@ -575,7 +575,7 @@ def coerce_minutes(spark, sf_dir):
 
 
 # ------------------------------------------------------- sources and sinks
-from ..schemas import BRONZE_SCHEMA, RAW_SCHEMA, ddl  # noqa: E402
+from ..schemas import RAW_SCHEMA, ddl  # noqa: E402
 from ..sources import files as IO  # noqa: E402
 from ..streaming import incremental as ST  # noqa: E402
 
