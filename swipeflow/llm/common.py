@@ -7,7 +7,7 @@ lost executor loses nothing: the files are on storage that every node reads.
 from __future__ import annotations
 
 import sys
-import uuid
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +27,17 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+by_value(__name__)
+
+
+def per_process(key, build):
+    """``build()`` once per Python worker process; later tasks find it again."""
+    store = sys.modules.setdefault("_llm_per_process", types.ModuleType("_llm_per_process")).__dict__
+    if key not in store:
+        store[key] = build()
+    return store[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
