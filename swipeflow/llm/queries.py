@@ -5,11 +5,14 @@ from __future__ import annotations
 from .mixing import op8_subset_sum_mixing
 from .pieces import op5_sentencepiece_backtracking
 from .quality import op1_distribution_divergence
+from .secrets import op7_entropy_secrets
 from .simhash import op6_simhash_bit_sliced
+from .substring import op2_relative_lempel_ziv
 from .tokencount import op10_overlap_resynchronisation
 
 QUERIES = {f.__name__: f for f in (
-    op1_distribution_divergence, op5_sentencepiece_backtracking, op6_simhash_bit_sliced, op8_subset_sum_mixing,
+    op1_distribution_divergence, op2_relative_lempel_ziv, op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
+    op7_entropy_secrets, op8_subset_sum_mixing,
     op10_overlap_resynchronisation,
 )}
 SQL: dict[str, str] = {}
