@@ -9,10 +9,11 @@ from .secrets import op7_entropy_secrets
 from .simhash import op6_simhash_bit_sliced
 from .substring import op2_relative_lempel_ziv
 from .tokencount import op10_overlap_resynchronisation
+from .vectors import op4_subspace_pigeonhole
 
 QUERIES = {f.__name__: f for f in (
-    op1_distribution_divergence, op2_relative_lempel_ziv, op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
-    op7_entropy_secrets, op8_subset_sum_mixing,
-    op10_overlap_resynchronisation,
+    op1_distribution_divergence, op2_relative_lempel_ziv, op4_subspace_pigeonhole,
+    op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
+    op7_entropy_secrets, op8_subset_sum_mixing, op10_overlap_resynchronisation,
 )}
 SQL: dict[str, str] = {}
