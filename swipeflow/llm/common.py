@@ -19,6 +19,7 @@ from ..session import work_path
 WORD = r"[^\x20\x09-\x0D]+"     # a word, as the contracts define it
 GAP = r"[\x20\x09-\x0D]+"       # what stands between words
 # ----------------------------------------------------------------------------
+BITS = 1 << 23                  # bits of a document bitmap: one megabyte
 
 
 def by_value(module: str) -> None:
@@ -98,6 +99,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def split_by_bitmap(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` split into those whose ``key`` (never null) may be among the
+    values of the one column of ``ids``, and those whose key is not.  The bitmap
+    has BITS bits whatever the input; where it is crowded, more documents are
+    named, and none is lost."""
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    bucket, bits, named = fresh(docs, "bucket", "bits", "named")
+    maps = ids.select(bit(F.col(ids.columns[0])).alias("v")).groupBy(F.bitmap_bucket_number("v").alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias(bits))
+    maps = stage(maps, "bitmap")
+    at = F.bitmap_bit_position(bit(col(docs, key)))
+    byte = F.conv(F.hex(F.substr(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (docs.withColumn(bucket, F.bitmap_bucket_number(bit(col(docs, key))))
+              .join(F.broadcast(maps), bucket, "left")       # at most BITS / 32768 rows of 4 KB
+              .withColumn(named, F.coalesce(
+                  F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
+              .drop(bucket, bits))
+    return marked.where(F.col(named)).drop(named), marked.where(~F.col(named)).drop(named)
+
+
 def prefix_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` over all rows in ``order``, without a
     single-task window: range partitions, one total per partition (their number

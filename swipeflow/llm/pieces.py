@@ -32,7 +32,7 @@ from .common import by_value, col, fresh, per_process, table, text_of
 by_value(__name__)
 
 MODEL = "piece_bpe_32k.model"
-CACHED_UNITS = 200_000   # bound on remembered units of a Python worker
+CACHED_UNITS = 600_000   # bound on units, and on pairs, that a Python worker remembers
 CACHED_CHARS = 48        # longer units are not remembered
 
 
@@ -55,6 +55,8 @@ class PieceCodec(dict):
         self.id_of = {p: i for i, p in enumerate(self.piece) if not (
             sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.score = [sp.get_score(i) for i in range(size)]
+        self.width = [len(p) for p in self.piece]
+        self.shown = [p.replace("▁", " ") for p in self.piece]
         chars = {c for p in self.id_of for c in p}
         if any("▁" in p.lstrip("▁") for p in self.id_of) or not chars <= self.id_of.keys() or len(self.byte_id) < 256:
             raise ValueError("needs pieces that hold blanks in front only, single characters and all bytes")
@@ -62,7 +64,7 @@ class PieceCodec(dict):
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             if self.merge(p) == [i]:  # pieces that no merge order reaches never occur
-                self.automaton.add_word(p, i)
+                self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
         self.shorter = {}            # id -> longest piece that is a proper prefix of it
         for p, i in self.id_of.items():
@@ -97,33 +99,31 @@ class PieceCodec(dict):
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two adjacent pieces survive being merged again."""
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 4 * CACHED_UNITS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        if len(self.pairs) >= CACHED_UNITS:
+            self.pairs.clear()
+        ok = self.pairs[a, b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return ok
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a run of known characters."""
-        longest = {}
-        for end, i in self.automaton.iter(text):
-            start = end + 1 - len(self.piece[i])
-            if start not in longest or len(self.piece[longest[start]]) < end + 1 - start:
-                longest[start] = i
-        open_at = (1 << (len(text) + 1)) - 1   # bit p: position p has not failed
+        # matches come by their end, so of one start the longest comes last
+        longest = {end - before: i for end, (before, i) in self.automaton.iter(text)}
+        failed, size, width, pairs = 0, len(text), self.width, self.pairs   # bit p of failed: nothing fits from p on
         ids, pos, token = [], 0, longest[0]
-        while pos < len(text):
+        while pos < size:
             while token is not None:
-                end = pos + len(self.piece[token])
-                if open_at >> end & 1 and (not ids or self.fits(ids[-1], token)):
-                    break
+                end = pos + width[token]
+                if not failed >> end & 1:
+                    if not ids:
+                        break
+                    ok = pairs.get((ids[-1], token))
+                    if ok or ok is None and self.fits(ids[-1], token):
+                        break
                 token = self.shorter[token]
-            if token is None:                  # nothing fits here: mark, step back, try shorter
-                open_at &= ~(1 << pos)
+            if token is None:                  # mark, step back, try shorter
+                failed |= 1 << pos
                 token = ids.pop()
-                pos -= len(self.piece[token])
+                pos -= width[token]
             else:
                 ids.append(token)
                 pos = end
@@ -140,6 +140,8 @@ class PieceCodec(dict):
             else:
                 tail = tail[1:]
             return self.merge("▁" * blanks) + tail
+        if self.known.issuperset(text):
+            return self.backtrack(text)
         ids = []
         for known, run in self.runs(text):
             ids += self.backtrack(run) if known else [self.byte_id[b] for b in run.encode("utf-8", "replace")]
@@ -154,13 +156,10 @@ class PieceCodec(dict):
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, its leading blank kept."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            else:
-                out += self.piece[i].replace("▁", " ").encode()
-        return out.decode("utf-8", "replace")
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
+        return b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.shown[i].encode()
+                         for i in ids]).decode("utf-8", "replace")
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         ids = self.encode_unit(unit)

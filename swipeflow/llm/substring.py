@@ -39,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_value, col, stage, table, text_of, unstage
+from .common import WORD, by_value, col, split_by_bitmap, stage, table, text_of, unstage
 
 by_value(__name__)
 
 WINDOW = 50
 ANCHOR = 10
-BITS = 1 << 23                   # bits of the document bitmap: one megabyte
 LAST = (1 << 63) - 1             # the place of null ids in the order
 TOGETHER = 400_000               # words hashed at once in a task
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -205,25 +204,6 @@ def _digest(window: int, texts_too: bool):
     return run
 
 
-def named_by_bitmap(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (with column d) split into those whose id may be among
-    ``ids(d)`` and those whose id is not.  The bitmap has BITS bits whatever the
-    input; where it is crowded, more documents take the join, none is lost."""
-    def bit(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    maps = ids.select(bit(F.col("d")).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
-    maps = stage(maps, "doc-bitmap")
-    at = F.bitmap_bit_position(bit(F.col("d")))
-    byte = F.conv(F.hex(F.substr("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = (docs.withColumn("bucket", F.bitmap_bucket_number(bit(F.col("d"))))
-              .join(F.broadcast(maps), "bucket", "left")     # at most BITS / 32768 rows of 4 KB
-              .withColumn("named", F.coalesce(
-                  F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
-              .drop("bucket", "bits"))
-    return marked.where("named").drop("named"), marked.where("NOT named").drop("named")
-
-
 def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """``docs(d, t, text)`` -> (d, t, spans): covered windows of each document,
     first to last start."""
@@ -240,7 +220,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     opened = (seen.where("d = ref").groupBy("d", F.shiftrightunsigned("pack", 44).alias("t"))
               .agg(F.collect_list(F.struct("h", "pack")).alias("refs")))
     opened = stage(opened, "rlz-open")
-    named, _ = named_by_bitmap(docs, opened.select("d"))
+    named, _ = split_by_bitmap(docs, "d", opened.select("d"))
     windows = stage(named.join(opened, ["d", "t"]).select("d", "t", "text", "refs").mapInArrow(
         _open(window), "h long, w long, d long, t long, start long"), "rlz-windows")
     least = windows.groupBy("h", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h", "w", "lo")
@@ -267,7 +247,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(col(docs, id_col).cast("long"), F.lit(LAST)).alias("d"),
                        F.shiftrightunsigned(F.xxhash64(text), 44).alias("t"))
     spans = stage(covered(base.select("d", "t", "text"), window, k), "rlz-spans")
-    named, rest = named_by_bitmap(base, spans.select("d"))
+    named, rest = split_by_bitmap(base, "d", spans.select("d"))
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_factors long"
     schema += ", kept_text string" if texts_too else ""
