@@ -1,12 +1,21 @@
-"""Corpus preparation in stages: each takes (spark, docs, sf_dir) and returns a DataFrame,
-written as Parquet and read again as the next one's docs."""
+"""Corpus preparation in stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's docs.  All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from swipeflow.llm.common import stage, table
+from swipeflow.llm.lines import without_later_copies
+from swipeflow.llm.mixing import mix
+from swipeflow.llm.pieces import encode
 from swipeflow.llm.quality import keep_good
+from swipeflow.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,10 +23,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines are deleted; lengths follow the text."""
+    out = without_later_copies(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return keep_one(docs)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs)
+
+
+def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids and the text decoded from them."""
+    return encode(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", mix_to_weights),
+    ("SentencePiece encoding and decoding", sentencepiece_encode),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # fingerprints, the knapsack and the codec are beyond SQL; tests hold run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"     # a word, as the contracts define it
 GAP = r"[\x20\x09-\x0D]+"       # what stands between words
 # ----------------------------------------------------------------------------
 BITS = 1 << 23                  # bits of a document bitmap: one megabyte
+LAST = (1 << 63) - 1            # where null ids stand in the order of ids
 
 
 def by_value(module: str) -> None:

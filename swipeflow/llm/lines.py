@@ -29,10 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, let, prefix_sum, split_by_bitmap, stage, table, text_of, unstage
+from .common import LAST, col, fresh, let, prefix_sum, split_by_bitmap, stage, table, text_of, unstage
 
 MIN_LINES = 2
-LAST = (1 << 63) - 1
 POS = ["d", "t", "n"]
 
 

@@ -152,11 +152,6 @@ def _word_chars(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
 
 
-def histograms(text: Column, lang: Column) -> Column:
-    return F.struct(let(_word_chars(text), lambda n: char_histogram(text, n)).alias("chars"),
-                    let(words(text), lambda w: word_histogram(w, lang)).alias("common"))
-
-
 def language(lang: Column) -> Column:
     return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise("")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .lines import op3_line_suffix_array
 from .mixing import op8_subset_sum_mixing
 from .pieces import op5_sentencepiece_backtracking
+from .pii import op9_keyed_surrogates
 from .quality import op1_distribution_divergence
 from .secrets import op7_entropy_secrets
 from .simhash import op6_simhash_bit_sliced
@@ -15,6 +16,7 @@ from .vectors import op4_subspace_pigeonhole
 QUERIES = {f.__name__: f for f in (
     op1_distribution_divergence, op2_relative_lempel_ziv, op3_line_suffix_array, op4_subspace_pigeonhole,
     op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
-    op7_entropy_secrets, op8_subset_sum_mixing, op10_overlap_resynchronisation,
+    op7_entropy_secrets, op8_subset_sum_mixing, op9_keyed_surrogates,
+    op10_overlap_resynchronisation,
 )}
 SQL: dict[str, str] = {}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_value, col, components, fresh, stage, table, text_of, unstage
+from .common import LAST, WORD, by_value, col, components, fresh, split_by_bitmap, stage, table, text_of
 
 by_value(__name__)
 
@@ -223,11 +223,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     smallest id, once if its rows repeat.  Documents without an id stay."""
     prints = stage(fingerprints(docs, id_col, text_col, k), "simhash-prints")
     found = prints.join(classes(prints, radius, blocks, chunk), "fp")
-    gone = stage(found.where("id != component").select("id").distinct(), "simhash-gone")
-    (g,) = fresh(docs, "gone_id")
-    rest = docs.join(gone.select(F.col("id").alias(g)), col(docs, id_col) == F.col(g), "left_anti")
-    named = rest.where(col(rest, id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(rest.where(col(rest, id_col).isNull()))
+    (key,) = fresh(docs, "id_key")
+    keyed = docs.withColumn(key, F.coalesce(col(docs, id_col).cast("long"), F.lit(LAST)))
+    gone = stage(found.where("id != component").select(F.col("id").cast("long").alias(key)).distinct(), "simhash-gone")
+    named, rest = split_by_bitmap(keyed, key, gone)
+    kept = named.join(gone, key, "left_anti").select(*keyed.columns).unionByName(rest)
+    again = stage(prints.where("id IS NOT NULL").groupBy(F.col("id").cast("long").alias(key)).agg(
+        F.count("*").alias("c")).where("c > 1").select(key), "simhash-again")
+    if not again.isEmpty():      # ids that repeat: one of their rows stays
+        named, rest = split_by_bitmap(kept, key, again)
+        once = named.join(again, key, "left_semi").select(*keyed.columns).dropDuplicates([key])
+        kept = once.unionByName(named.join(again, key, "left_anti").select(*keyed.columns)).unionByName(rest)
+    return kept.drop(key)
 
 
 def op6_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:

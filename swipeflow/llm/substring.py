@@ -39,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_value, col, split_by_bitmap, stage, table, text_of, unstage
+from .common import LAST, WORD, by_value, col, split_by_bitmap, stage, table, text_of, unstage
 
 by_value(__name__)
 
 WINDOW = 50
 ANCHOR = 10
-LAST = (1 << 63) - 1             # the place of null ids in the order
 TOGETHER = 400_000               # words hashed at once in a task
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
