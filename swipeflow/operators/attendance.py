@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import config as cfg_labels
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import (
     hhmm, normalize_io, over, plus_seconds, round_minutes,
@@ -88,13 +89,20 @@ def _order():
     return [F.col("sec")] + [F.col(c).asc_nulls_first() for c in DAY_ORDER]
 
 
+def distinct_swipes(swipes: DataFrame) -> DataFrame:
+    """One row per employee, work day, second, direction and type: equal swipes
+    say nothing more about a day.  Reduced map-side, so a time slice holds at
+    most one row per second and kind whatever was sent how often."""
+    return swipes.groupBy(*DAY, "sec", "io", "Swipe_Type").agg(F.max("Employee_Name").alias("Employee_Name"))
+
+
 def slice_summaries(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
     """One row per (employee, work day, time slice) with island-end sums.
 
     Island ends inside a slice are known from ``lead``; the slice's last
     swipe is settled later by ``day_measures``.
     """
-    s = swipes.withColumn("slice", F.floor(F.col("sec") / F.lit(cfg.salt_seconds)))
+    s = distinct_swipes(swipes).withColumn("slice", F.floor(F.col("sec") / F.lit(cfg.salt_seconds)))
     w = Window.partitionBy(*DAY, "slice").orderBy(*_order())
     s = s.withColumn("nxt", F.lead("io").over(w)).withColumn("rn", F.row_number().over(w))
     end = F.col("nxt").isNotNull() & (F.col("nxt") != F.col("io"))
@@ -182,9 +190,9 @@ def gold_columns(day: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
     dbl = lambda c: c.cast("double")
     return day.select(
         "Employee_No", "Employee_Name", "work_date",
-        F.when(ftype.like(cfg.web_pattern), "Web Sign-In").otherwise("Office Sign-In").alias("sign_in_method"),
-        F.when((first_io != "OUT") & (last_io != "IN"), "Complete swipe")
-        .otherwise("Incomplete swipe").alias("swipe_status"),
+        F.when(ftype.like(cfg.web_pattern), cfg_labels.WEB_LABEL).otherwise(cfg_labels.OFFICE_LABEL).alias("sign_in_method"),
+        F.when((first_io != "OUT") & (last_io != "IN"), cfg_labels.COMPLETE_LABEL)
+        .otherwise(cfg_labels.INCOMPLETE_LABEL).alias("swipe_status"),
         F.when(first_io == "OUT", "").otherwise(F.col("min_in_ts").cast("string")).alias("in_time"),
         F.when(last_io == "IN", "").otherwise(F.col("max_out_ts").cast("string")).alias("out_time"),
         hhmm(in_cap).alias("in_duration"),
@@ -214,9 +222,13 @@ def minutes_as_integers(gold: DataFrame) -> DataFrame:
 
 
 def gold_attendance(silver: DataFrame, cfg: AttendanceConfig = DEFAULT,
-                    start=None, end=None) -> DataFrame:
-    """The flagship: silver swipes -> 22-column gold rows."""
-    return gold_columns(day_measures(approved_swipes(silver, cfg, start, end), cfg), cfg)
+                    start=None, end=None, only: DataFrame | None = None) -> DataFrame:
+    """The flagship: silver swipes -> 22-column gold rows.  ``only`` (employee,
+    work day) keeps the swipes of those days before anything is windowed."""
+    swipes = approved_swipes(silver, cfg, start, end)
+    if only is not None:
+        swipes = swipes.join(only, DAY, "left_semi")
+    return gold_columns(day_measures(swipes, cfg), cfg)
 
 
 __all__ = [

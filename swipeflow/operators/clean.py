@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import sanitize_name, time_text
+from ..functions.columns import sanitize_name, strip, time_text
 from ..schemas import RENAME_MAP
 
 KEY_RAW = "Employee No"
 SWIPE_RAW = "Swipe Date"
 
 
+# --- fixed values: texts that read as missing, and the date-time texts accepted ---
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+SWIPE_FORMATS = ["dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm"]
+# --- end of fixed values ---
+
+
+def key_present(raw: DataFrame, key: str = KEY_RAW) -> Column:
+    """Whether a row has a key: not NULL and no missing-value text."""
+    c = F.col(f"`{key}`")
+    if isinstance(raw.schema[key].dataType, T.StringType):
+        return c.isNotNull() & ~strip(c).isin(MISSING)
+    return c.isNotNull()
+
+
 def drop_missing_key(raw: DataFrame, key: str = KEY_RAW) -> DataFrame:
-    """Rows whose employee number is NULL are dropped."""
-    return raw.dropna(subset=[key])
+    """Rows whose employee number is missing are dropped."""
+    return raw.where(key_present(raw, key))
 
 
-def cast_trim(raw: DataFrame, key: str = KEY_RAW) -> DataFrame:
-    """Employee number as trimmed text (a float-typed key loses its ``.0``)."""
+def key_text(raw: DataFrame, key: str = KEY_RAW) -> Column:
+    """Employee number as text without white space at its ends; a whole number
+    held as a float or decimal has no fraction and no exponent."""
     c = F.col(f"`{key}`")
     if isinstance(raw.schema[key].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-        c = F.regexp_replace(c.cast("string"), r"\.0+$", "")
-    return raw.withColumn(key, F.trim(c.cast("string")))
+        whole = c.cast("double") == F.floor(c.cast("double"))
+        return F.when(whole, c.try_cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+    return strip(c.cast("string"))
+
+
+def cast_trim(raw: DataFrame, key: str = KEY_RAW) -> DataFrame:
+    """The key replaced by its text (``key_text``)."""
+    return raw.withColumn(key, key_text(raw, key))
 
 
 def keep_word_keys(raw: DataFrame, key: str = KEY_RAW) -> DataFrame:
@@ -32,15 +54,18 @@ def keep_word_keys(raw: DataFrame, key: str = KEY_RAW) -> DataFrame:
 
 
 def parse_swipe(raw: DataFrame, col: str = SWIPE_RAW) -> DataFrame:
-    """``Swipe Date`` as timestamp_ntz; text is parsed with ``try_cast``
-    (unparseable -> NULL, kept for the quarantine instead of failing the job)."""
+    """``Swipe Date`` as timestamp_ntz.  Text may be ISO or one of
+    ``SWIPE_FORMATS`` (month first where both are numbers); anything else
+    becomes NULL, kept for the quarantine instead of failing the job."""
     dt = raw.schema[col].dataType
     c = F.col(f"`{col}`")
     if isinstance(dt, T.TimestampNTZType):
         return raw
     if isinstance(dt, T.TimestampType):
         return raw.withColumn(col, c.cast("timestamp_ntz"))
-    return raw.withColumn(col, F.trim(c.cast("string")).try_cast("timestamp_ntz"))
+    text = strip(c.cast("string"))
+    named = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in SWIPE_FORMATS]
+    return raw.withColumn(col, F.coalesce(text.try_cast("timestamp_ntz"), *named))
 
 
 def with_date_parts(df: DataFrame, col: str = SWIPE_RAW) -> DataFrame:
@@ -80,71 +105,65 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(m) if m else df
 
 
+def removal_reason(raw: DataFrame, key: str = KEY_RAW, swipe: str = SWIPE_RAW) -> Column:
+    """Why a row (its swipe time parsed) is removed; NULL if it stays."""
+    return (F.when(~key_present(raw, key), "null_key")
+            .when(~key_text(raw, key).rlike("[a-zA-Z0-9]"), "no_word_key")
+            .when(F.col(f"`{swipe}`").isNull(), "bad_swipe_date"))
+
+
 def cleaning_counts(raw: DataFrame, key: str = KEY_RAW, swipe: str = SWIPE_RAW) -> DataFrame:
     """One-row report of why rows are removed, in one pass (no second scan)."""
-    k = F.col(f"`{key}`")
-    kt = F.trim(k.cast("string"))
-    sw = F.col(f"`{swipe}`")
-    bad_key = k.isNotNull() & ~kt.rlike("[a-zA-Z0-9]")
+    why = removal_reason(raw, key, swipe)
     return raw.agg(
         F.count(F.lit(1)).alias("initial_rows"),
-        F.count_if(k.isNull()).alias("null_key"),
-        F.count_if(bad_key).alias("no_word_key"),
-        F.count_if(k.isNotNull() & ~bad_key & sw.isNull()).alias("bad_swipe_date"),
-        F.count_if(k.isNotNull() & ~bad_key & sw.isNotNull()).alias("final_rows"),
+        *[F.count_if(why == r).alias(r) for r in ("null_key", "no_word_key", "bad_swipe_date")],
+        F.count_if(why.isNull()).alias("final_rows"),
     ).withColumn("removed_rows", F.col("initial_rows") - F.col("final_rows"))
 
 
-def clean_bronze(raw: DataFrame, quarantine: bool = False):
-    """Raw export -> bronze (18 renamed columns + 6 date parts).
+def classified(raw: DataFrame) -> DataFrame:
+    """Bronze rows (18 renamed columns, 6 date parts, any others) of all raw
+    rows, with ``_reason`` (NULL: the row stays) and, for rows that do not stay,
+    ``_raw``: the row as it came, as JSON."""
+    given = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"ignoreNullFields": "false"})
+    df = parse_swipe(raw.withColumn("_raw", given))
+    df = df.withColumn("_reason", removal_reason(df)).withColumn(
+        "_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw")))
+    names = table_names(raw.columns)
+    df = with_date_parts(cast_trim(df))
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()],
+                     "Date", "time", "Year", "Day", "Month_short_name", "Month_Number", "_reason", "_raw")
 
-    Rows with an unparseable or missing swipe time cannot be keyed; they are
-    dropped from bronze and, with ``quarantine=True``, returned separately.
-    """
-    df = keep_word_keys(cast_trim(drop_missing_key(raw)))
-    df = parse_swipe(df)
-    good = with_date_parts(df.where(F.col(f"`{SWIPE_RAW}`").isNotNull()))
-    good = rename_columns(good)
+
+def clean_bronze(raw: DataFrame, quarantine: bool = False):
+    """Raw export -> bronze.  With ``quarantine=True`` also the rows that are
+    not in it, as (reason, row)."""
+    df = classified(raw)
+    good = df.where(F.col("_reason").isNull()).drop("_reason", "_raw")
     if not quarantine:
         return good
-    bad = df.where(F.col(f"`{SWIPE_RAW}`").isNull())
-    return good, rename_columns(bad)
-
-
-# Type rule for columns that arrive without a declared type, first match wins.
-TYPE_ORDER = (("bigint", "BIGINT"), ("double", "DOUBLE"), ("boolean", "BOOLEAN"),
-              ("timestamp_ntz", "TIMESTAMP"))
-
-
-def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Spark type for each text column: the first of bigint, double,
-    boolean, timestamp that every non-NULL value casts to, else string.
-    One aggregate pass over the data; only the counts reach the driver."""
-    if not columns:
-        return {}
-    aggs = []
-    for c in columns:
-        col = F.col(f"`{c}`")
-        aggs.append(F.count(col).alias(f"{c}|n"))
-        for t, _ in TYPE_ORDER:
-            aggs.append(F.count(col.try_cast(t)).alias(f"{c}|{t}"))
-    r = df.agg(*aggs).first()
-    out = {}
-    for c in columns:
-        n = r[f"{c}|n"]
-        out[c] = next((t for t, _ in TYPE_ORDER if n and r[f"{c}|{t}"] == n), "string")
-    return out
-
-
-def expand_extra_columns(df: DataFrame, col: str = "extra", infer: bool = True) -> DataFrame:
-    """Headers kept in a header -> text map become columns of their own,
-    named by the sanitizer rule and typed by ``infer_types``.  Only the
-    distinct header names are gathered (bounded by the headers, not rows)."""
-    keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(F.col(col)))).distinct().collect())
-    names = table_names([c for c in df.columns if c != col] + keys)
-    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c != col],
-                    *[F.col(col)[k].alias(names[k]) for k in keys])
-    if infer and keys:
-        types = infer_types(out, [names[k] for k in keys])
-        out = out.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in types.items() if t != "string"})
-    return out
+    lineage = [c for c in ("source_file",) if c in raw.columns]
+    return good, df.where(F.col("_reason").isNotNull()).select(
+        *lineage, F.col("_reason").alias("reason"), F.col("_raw").alias("row"))
+
+
+def declared_type(kind: T.DataType) -> str:
+    """Table type of a column that the table does not declare, by the type it
+    comes with; text stays text."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "double"
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    return "timestamp_ntz" if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "string"
+
+
+def typed_extras(df: DataFrame, declared: list[str]) -> DataFrame:
+    """``df`` with columns renamed by the table rule and those outside
+    ``declared`` cast to their ``declared_type``."""
+    names = table_names(df.columns)
+    return df.select(*[
+        (F.col(f"`{c}`") if c in declared else F.col(f"`{c}`").cast(declared_type(df.schema[c].dataType))).alias(n)
+        for c, n in names.items()])

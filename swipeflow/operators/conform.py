@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import digits_only
 from ..schemas import SILVER_KEYS, SILVER_SCHEMA
+from .upsert import dedup_by
 
 
 def silver_cast(bronze: DataFrame) -> DataFrame:
@@ -32,15 +33,12 @@ def silver_cast(bronze: DataFrame) -> DataFrame:
 def dedup_latest(df: DataFrame, keys: list[str] = SILVER_KEYS, latest: str = "Received_On") -> DataFrame:
     """Keep the most recently received row per key.
 
-    Written as ``max_by`` over (received time, then the whole row as a
-    deterministic tie-breaker) rather than ``row_number``: it is an
-    aggregate, so Spark reduces each key map-side before the shuffle and a
-    key re-sent a billion times never reaches one task as a billion rows.
+    The row is its own order: ``max`` of one struct that begins with the
+    received time.  It is an aggregate, so Spark reduces each key map-side
+    before the shuffle and a key re-sent a billion times never reaches one task
+    as a billion rows.
     """
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(latest), *[F.col(c) for c in rest if c != latest])
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    return dedup_by(df, keys, latest)
 
 
 def conform_silver(bronze: DataFrame, start=None, end=None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Keyed upsert with change detection on a partitioned Parquet table.
 
-Semantics (for every key in source or target):
+For every key in source or target:
 
 * key only in source            -> ``insert``
 * in both, any compared column differs (NULL-safe) -> ``update`` (source row wins)
@@ -9,25 +9,31 @@ Semantics (for every key in source or target):
   ``delete`` when the caller names a scope of keys the source fully owns
   (e.g. whole recomputed work days) and the key is inside it
 
-Plan for a table partitioned by a column that is a function of the key
-(so a row never moves partition):
-
-1. source keys must be non-NULL and unique (``dedup_by`` enforces latest-wins);
-2. the target is read only for the partitions the source touches: a
-   left-semi join with the source's distinct partition values lets dynamic
-   partition pruning drop the others in the scan (the broadcast holds
-   partition values, e.g. days, never rows);
-3. FULL OUTER JOIN on the keys classifies every row (one shuffle of the two
-   sides on the keys);
-4. the merged partitions are written once to a staging folder under the
-   shared checkpoint folder, which also cuts lineage to the target;
-5. only partitions holding an insert or update are overwritten from the
-   staged copy with dynamic partition overwrite.  If that last step is
-   interrupted it can be repeated from the staged copy.
+The table keeps the union of all columns it was ever given.  A load without a
+column leaves that column's values alone; lineage columns (``source_file``) are
+stored but are no change by themselves.  With ``newer_by`` a source row that is
+older than the stored one changes nothing, so results do not depend on the
+order or the cut of loads.
+
+For a table partitioned by a column that is a function of the key:
+
+1. source keys are non-NULL and unique (``dedup_by`` enforces latest-wins);
+2. the target is read for the partitions the source touches only (their values
+   are known to the caller or collected, up to ``max_partitions``);
+3. a FULL OUTER JOIN on the keys classifies every row;
+4. the merged partitions are written to a staging folder inside the table's
+   own (its name starts with ``_``, so no reader sees it);
+5. a commit marker names the staged folder and the partitions that hold a
+   change; only those are moved in, each in place of the old one, then the
+   marker goes.  After an interruption the marker is found by the next upsert
+   or ``read_table`` of the table, which finishes the move: no step between
+   loses a row.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,9 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_distinct
-from ..session import work_path
+from ..session import remove_path
 
 ACTIONS = ("insert", "update", "unchanged", "target_only", "delete")
+LINEAGE = ("source_file",)
+PENDING, SCHEMA_FILE = "_pending", "_table_schema"
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -56,25 +64,31 @@ def changed(t_cols: list[Column], s_cols: list[Column]) -> Column:
 
 
 def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
-               compare: list[str] | None = None, scope: DataFrame | None = None) -> DataFrame:
+               compare: list[str] | None = None, scope: DataFrame | None = None,
+               newer_by: str | None = None) -> DataFrame:
     """Rows of the table after the upsert, with an ``_action`` column.
 
-    ``scope`` (distinct key columns, a subset of ``keys``) marks target rows
-    the source replaces wholesale: those missing from the source become
-    ``delete`` rows, which the writer drops.
+    Columns that the source lacks keep the target's values.  ``scope`` (distinct
+    key columns, a subset of ``keys``) marks target rows the source replaces
+    wholesale: those missing from the source become ``delete`` rows, which the
+    writer drops.
     """
-    cols = target.columns
+    cols, given = target.columns, set(source.columns)
     vals = [c for c in cols if c not in keys]
-    compare = [c for c in (compare or vals)]
-    s = source.select(*[F.col(f"`{c}`").alias(f"s_{c}") if c not in keys else F.col(f"`{c}`")
-                        for c in cols], F.lit(True).alias("_in_s"))
-    t = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") if c not in keys else F.col(f"`{c}`")
-                        for c in cols], F.lit(True).alias("_in_t"))
+    compare = compare or [c for c in vals if c in given and c not in LINEAGE]
+
+    def side(df, mark):
+        return df.select(*keys, *[F.col(f"`{c}`").alias(f"{mark}_{c}") for c in vals if c in df.columns],
+                         F.lit(True).alias(f"_in_{mark}"))
+    s, t = side(source, "s"), side(target, "t")
     if scope is not None:
         sk = scope.columns
         t = t.join(scope.select(*sk).distinct().withColumn("_in_scope", F.lit(True)), sk, "left")
     j = t.join(s, on=keys, how="full_outer")
     diff = changed([F.col(f"t_{c}") for c in compare], [F.col(f"s_{c}") for c in compare])
+    if newer_by:
+        old, new = F.col(f"t_{newer_by}"), F.col(f"s_{newer_by}")
+        diff = diff & F.coalesce(new >= old, old.isNull())
     gone = F.col("_in_s").isNull() & (F.col("_in_scope").isNotNull() if scope is not None else F.lit(False))
     action = (F.when(F.col("_in_t").isNull(), "insert")
               .when(gone, "delete")
@@ -83,9 +97,14 @@ def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
               .otherwise("unchanged"))
     j = j.withColumn("_action", action)
     take_s = F.col("_action").isin("insert", "update")
-    out = [F.col(c) if c in keys else F.when(take_s, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c)
-           for c in cols]
-    return j.select(*out, "_action")
+
+    def value(c):
+        if c in keys:
+            return F.col(c)
+        if c not in given:
+            return F.col(f"t_{c}").alias(c)
+        return F.when(take_s, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c)
+    return j.select(*map(value, cols), "_action")
 
 
 def action_counts(merged: DataFrame) -> DataFrame:
@@ -94,14 +113,13 @@ def action_counts(merged: DataFrame) -> DataFrame:
 
 
 def dedup_by(df: DataFrame, keys: list[str], latest: str | None) -> DataFrame:
-    """One row per key: the latest by ``latest`` (whole row breaks ties), as
-    an aggregate so repeated keys are reduced map-side."""
+    """One row per key: the latest by ``latest``; the whole row breaks ties,
+    lineage last.  The row is its own order (``max`` of one struct), reduced
+    map-side."""
     rest = [c for c in df.columns if c not in keys]
-    order_cols = ([latest] if latest else []) + [c for c in rest if c != latest]
-    order = F.struct(*[F.col(f"`{c}`") for c in order_cols])
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    picked = df.groupBy(*keys).agg(F.max_by(row, order).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    rest.sort(key=lambda c: (c != latest, c in LINEAGE))
+    picked = df.groupBy(*keys).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r"))
+    return picked.select(*keys, "_r.*").select(*[f"`{c}`" for c in df.columns])
 
 
 @dataclass
@@ -109,8 +127,56 @@ class UpsertResult:
     path: str
     counts: dict
     partitions_written: list
-    staging: str | None
-    source_partitions: list | None = None
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _put(spark: SparkSession, path: str, name: str, value) -> None:
+    """A small JSON file beside the table's data, there whole or not at all."""
+    fs, tmp = _fs(spark, f"{path}/{name}.new")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    final = _fs(spark, f"{path}/{name}")[1]
+    fs.delete(final, False)
+    if not fs.rename(tmp, final):
+        raise OSError(f"could not write {path}/{name}")
+
+
+def _get(spark: SparkSession, path: str, name: str):
+    fs, p = _fs(spark, f"{path}/{name}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish the last upsert of a table if it stopped while moving partitions
+    in.  Each move can be repeated: a staged partition still there replaces the
+    old one, one that is gone has been moved."""
+    todo = _get(spark, path, PENDING)
+    if todo is None:
+        return
+    for name in todo["moved"]:
+        fs, staged = _fs(spark, f"{path}/{todo['staging']}/{name}")
+        if fs.exists(staged):
+            old = _fs(spark, f"{path}/{name}")[1]
+            fs.delete(old, True)
+            if not fs.rename(staged, old):
+                raise OSError(f"could not move {staged}")
+    for name in todo["emptied"]:
+        remove_path(spark, f"{path}/{name}")
+    if todo.get("schema"):
+        _put(spark, path, SCHEMA_FILE, todo["schema"])
+    remove_path(spark, f"{path}/{PENDING}")
+    remove_path(spark, f"{path}/{todo['staging']}")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -125,100 +191,87 @@ def table_exists(spark: SparkSession, path: str) -> bool:
                for s in fs.listStatus(p))
 
 
+def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """All columns of a table, or None if no upsert made it."""
+    stored = _get(spark, path, SCHEMA_FILE)
+    return T.StructType.fromJson(stored) if stored else None
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(path)
+    """The table, with ``schema`` or else all its columns; an interrupted
+    upsert is finished first."""
+    recover(spark, path)
+    schema = schema or table_schema(spark, path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def partition_values(df: DataFrame, partition_col: str, most: int) -> list:
+    """Distinct partition values (days), at most ``most`` of them."""
+    values = [r[0] for r in df.select(partition_col).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} values of {partition_col}; load fewer at once or raise max_partitions")
+    return sorted(values)
 
 
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition_col: str,
            schema: T.StructType | None = None, compare: list[str] | None = None,
-           latest: str | None = None, partition_range: tuple | None = None,
-           unique_keys: bool = False, scope: DataFrame | None = None) -> UpsertResult:
+           latest: str | None = None, partitions: list | None = None,
+           unique_keys: bool = False, scope: DataFrame | None = None,
+           newer_by: str | None = None, max_partitions: int = 100_000, commit: bool = True) -> UpsertResult:
     """Upsert ``source`` into the Parquet table at ``path`` (created if missing).
 
-    The target is read only for the partitions the source holds (dynamic
-    partition pruning); ``partition_range`` (lo, hi), when the caller knows
-    it, adds a static filter that also trims the file listing.
-    ``unique_keys`` skips the latest-wins reduction for a source that has one
-    row per key by construction.  ``scope``: see ``merge_plan``.
+    ``partitions``: the partition values that source and scope hold, if the
+    caller knows them; else they are collected.  ``unique_keys`` skips the
+    latest-wins reduction for a source with one row per key by construction.
+    ``scope``, ``newer_by``: see ``merge_plan``.  ``commit=False`` stops with
+    the marker written (for tests of recovery).
     """
-    schema = schema or source.schema
-    src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), schema)
-    # the partition value is a function of the key, so the reduction below
-    # cannot change the set of partitions: take it from the cheap side
-    src_parts = src.select(partition_col)
+    path = path.rstrip("/")
+    recover(spark, path)
+    declared = schema or source.schema
+    exists = table_exists(spark, path)
+    stored = table_schema(spark, path) or (spark.read.parquet(path).schema if exists else T.StructType())
+    full = T.StructType([*stored.fields, *[f for f in declared.fields if f.name not in stored.fieldNames()]])
+    given = T.StructType([f for f in full.fields if f.name in source.columns])
+    src = align(source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), given)
+    touched = src.select(partition_col)   # a function of the key: the reduction below cannot change the set
     if not unique_keys:
         src = dedup_by(src, keys, latest)
-    if not table_exists(spark, path):
-        # first load: every row is an insert; the commit protocol makes the
-        # new table appear whole or not at all, so no staged copy is needed
+    if not exists:
+        # first load: the commit protocol makes the table appear whole or not at all
         obs = Observation("create")
-        src = src.observe(obs, F.count(F.lit(1)).alias("n"),
-                          F.collect_set(F.col(partition_col)).alias("_parts"))
-        src.hint("rebalance", partition_col).write.mode("overwrite") \
-            .partitionBy(partition_col).parquet(path)
-        m = obs.get
-        counts = {a: 0 for a in ACTIONS}
-        counts["insert"] = int(m["n"])
-        parts = sorted(m["_parts"])
-        return UpsertResult(path, counts, parts, None, parts)
-    tgt = read_table(spark, path, schema)
-    if partition_range is not None:
-        tgt = tgt.where(F.col(partition_col).between(F.lit(partition_range[0]), F.lit(partition_range[1])))
-    # partitions to read: the source's, and the scope's (rows the source
-    # replaces wholesale may sit in partitions the source no longer reaches)
-    parts = src_parts
-    if scope is not None and partition_col in scope.columns:
-        parts = parts.unionByName(scope.select(partition_col))
-    tgt = tgt.join(F.broadcast(parts.distinct()), partition_col, "left_semi")
-    merged = merge_plan(align(tgt, schema), src, keys, compare, scope)
-    # counts and the partitions holding an insert/update, gathered while the
-    # staged copy is written (no second pass); the set holds partition
-    # values (days), not rows
+        src.observe(obs, F.count(F.lit(1)).alias("n"), F.collect_set(F.col(partition_col)).alias("parts")) \
+            .hint("rebalance", partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(path)
+        _put(spark, path, SCHEMA_FILE, given.jsonValue())
+        return UpsertResult(path, dict.fromkeys(ACTIONS, 0) | {"insert": int(obs.get["n"])}, sorted(obs.get["parts"]))
+    if partitions is None:
+        if scope is not None and partition_col in scope.columns:
+            touched = touched.unionByName(scope.select(partition_col))
+        partitions = partition_values(touched, partition_col, max_partitions)
+    tgt = spark.read.schema(full).parquet(path).where(F.col(partition_col).isin(partitions))
+    merged = merge_plan(tgt, src, keys, compare, scope, newer_by)
+    # counts and changed partitions, gathered while the staged copy is written;
+    # the sets hold partition values that ``partitions`` bounds
     obs = Observation("upsert")
-    is_new = F.col("_action").isin("insert", "update", "delete")
+    value, action = F.col(partition_col), F.col("_action")
     merged = merged.observe(
-        obs,
-        *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS],
-        F.collect_set(F.when(is_new, F.col(partition_col))).alias("_dirty"),
-        F.collect_set(F.when(F.col("_action") != "delete", F.col(partition_col))).alias("_kept"),
-        F.collect_set(F.when(F.col("_action").isin("insert", "update", "unchanged"),
-                             F.col(partition_col))).alias("_src"),
-    )
-    staging = work_path(spark, "upsert-staging")
+        obs, *[F.count_if(action == a).alias(a) for a in ACTIONS],
+        F.collect_set(F.when(action.isin("insert", "update", "delete"), value)).alias("_dirty"),
+        F.collect_set(F.when(action != "delete", value)).alias("_kept"))
+    staging = f"_staging-{uuid.uuid4().hex[:12]}"
     # rebalance: AQE sizes the output files and splits a skewed partition value
-    merged.hint("rebalance", partition_col).write.mode("overwrite") \
-        .partitionBy(partition_col).parquet(staging)
+    merged.where(action != "delete").drop("_action").hint("rebalance", partition_col) \
+        .write.mode("overwrite").partitionBy(partition_col).parquet(f"{path}/{staging}")
     m = obs.get
-    counts = {a: int(m[a]) for a in ACTIONS}
-    dirty = sorted(m["_dirty"])
+    dirty, kept = sorted(m["_dirty"]), set(m["_kept"])
+    folder = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     if dirty:
-        staged = spark.read.schema(T.StructType(schema.fields + [T.StructField("_action", T.StringType())])) \
-            .parquet(staging)
-        out = staged.where(F.col(partition_col).isin(dirty) & (F.col("_action") != "delete")).drop("_action")
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(partition_col).parquet(path))
-        # dynamic overwrite leaves partitions absent from the output alone, so
-        # a partition whose rows were all deleted is removed explicitly
-        emptied = sorted(set(dirty) - set(m["_kept"]))
-        if emptied:
-            _drop_partitions(spark, path, partition_col, emptied)
-    return UpsertResult(path, counts, dirty, staging, sorted(m["_src"]))
-
-
-def remove_path(spark: SparkSession, path: str | None) -> None:
-    """Delete a folder this library created (a staged copy), if present."""
-    if not path:
-        return
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _drop_partitions(spark: SparkSession, path: str, partition_col: str, values: list) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for v in values:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition_col}={v}")
-        p.getFileSystem(conf).delete(p, True)
+        _put(spark, path, PENDING, {
+            "staging": staging, "moved": [folder(partition_col, str(d)) for d in dirty if d in kept],
+            "emptied": [folder(partition_col, str(d)) for d in dirty if d not in kept],
+            "schema": full.jsonValue() if full != stored else None})
+        if commit:
+            recover(spark, path)
+    else:
+        remove_path(spark, f"{path}/{staging}")
+    return UpsertResult(path, {a: int(m[a]) for a in ACTIONS}, dirty)

@@ -17,27 +17,35 @@ all of its swipes, not from the fragment in this batch.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
 from ..functions.columns import swipe_timestamp, work_date
 from ..operators.attendance import gold_attendance, minutes_as_integers
-from ..operators.clean import clean_bronze
+from ..operators.clean import classified
 from ..operators.conform import silver_cast
-from ..operators.upsert import read_table, remove_path, upsert
+from ..operators.upsert import ACTIONS, partition_values, read_table, upsert
 from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_SCHEMA, SILVER_KEYS, SILVER_SCHEMA
+from ..session import materialize, remove_path, work_path
 from ..sources.files import write_report
 
+MAX_DAYS = 100_000   # days a batch may touch; more is refused
+
 
 @dataclass
 class Tables:
     bronze: str
     silver: str
     gold: str
+    quarantine: str | None = None    # default: beside bronze
+
+    @property
+    def rejects(self) -> str:
+        return self.quarantine or self.bronze.rstrip("/") + "_quarantine"
 
 
 @dataclass
@@ -56,102 +64,92 @@ def affected_days(rows: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame
 
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
-                 cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
-                 day_range: tuple | None = None, keep_staging: bool = False) -> dict:
+                 cfg: AttendanceConfig = DEFAULT, replace_days: bool = False) -> dict:
     """Recompute whole affected work days from silver and upsert them.
 
-    ``day_range`` bounds the affected work days when the caller knows it
-    (from the days the batch holds); otherwise one aggregate finds it.
-    By default a day that no longer has any counted swipe keeps its old gold
-    row (no delete arm).  ``replace_days=True`` lets the recomputed days
-    replace their gold rows wholesale, deleting such rows.
+    ``days`` (Employee_No, work_date; cheap to read, it is read three times)
+    limits the swipes before they are windowed, and its set of days, not their
+    span, limits what is read.  By default a day that no longer has any counted
+    swipe keeps its old gold row (no delete arm); with ``replace_days`` the
+    recomputed days replace their gold rows wholesale, deleting such rows.
     """
-    if day_range is None:
-        b = days.agg(F.min("work_date").alias("lo"), F.max("work_date").alias("hi")).first()
-        day_range = (b["lo"], b["hi"]) if b is not None else (None, None)
-    lo, hi = day_range
-    if lo is None:
-        return {"insert": 0, "update": 0, "unchanged": 0, "target_only": 0, "delete": 0}
-    silver = read_table(spark, tables.silver, SILVER_SCHEMA)
-    rng = silver.where(F.col("Date").between(F.lit(lo), F.date_add(F.lit(hi), 1)))
-    fresh = gold_attendance(rng, cfg).join(days, GOLD_KEYS, "left_semi")
-    res = upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA,
-                 partition_range=(lo, hi), unique_keys=True,
-                 scope=days if replace_days else None)
-    if not keep_staging:
-        remove_path(spark, res.staging)
-    return res.counts
+    dates = partition_values(days, "work_date", MAX_DAYS)
+    if not dates:
+        return dict.fromkeys(ACTIONS, 0)
+    calendar = sorted({*dates, *(d + dt.timedelta(days=1) for d in dates)})
+    silver = read_table(spark, tables.silver, SILVER_SCHEMA).where(F.col("Date").isin(calendar))
+    fresh = gold_attendance(silver, cfg, only=days)
+    return upsert(spark, tables.gold, fresh, GOLD_KEYS, "work_date", schema=GOLD_SCHEMA, partitions=dates,
+                  unique_keys=True, scope=days if replace_days else None).counts
 
 
 def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
-              cfg: AttendanceConfig = DEFAULT, replace_days: bool = False,
-              keep_staging: bool = False, report_root: str | None = None,
-              run_id: str | None = None) -> BatchResult:
+              cfg: AttendanceConfig = DEFAULT, replace_days: bool = False, report_root: str | None = None,
+              run_id: str | None = None, newer_only: bool = False) -> BatchResult:
     """Load one batch of raw export rows through the three tables.
 
+    The exports are read once: cleaned rows are staged in the shared folder.
+    Rows whose key or swipe time cannot be read go to the quarantine table
+    (reason and the row as it came), under the run id, so kept and quarantined
+    rows add up to the rows read.
+
     Every step takes the whole batch, not only what the step before changed:
     silver re-conforms every day the batch holds and gold rebuilds every work
-    day it touches (unchanged results are classified ``unchanged`` and not
-    rewritten).  So a batch interrupted after any step can simply be run
-    again and heals the later tables.  Staged copies (under
-    ``spark.checkpoint.dir``) are removed once the batch has succeeded,
-    unless ``keep_staging``.
+    day it touches (unchanged results are not rewritten).  So a batch
+    interrupted after any step can simply be run again and heals the later
+    tables.  With ``newer_only`` a copy of a swipe updates only if it was not
+    received before the stored one.
 
     With ``report_root``, the gold rows of the batch's date range are written
     as a CSV report (minute columns as integers) to
     ``<report_root>/<run_id>/attendance_report_<first work day>``.
     """
-    # the cleaned batch feeds the bronze merge, its partition set and the
-    # affected work days: keep it for the duration of the batch so the
-    # exports are read (workbooks parsed) once; lost blocks are recomputed
-    # rows in and rows kept, observed while the batch is first computed (the
-    # removed-row report, without a second pass)
-    seen_in, seen_out = Observation("raw_rows"), Observation("clean_rows")
-    raw = raw.observe(seen_in, F.count(F.lit(1)).alias("n"))
-    bronze_src = clean_bronze(raw).observe(seen_out, F.count(F.lit(1)).alias("n"))
-    bronze_src = bronze_src.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = _run(spark, bronze_src, tables, cfg, replace_days, keep_staging)
-        out.counts["cleaning"] = {"initial_rows": int(seen_in.get["n"]), "final_rows": int(seen_out.get["n"])}
-        out.counts["cleaning"]["removed_rows"] = (out.counts["cleaning"]["initial_rows"]
-                                                  - out.counts["cleaning"]["final_rows"])
-        if report_root and out.start_date is not None:
-            import uuid
-            report = minutes_as_integers(gold_for_range(spark, tables, out.start_date, out.end_date))
-            out.report = write_report(report, report_root, run_id or uuid.uuid4().hex[:12])
-        return out
-    finally:
-        bronze_src.unpersist()
+    run_id = run_id or uuid.uuid4().hex[:12]
+    seen = Observation("rows")
+    staged = work_path(spark, "batch")
+    rows = classified(raw)
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("_reason").isNull()).alias("kept")) \
+        .write.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    n, kept = int(seen.get["n"]), int(seen.get["kept"])
+    if kept < n:
+        lineage = [c for c in ("source_file",) if c in rows.columns]
+        rows.where(F.col("_reason").isNotNull()).select(
+            *lineage, F.col("_reason").alias("reason"), F.col("_raw").alias("row"), F.lit(run_id).alias("run_id")) \
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(tables.rejects)
+    good = rows.where(F.col("_reason").isNull()).drop("_reason", "_raw")
+    out = _run(spark, good, tables, cfg, replace_days, "Received_On" if newer_only else None)
+    out.counts["cleaning"] = {"initial_rows": n, "final_rows": kept, "removed_rows": n - kept}
+    if report_root and out.start_date is not None:
+        report = minutes_as_integers(gold_for_range(spark, tables, out.start_date, out.end_date))
+        out.report = write_report(report, report_root, run_id, first=out.start_date)
+    remove_path(spark, staged)
+    return out
 
 
-def _run(spark, bronze_src, tables, cfg, replace_days, keep_staging) -> BatchResult:
-    rb = upsert(spark, tables.bronze, bronze_src, BRONZE_KEYS, "Date", latest="Received_On")
-    days = rb.source_partitions or []
-    out = BatchResult(min(days) if days else None, max(days) if days else None)
-    out.counts["bronze"] = rb.counts
-    if not keep_staging:
-        remove_path(spark, rb.staging)
+def _run(spark, good, tables, cfg, replace_days, newer_by) -> BatchResult:
+    days = partition_values(good, "Date", MAX_DAYS)
+    out = BatchResult(min(days), max(days)) if days else BatchResult(None, None)
     if not days:
         return out
-    rng = (min(days), max(days))
-    bronze = read_table(spark, tables.bronze)
-    src = silver_cast(bronze.where(F.col("Date").isin(days)))
+    out.counts["bronze"] = upsert(spark, tables.bronze, good, BRONZE_KEYS, "Date", latest="Received_On",
+                                  partitions=days, newer_by=newer_by).counts
+    bronze = read_table(spark, tables.bronze).where(F.col("Date").isin(days))
     # bronze keys map one-to-one onto silver keys: no second reduction
-    rs = upsert(spark, tables.silver, src, SILVER_KEYS, "Date", schema=SILVER_SCHEMA,
-                partition_range=rng, unique_keys=True)
-    out.counts["silver"] = rs.counts
-    if not keep_staging:
-        remove_path(spark, rs.staging)
+    out.counts["silver"] = upsert(spark, tables.silver, silver_cast(bronze), SILVER_KEYS, "Date", schema=SILVER_SCHEMA,
+                                  partitions=days, unique_keys=True).counts
     # every work day the batch touches: a swipe on calendar day D belongs to
     # work day D-1 or D
-    wd_range = (rng[0] - dt.timedelta(days=1), rng[1])
-    out.counts["gold"] = refresh_gold(spark, tables, affected_days(bronze_src, cfg), cfg, replace_days,
-                                      day_range=wd_range, keep_staging=keep_staging)
+    touched = materialize(affected_days(good, cfg))
+    out.counts["gold"] = refresh_gold(spark, tables, touched, cfg, replace_days)
     return out
 
 
 def gold_for_range(spark: SparkSession, tables: Tables, start=None, end=None) -> DataFrame:
-    """Gold rows for a work-day range, ordered by employee and day (one read)."""
+    """Gold rows for a work-day range, ordered by employee and day (one read).
+    A range has both bounds or none."""
+    if (start is None) != (end is None):
+        raise ValueError("give both start and end, or neither")
     g = read_table(spark, tables.gold, GOLD_SCHEMA)
     if start is not None and end is not None:
         g = g.where(F.col("work_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

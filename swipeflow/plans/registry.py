@@ -56,6 +56,8 @@ from pyspark.sql import types as T  # noqa: E402
 _RAW_DIRTY = O.raw_fixture("sparse", dirty=True, duplicates=True)
 _RAW_TEXT = O.raw_fixture("sparse", dirty=True, swipe_as_text=True)
 _K = O.q("Employee No")
+_KEY, _HAS_KEY = O.stripped(_K), O.has_key(_K)
+_WORD_KEY = f"regexp_matches({_KEY}, '[a-zA-Z0-9]')"
 _RAW_COLS = ", ".join(O.q(c) for c in O.RAW_NAMES)
 
 
@@ -71,37 +73,32 @@ _BRONZE = O.bronze_from("raw")
 _SILVER_CAST = O.silver_cast_from("bronze")
 
 
-@register("clean_dropna", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw WHERE {_K} IS NOT NULL")
+@register("clean_dropna", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw WHERE {_HAS_KEY}")
 def clean_dropna(spark, sf_dir):
     return C.drop_missing_key(raw_dirty(spark, sf_dir))
 
 
 @register("clean_cast_trim",
-          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE (trim(CAST({_K} AS VARCHAR)) AS {_K}) "
-          f"FROM raw WHERE {_K} IS NOT NULL")
+          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE ({_KEY} AS {_K}) FROM raw WHERE {_HAS_KEY}")
 def clean_cast_trim(spark, sf_dir):
     return C.cast_trim(C.drop_missing_key(raw_dirty(spark, sf_dir)))
 
 
 @register("clean_regex_filter",
-          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE (trim(CAST({_K} AS VARCHAR)) AS {_K}) "
-          f"FROM raw WHERE {_K} IS NOT NULL AND regexp_matches(trim({_K}), '[a-zA-Z0-9]')")
+          f"WITH raw AS ({_RAW_DIRTY}) SELECT * REPLACE ({_KEY} AS {_K}) FROM raw WHERE {_HAS_KEY} AND {_WORD_KEY}")
 def clean_regex_filter(spark, sf_dir):
     return C.keep_word_keys(C.cast_trim(C.drop_missing_key(raw_dirty(spark, sf_dir))))
 
 
-@register("clean_metrics", f"""WITH raw AS ({_RAW_TEXT}),
-p AS (SELECT {_K} AS k, TRY_CAST(trim("Swipe Date") AS TIMESTAMP) AS sw FROM raw),
-c AS (SELECT
-    CAST(COUNT(*) AS BIGINT) AS initial_rows,
-    CAST(COUNT(*) FILTER (WHERE k IS NULL) AS BIGINT) AS null_key,
-    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND NOT regexp_matches(trim(k), '[a-zA-Z0-9]')) AS BIGINT)
-        AS no_word_key,
-    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND regexp_matches(trim(k), '[a-zA-Z0-9]') AND sw IS NULL)
-        AS BIGINT) AS bad_swipe_date,
-    CAST(COUNT(*) FILTER (WHERE k IS NOT NULL AND regexp_matches(trim(k), '[a-zA-Z0-9]')
-        AND sw IS NOT NULL) AS BIGINT) AS final_rows
-  FROM p)
+_REASON = f"""CASE WHEN NOT {_HAS_KEY} THEN 'null_key' WHEN NOT {_WORD_KEY} THEN 'no_word_key'
+    WHEN {O.swipe_time('"Swipe Date"')} IS NULL THEN 'bad_swipe_date' END"""
+
+
+@register("clean_metrics", f"""WITH raw AS ({_RAW_TEXT}), p AS (SELECT {_REASON} AS why FROM raw),
+c AS (SELECT CAST(COUNT(*) AS BIGINT) AS initial_rows,
+    {', '.join(f"CAST(COUNT(*) FILTER (WHERE why = '{w}') AS BIGINT) AS {w}"
+               for w in ('null_key', 'no_word_key', 'bad_swipe_date'))},
+    CAST(COUNT(*) FILTER (WHERE why IS NULL) AS BIGINT) AS final_rows FROM p)
 SELECT *, initial_rows - final_rows AS removed_rows FROM c""")
 def clean_metrics(spark, sf_dir):
     raw = FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, swipe_as_text=True)
@@ -109,10 +106,9 @@ def clean_metrics(spark, sf_dir):
 
 
 @register("parse_swipe_ts", f"""WITH raw AS ({_RAW_TEXT})
-SELECT trim({_K}) AS Employee_No, "Swipe Date" AS swipe_text,
-       TRY_CAST(trim("Swipe Date") AS TIMESTAMP) AS swipe_ts,
-       TRY_CAST(trim("Swipe Date") AS TIMESTAMP) IS NULL AS quarantined
-FROM raw WHERE {_K} IS NOT NULL AND regexp_matches(trim({_K}), '[a-zA-Z0-9]')""")
+SELECT {_KEY} AS Employee_No, "Swipe Date" AS swipe_text, {O.swipe_time('"Swipe Date"')} AS swipe_ts,
+       {O.swipe_time('"Swipe Date"')} IS NULL AS quarantined
+FROM raw WHERE {_HAS_KEY} AND {_WORD_KEY}""")
 def parse_swipe_ts(spark, sf_dir):
     raw = FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, swipe_as_text=True)
     raw = C.keep_word_keys(C.cast_trim(C.drop_missing_key(raw)))
@@ -144,10 +140,6 @@ def rename_columns(spark, sf_dir):
     return C.rename_columns(raw_dirty(spark, sf_dir))
 
 
-# --- fixed values: extra export headers used to exercise the name sanitizer ---
-EXTRA_HEADERS = {"Badge #": "Badge", "Site (HQ)": "Site_HQ", "__Floor__": "Floor", "%": "col"}
-
-
 @register("sanitize_columns", f"""WITH raw AS ({_RAW_DIRTY})
 SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, "Access Card" AS Badge,
        "Door/Address" AS Site_HQ, "Location Type" AS Floor, "Remarks" AS col FROM raw""")
@@ -160,10 +152,10 @@ def sanitize_columns(spark, sf_dir):
 
 
 @register("sanitize_values", f"""WITH raw AS ({_RAW_DIRTY}),
-s AS (SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date,
-      regexp_replace(regexp_replace(regexp_replace(Remarks, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'),
-                     '^_+|_+$', '', 'g') AS v FROM raw)
-SELECT Employee_No, Swipe_Date, CASE WHEN v = '' THEN 'col' ELSE v END AS remarks_name FROM s""")
+s AS (SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, Remarks,
+      array_to_string(regexp_extract_all(Remarks, '[0-9A-Za-z]+'), '_') AS v FROM raw)
+SELECT Employee_No, Swipe_Date, CASE WHEN Remarks IS NULL THEN NULL WHEN v = '' THEN 'col' ELSE v END AS remarks_name
+FROM s""")
 def sanitize_values(spark, sf_dir):
     raw = raw_dirty(spark, sf_dir)
     return raw.select(F.col("`Employee No`").alias("Employee_No"), F.col("`Swipe Date`").alias("Swipe_Date"),
@@ -271,8 +263,7 @@ def normalize_io(spark, sf_dir):
 
 
 @register("islands_lag", O.stage_sql(
-    "SELECT Employee_No, work_date, swipe_ts, io, Swipe_Date, prev_io_sw AS prev_io, "
-    "is_start = 1 AS is_start, grp FROM islands"))
+    "SELECT Employee_No, work_date, swipe_ts, io, Swipe_Date, prev_io, is_start, grp FROM islands"))
 def islands_lag(spark, sf_dir):
     return I.islands_lag(swipes_dense(spark, sf_dir)).select(
         "Employee_No", "work_date", "swipe_ts", "io", "Swipe_Date", "prev_io", "is_start", "grp")
@@ -302,63 +293,67 @@ def collapsed_dense_once(spark, sf_dir):
 
 
 @register("collapse_islands", O.stage_sql(
-    "SELECT Employee_No, work_date, io, grp, Employee_Name, effective_ts FROM collapsed"))
+    "SELECT Employee_No, work_date, io, seq AS grp, day_name AS Employee_Name, effective_ts FROM one_run"))
 def collapse_islands(spark, sf_dir):
     return collapsed_dense(spark, sf_dir).select(
         "Employee_No", "work_date", "io", "grp", "Employee_Name", "effective_ts")
 
 
 @register("collapsed_seq", O.stage_sql(
-    "SELECT Employee_No, work_date, io, effective_ts, seq FROM ordered_collapsed"))
+    "SELECT Employee_No, work_date, io, effective_ts, seq FROM one_run"))
 def collapsed_seq(spark, sf_dir):
     return collapsed_dense(spark, sf_dir).select("Employee_No", "work_date", "io", "effective_ts", "seq")
 
 
 @register("first_last_value", O.stage_sql(
-    "SELECT Employee_No, work_date, seq, io, first_io_temp, last_io_temp FROM windows"))
+    "SELECT Employee_No, work_date, seq, io, first_io AS first_io_temp, last_io AS last_io_temp FROM one_run"))
 def first_last_value(spark, sf_dir):
     return I.first_last_value(collapsed_dense_once(spark, sf_dir)).select(
         "Employee_No", "work_date", "seq", "io", "first_io_temp", "last_io_temp")
 
 
 @register("pair_lead_lag", O.stage_sql(
-    "SELECT Employee_No, work_date, seq, io, effective_ts, end_ts, end_io, prev_io FROM pairs"))
+    "SELECT Employee_No, work_date, seq, io, effective_ts, end_ts, end_io, prev_io FROM one_run"))
 def pair_lead_lag(spark, sf_dir):
     return I.pairs(collapsed_dense_once(spark, sf_dir)).select(
         "Employee_No", "work_date", "seq", "io", "effective_ts", "end_ts", "end_io", "prev_io")
 
 
-@register("in_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM in_durs"))
+@register("in_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM gaps WHERE io = 'IN'"))
 def in_intervals(spark, sf_dir):
     return I.in_intervals(I.pairs(collapsed_dense_once(spark, sf_dir)))
 
 
-@register("out_intervals", O.stage_sql("SELECT Employee_No, work_date, seq, dur_seconds FROM out_durs"))
+@register("out_intervals", O.stage_sql(
+    "SELECT Employee_No, work_date, seq, dur_seconds FROM gaps WHERE io = 'OUT' AND prev_io = 'IN'"))
 def out_intervals(spark, sf_dir):
     return I.out_intervals(I.pairs(collapsed_dense_once(spark, sf_dir)))
 
 
-@register("sum_in_seconds", O.stage_sql("SELECT * FROM agg_in"))
+@register("sum_in_seconds", O.stage_sql(
+    "SELECT Employee_No, work_date, inside AS in_seconds FROM day_sums WHERE inside IS NOT NULL"))
 def sum_in_seconds(spark, sf_dir):
     return I.sum_seconds(I.in_intervals(I.pairs(collapsed_dense_once(spark, sf_dir))), "in_seconds")
 
 
-@register("sum_out_seconds", O.stage_sql("SELECT * FROM agg_out"))
+@register("sum_out_seconds", O.stage_sql(
+    "SELECT Employee_No, work_date, outside AS out_seconds FROM day_sums WHERE outside IS NOT NULL"))
 def sum_out_seconds(spark, sf_dir):
     return I.sum_seconds(I.out_intervals(I.pairs(collapsed_dense_once(spark, sf_dir))), "out_seconds")
 
 
-@register("day_first_last", O.stage_sql("SELECT * FROM first_last"))
+@register("day_first_last", O.stage_sql(
+    "SELECT Employee_No, Employee_Name, work_date, first_io, last_io, min_in_ts, max_out_ts FROM day_facts"))
 def day_first_last(spark, sf_dir):
     return I.day_first_last(collapsed_dense(spark, sf_dir)).drop("min_in_sec", "max_out_sec")
 
 
-@register("first_swipe", O.stage_sql("SELECT * FROM first_swipe"))
+@register("first_swipe", O.stage_sql("SELECT Employee_No, work_date, first_swipe_type FROM day_facts"))
 def first_swipe(spark, sf_dir):
     return I.first_swipe(swipes_dense(spark, sf_dir))
 
 
-_FINAL = O.stage_sql("SELECT * FROM final_calculations")
+_FINAL = O.stage_sql("SELECT * FROM day_measures")
 
 
 @register("left_join_day_measures", _FINAL)
@@ -377,19 +372,19 @@ def gold_attendance_joined(spark, sf_dir):
 
 
 @register("coalesce_zero", O.stage_sql(
-    "SELECT Employee_No, work_date, in_seconds, out_seconds FROM final_calculations"))
+    "SELECT Employee_No, work_date, in_seconds, out_seconds FROM day_measures"))
 def coalesce_zero(spark, sf_dir):
     return day_dense(spark, sf_dir).select(*A.DAY, "in_seconds", "out_seconds")
 
 
 @register("raw_full_span", O.stage_sql(
-    "SELECT Employee_No, work_date, first_io, last_io, raw_full_span_seconds FROM final_calculations"))
+    "SELECT Employee_No, work_date, first_io, last_io, raw_full_span_seconds FROM day_measures"))
 def raw_full_span(spark, sf_dir):
     return day_dense(spark, sf_dir).select(*A.DAY, "first_io", "last_io", "raw_full_span_seconds")
 
 
 @register("filter_has_swipe", O.stage_sql(
-    "SELECT Employee_No, work_date, min_in_ts, max_out_ts FROM final_calculations"))
+    "SELECT Employee_No, work_date, min_in_ts, max_out_ts FROM day_measures"))
 def filter_has_swipe(spark, sf_dir):
     return day_dense(spark, sf_dir).select(*A.DAY, "min_in_ts", "max_out_ts")
 
@@ -480,7 +475,7 @@ SELECT CAST(COUNT(*) FILTER (WHERE a = 'insert') AS BIGINT) AS insert,
 FROM j""")
 def upsert_action_counts(spark, sf_dir):
     _, res = _bronze_two(spark, sf_dir)
-    return U.action_counts(spark.read.parquet(res.staging))
+    return spark.createDataFrame([[res.counts[a] for a in U.ACTIONS]], ", ".join(f"`{a}` long" for a in U.ACTIONS))
 
 
 @register("change_detect", f"""WITH b1 AS ({O.bronze_batch(1)}), b2 AS ({O.bronze_batch(2)})
@@ -542,6 +537,57 @@ def coerce_minutes_df(df):
     return A.minutes_as_integers(df)
 
 
+_B1_KEPT = f"""b1.Employee_No = b2.Employee_No AND b1.Swipe_Date = b2.Swipe_Date"""
+
+
+def _wide(n, table):
+    """Bronze of one batch; batch 1 has a badge, batch 2 a gate instead."""
+    own = {1: "'B-' || Employee_No AS badge, CAST(NULL AS VARCHAR) AS gate",
+           2: "CAST(NULL AS VARCHAR) AS badge, 'G-' || Day AS gate"}[n]
+    return f"{table} AS (SELECT Employee_No, Swipe_Date, Date, Remarks, {own} FROM ({O.bronze_batch(n)}))"
+
+
+@register("upsert_new_columns", f"""WITH {_wide(1, 'b1')}, {_wide(2, 'b2')}
+SELECT COALESCE(b2.Employee_No, b1.Employee_No) AS Employee_No, COALESCE(b2.Swipe_Date, b1.Swipe_Date) AS Swipe_Date,
+       COALESCE(b2.Date, b1.Date) AS Date,
+       CASE WHEN b2.Employee_No IS NULL THEN b1.Remarks ELSE b2.Remarks END AS Remarks, b1.badge, b2.gate
+FROM b1 FULL OUTER JOIN b2 ON {_B1_KEPT}""")
+def upsert_new_columns(spark, sf_dir):
+    """A load with an extra column, then one without it that brings another:
+    the table keeps both columns and every value."""
+    path = work_path(spark, "wide")
+    for n, raw in enumerate(_batches(spark, sf_dir), 1):
+        own = (F.concat(F.lit("B-"), "Employee_No").alias("badge") if n == 1
+               else F.concat(F.lit("G-"), F.col("Day").cast("string")).alias("gate"))
+        U.upsert(spark, path, U.dedup_by(C.clean_bronze(raw), BRONZE_KEYS, "Received_On")
+                 .select("Employee_No", "Swipe_Date", "Date", "Remarks", own), BRONZE_KEYS, "Date", unique_keys=True)
+    return U.read_table(spark, path).select("Employee_No", "Swipe_Date", "Date", "Remarks", "badge", "gate")
+
+
+@register("upsert_after_interruption", f"SELECT {_BRONZE_COLS} FROM ({O.bronze_after_two()})")
+def upsert_after_interruption(spark, sf_dir):
+    """The second load stops after an old day was deleted and before the new
+    one was moved in; running it again gives the table of a clean run."""
+    path = work_path(spark, "stopped")
+    r1, r2 = (C.clean_bronze(r) for r in _batches(spark, sf_dir))
+    U.upsert(spark, path, r1, BRONZE_KEYS, "Date", latest="Received_On")
+    stopped = U.upsert(spark, path, r2, BRONZE_KEYS, "Date", latest="Received_On", commit=False)
+    U.remove_path(spark, f"{path}/Date={stopped.partitions_written[0]}")
+    U.upsert(spark, path, r2, BRONZE_KEYS, "Date", latest="Received_On")
+    return U.read_table(spark, path).select(*O.BRONZE_NAMES)
+
+
+@register("upsert_newer_only", f"""WITH b AS (SELECT * FROM ({O.bronze_batch(1)}) UNION ALL SELECT * FROM ({O.bronze_batch(2)}))
+{O.dedup_from('b', cols=O.BRONZE_NAMES)}""")
+def upsert_newer_only(spark, sf_dir):
+    """The later re-export is loaded first; copies received earlier do not
+    overwrite it, so the order of loads does not matter."""
+    path = work_path(spark, "newer")
+    for raw in reversed(_batches(spark, sf_dir)):
+        U.upsert(spark, path, C.clean_bronze(raw), BRONZE_KEYS, "Date", latest="Received_On", newer_by="Received_On")
+    return U.read_table(spark, path).select(*O.BRONZE_NAMES)
+
+
 @register("medallion_two_batches", f"""SELECT {_COERCED} FROM ({_gold_after_two_sql()})
 WHERE work_date BETWEEN DATE '{FX.BATCH2_FROM}' AND (SELECT MAX(CAST(ts AS DATE)) FROM events)""")
 def medallion_two_batches(spark, sf_dir):
@@ -601,23 +647,24 @@ def sink_csv_quoted(spark, sf_dir):
 
 
 @register("append_csv_merge_schema", f"""WITH raw AS ({_RAW_DIRTY})
-SELECT {_K} AS Employee_No, CAST("Swipe Date" AS VARCHAR) AS Swipe_Date, "In/Out" AS In_Out,
+SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, "Longitude" AS Longitude,
        CASE WHEN "Swipe Date" >= TIMESTAMP '2024-01-15' THEN "Swipe Type" END AS Swipe_Type
 FROM raw""")
 def append_csv_merge_schema(spark, sf_dir):
-    """Two CSV loads with different headers appended to one Parquet table;
-    read back with merged schema (the first load has no Swipe_Type)."""
+    """Two CSV loads with different headers appended to one typed Parquet table
+    (time stamp and double); read back with merged schema (the first load has
+    no Swipe_Type)."""
     raw = raw_dirty(spark, sf_dir).select(
-        F.col("`Employee No`").alias("Employee_No"), F.col("`Swipe Date`").cast("string").alias("Swipe_Date"),
-        F.col("`In/Out`").alias("In_Out"), F.col("`Swipe Type`").alias("Swipe_Type"),
-        F.col("`Swipe Date`").alias("_ts"))
-    cut = F.col("_ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
-    a = IO.write_csv_quoted(raw.where(~cut).drop("_ts", "Swipe_Type"), work_path(spark, "load-a"))
-    b = IO.write_csv_quoted(raw.where(cut).drop("_ts"), work_path(spark, "load-b"))
+        F.col("`Employee No`").alias("Employee_No"), F.col("`Swipe Date`").alias("Swipe_Date"),
+        "Longitude", F.col("`Swipe Type`").alias("Swipe_Type"))
+    cut = F.col("Swipe_Date") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    a = IO.write_csv_quoted(raw.where(~cut).drop("Swipe_Type"), work_path(spark, "load-a"))
+    b = IO.write_csv_quoted(raw.where(cut), work_path(spark, "load-b"))
     table = work_path(spark, "appended")
+    IO.create_if_missing(raw.drop("Swipe_Type").limit(0), table)
     IO.load_csv_append(spark, a, table)
     IO.load_csv_append(spark, b, table)
-    return IO.read_merged(spark, table).select("Employee_No", "Swipe_Date", "In_Out", "Swipe_Type")
+    return IO.read_merged(spark, table).select("Employee_No", "Swipe_Date", "Longitude", "Swipe_Type")
 
 
 def _gold_table(spark, sf_dir, density="sparse"):
@@ -644,11 +691,12 @@ def create_if_missing(spark, sf_dir):
     return U.read_table(spark, path, GOLD_SCHEMA)
 
 
-@register("schema_clone_empty", f"{_SILVER_CAST.replace('FROM bronze', f'FROM ({_BRONZE})')} LIMIT 0"
-          .replace("SELECT", f"WITH raw AS ({_RAW_DIRTY}) SELECT", 1))
+@register("schema_clone_empty", f"WITH raw AS ({_RAW_DIRTY}), bronze AS ({_BRONZE}) {_SILVER_CAST}")
 def schema_clone_empty(spark, sf_dir):
-    path = work_path(spark, "silver-clone")
-    IO.create_if_missing(S.silver_cast(bronze_df(spark, sf_dir)).limit(0), path)
+    """A table cloned with its columns and no rows, then filled from its source."""
+    path, rows = work_path(spark, "silver-clone"), S.silver_cast(bronze_df(spark, sf_dir))
+    IO.create_if_missing(rows.limit(0), path)
+    rows.write.mode("append").parquet(path)
     return spark.read.schema(S.SILVER_SCHEMA).parquet(path)
 
 
@@ -670,7 +718,7 @@ def gold_range_read(spark, sf_dir):
 
 
 # --- fixed values: report page size and the page read ---
-PAGE_SIZE, PAGE_INDEX = 1000, 2
+PAGE_SIZE, PAGE_INDEX = 6000, 2
 
 
 @register("page_limit_offset", f"""SELECT * FROM ({_GOLD_SPARSE}) ORDER BY Employee_No, work_date
@@ -685,15 +733,19 @@ def preview_head(spark, sf_dir):
     return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")).orderBy("Employee_No", "work_date").limit(5)
 
 
-@register("describe_table", f"""SELECT column_name AS col_name,
-    CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'DOUBLE' THEN 'double'
-         ELSE lower(column_type) END AS data_type
-FROM (DESCRIBE {_GOLD_SPARSE})""")
+@register("describe_table", " UNION ALL ".join(
+    f"SELECT '{f.name}' AS col_name, '{f.dataType.simpleString()}' AS data_type, "
+    f"CAST(COUNT({f.name}) AS BIGINT) AS filled, CAST(COUNT(DISTINCT {f.name}) AS BIGINT) AS different FROM g"
+    for f in GOLD_SCHEMA.fields).join((f"WITH g AS ({_GOLD_SPARSE}) ", "")))
 def describe_table(spark, sf_dir):
-    """Column names and types of the gold table, as rows."""
-    name = f"gold_{abs(hash(sf_dir)) % 10**8}"
-    U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA).createOrReplaceTempView(name)
-    return spark.sql(f"DESCRIBE {name}").select("col_name", "data_type")
+    """Columns and types of the gold table as rows, with how many rows fill
+    each column and how many values it has."""
+    g = U.read_table(spark, _gold_table(spark, sf_dir), GOLD_SCHEMA)
+    cells = g.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("col_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                 F.col(f.name).cast("string").alias("v")) for f in GOLD_SCHEMA.fields])).alias("c"))
+    return cells.groupBy("c.col_name", "c.data_type").agg(
+        F.count("c.v").alias("filled"), F.count_distinct("c.v").alias("different"))
 
 
 _POS_NAMES = ["emp", "name", "day"]
@@ -725,7 +777,7 @@ def batch_multi_file(spark, sf_dir):
     landing = work_path(spark, "landing")
     raw = raw_dirty(spark, sf_dir).withColumn("day", F.to_date("`Swipe Date`").cast("string"))
     _csv_by_day(raw, landing)
-    got = IO.read_landing(spark, landing, RAW_SCHEMA)
+    got = IO.read_landing(spark, landing)
     b = C.clean_bronze(got)
     return b.withColumn("landed_day", F.regexp_extract("source_file", r"day=([0-9-]+)", 1)).drop("source_file")
 
@@ -747,38 +799,56 @@ def stream_incremental_upsert(spark, sf_dir):
     return U.read_table(spark, t.gold, GOLD_SCHEMA)
 
 
-# ---------------------------------------------------------------- workbooks
-from ..sources import workbook as W  # noqa: E402
-
-
-@register("scan_workbooks", f"WITH raw AS ({_RAW_DIRTY}) SELECT * FROM raw")
-def scan_workbooks(spark, sf_dir):
-    """Raw exports written as workbooks (one per day group), then the whole
-    folder read back in one job: every cell must survive the round trip."""
-    folder = work_path(spark, "workbooks")
-    raw = raw_dirty(spark, sf_dir)
-    W.write_workbooks(raw.repartition(4, F.to_date("`Swipe Date`")), folder) \
-        .write.format("noop").mode("overwrite").save()
-    return W.scan_workbooks(spark, folder).drop("source_file")
-
-
-@register("scan_workbooks_extra_columns", f"""WITH raw AS ({O.raw_fixture('sparse', dirty=True, keep_event=True)})
-SELECT "Employee No", "Swipe Date", CAST(event_id AS BIGINT) AS Badge, "Longitude" * 2 AS Site_HQ,
-       hour(ts) < 5 AS Night_Shift, date_trunc('second', ts) AS Arrived, "Remarks" AS Comment
+def _text_batch(spark, sf_dir):
+    return FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, swipe_as_text=True)
+
+
+@register("landing_by_header", f"""WITH raw AS ({_RAW_TEXT}), r AS (SELECT *, {_KEY} AS k FROM raw)
+SELECT k AS Employee_No, {O.swipe_time('"Swipe Date"')} AS Swipe_Date, "In/Out" AS In_Out, Longitude,
+       CASE WHEN "Swipe Type" LIKE 'Web%' THEN 'web-' || Status END AS Source
+FROM r WHERE {_HAS_KEY} AND {_WORD_KEY} AND {O.swipe_time('"Swipe Date"')} IS NOT NULL""")
+def landing_by_header(spark, sf_dir):
+    """Two exports in one landing folder, one with its columns in another order
+    and one column more: every column is found by its file's own header."""
+    raw, landing = _text_batch(spark, sf_dir), work_path(spark, "landing")
+    web = F.col("`Swipe Type`").like("Web%")
+    IO.write_csv_quoted(raw.where(~web), f"{landing}/plain")
+    more = raw.where(web).withColumn("Source", F.concat(F.lit("web-"), "Status"))
+    IO.write_csv_quoted(more.select(*[f"`{c}`" for c in reversed(more.columns)]), f"{landing}/web")
+    return C.clean_bronze(IO.read_landing(spark, landing, extra=True)).select(
+        "Employee_No", "Swipe_Date", "In_Out", "Longitude", "Source")
+
+
+@register("quarantine_rows", f"""WITH raw AS ({_RAW_TEXT}), r AS (SELECT *, {_REASON} AS why FROM raw)
+SELECT 'quarantined' AS side, why AS reason, {_K} AS key_text, "Swipe Date" AS swipe_text FROM r WHERE why IS NOT NULL
+UNION ALL SELECT 'kept', NULL, {_KEY}, strftime({O.swipe_time('"Swipe Date"')}, '%Y-%m-%d %H:%M:%S') FROM r WHERE why IS NULL
+QUALIFY ROW_NUMBER() OVER (PARTITION BY {_KEY}, {O.swipe_time('"Swipe Date"')}) = 1""")
+def quarantine_rows(spark, sf_dir):
+    """A landed export through the three tables: rows that cannot be read are
+    stored with a reason, the others are in bronze."""
+    root = work_path(spark, "quarantine")
+    t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    IO.write_csv_quoted(_text_batch(spark, sf_dir), f"{root}/landing")
+    B.run_batch(spark, IO.read_landing(spark, f"{root}/landing"), t, run_id="one")
+    row = F.from_json("row", "`Employee No` string, `Swipe Date` string")
+    bad = spark.read.parquet(t.rejects).select(
+        F.lit("quarantined").alias("side"), "reason", row["Employee No"].alias("key_text"), row["Swipe Date"].alias("swipe_text"))
+    return bad.unionByName(U.read_table(spark, t.bronze).select(
+        F.lit("kept").alias("side"), F.lit(None).cast("string").alias("reason"), F.col("Employee_No").alias("key_text"),
+        F.col("Swipe_Date").cast("string").alias("swipe_text")))
+
+
+@register("infer_declared_types", f"""WITH raw AS ({O.raw_fixture('sparse', dirty=True, keep_event=True)})
+SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, CAST(event_id AS BIGINT) AS Badge, "Longitude" * 2 AS Site_HQ,
+       hour(ts) < 5 AS Night_Shift, date_trunc('second', ts) AS Arrived, lpad(CAST(event_id % 100 AS VARCHAR), 3, '0') AS Gate
 FROM raw""")
-def scan_workbooks_extra_columns(spark, sf_dir):
-    """Exports carrying headers outside the declared ones: they pass through
-    under sanitized names, typed by the first-match rule (whole number,
-    decimal, true/false, date-time, else text)."""
+def infer_declared_types(spark, sf_dir):
+    """Columns outside the declared ones get sanitized names and a type by the
+    type they come with; text stays text (gate 007)."""
     ev = FX.read_events(spark, sf_dir)
-    raw = FX.raw_swipes(ev, "sparse", dirty=True, keep_event_id=True).join(
-        ev.select("event_id", "ts", "value"), "event_id")
-    raw = raw.select(*[F.col(f"`{c}`") for c in RAW_SCHEMA.fieldNames()],
-                     F.col("event_id").alias("Badge #"), (F.col("value") * 2).alias("Site (HQ)"),
-                     (F.hour("ts") < 5).alias("Night Shift"), FN.whole_seconds(F.col("ts")).alias("Arrived"),
-                     F.col("Remarks").alias("Comment"))
-    folder = work_path(spark, "workbooks-extra")
-    W.write_workbooks(raw.repartition(4, F.to_date("`Swipe Date`")), folder) \
-        .write.format("noop").mode("overwrite").save()
-    got = C.expand_extra_columns(W.scan_workbooks(spark, folder, keep_extra=True))
-    return got.select("`Employee No`", "`Swipe Date`", "Badge", "Site_HQ", "Night_Shift", "Arrived", "Comment")
+    raw = FX.raw_swipes(ev, "sparse", dirty=True, keep_event_id=True).join(ev.select("event_id", "ts", "value"), "event_id")
+    raw = raw.select("`Employee No`", "`Swipe Date`", F.col("event_id").cast("int").alias("Badge #"),
+                     (F.col("value") * 2).alias("Site (HQ)"), (F.hour("ts") < 5).alias("Night Shift"),
+                     FN.whole_seconds(F.col("ts")).alias("Arrived"),
+                     F.lpad((F.col("event_id") % 100).cast("string"), 3, "0").alias("Gate"))
+    return C.typed_extras(raw, ["Employee No", "Swipe Date"])

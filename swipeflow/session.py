@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on.  The UI stays off: no server is opened.
 BASE_CONF = {
@@ -44,8 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system and is
-    used as is.  Only when it is unset (a local test run) is a fresh local
-    folder taken.
+    used as is; unset there, this raises, as nodes would not see each other's
+    files.  Only a local run (one process) takes a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,20 +53,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         path = tempfile.mkdtemp(prefix="swipeflow-ckpt-")  # local runs only
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{root}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def remove_path(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder this library created, if present."""
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete every work folder this process made.  Call it when no DataFrame
+    that reads them is needed any more."""
+    while _made:
+        remove_path(spark, _made.pop())
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it from
-    there (a reliable checkpoint: it survives executor loss, unlike a local
-    one).  Use where several branches of a plan would recompute ``df``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it from there:
+    column pruning and statistics stay, and an executor loss costs nothing.
+    Use where several branches of a plan would recompute ``df``."""
+    path = work_path(df.sparkSession, "once")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-"""Sources and sinks: event-derived swipe exports, CSV, workbook folders, tables."""
+"""Sources and sinks: event-derived swipe exports, CSV, landing folders, tables."""

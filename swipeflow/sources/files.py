@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import RAW_SCHEMA
+from ..session import materialize
+
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 NULL_MARK = "\\N"
 # read-side NULL marker for files whose NULLs are empty cells (reports):
@@ -39,19 +42,27 @@ def write_csv_quoted(df: DataFrame, path: str, header: bool = True, encoding: st
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             header: bool = False, multiline: bool = True, null_value: str = NULL_MARK) -> DataFrame:
-    """CSV with an explicit schema (no inference pass over the data)."""
+             header: bool = False, multiline: bool = False, null_value: str = NULL_MARK) -> DataFrame:
+    """CSV with an explicit schema (no inference pass over the data).  Line breaks
+    inside fields need ``multiline``, which makes each file one task."""
     r = _csv_opts(spark.read, header, null_value).option("multiLine", multiline)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
 
 
-def load_csv_append(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
-    """Headered CSV appended to a Parquet table; a later read with
-    ``mergeSchema`` unions the columns of all loads (new columns appear,
-    missing ones read as NULL).  Every load is appended again, seen or not."""
+def load_csv_append(spark: SparkSession, csv_path: str, table_path: str,
+                    types: dict[str, str] | None = None) -> DataFrame:
+    """Headered CSV appended to a Parquet table, cast to the table's types; new
+    columns take their type from ``types``, else text.  A value that does not
+    read as its type becomes NULL.  A later read with ``mergeSchema`` unions the
+    columns of all loads.  Every load is appended again, seen or not."""
+    from ..operators.upsert import table_exists
+    have = {f.name: f.dataType.simpleString() for f in read_merged(spark, table_path).schema} \
+        if table_exists(spark, table_path) else {}
+    kinds = (types or {}) | have
     df = read_csv(spark, csv_path, header=True)
+    df = df.withColumns({c: F.col(f"`{c}`").try_cast(kinds[c]) for c in df.columns if c in kinds})
     df.write.mode("append").parquet(table_path)
     return df
 
@@ -75,29 +86,72 @@ def with_names(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def report_name(report: DataFrame, date_col: str = "work_date", today=None) -> str:
-    """``attendance_report_<first day>``; today's date for an empty report."""
+def write_report(report: DataFrame, root: str, run_id: str, first=None, date_col: str = "work_date") -> str:
+    """CSV report folder ``<root>/<run_id>/attendance_report_<first day>``.
+
+    ``first`` is the first day if the caller knows it; else the report is staged
+    and its first day read from there (today's date for an empty one), so it is
+    computed once.  The run id keeps two reports with the same first day apart.
+    Rows stay distributed (one file per task, files in sort order); no
+    byte-order mark is written.
+    """
     import datetime as _dt
-    first = None
-    if date_col in report.columns:
+    if first is None and date_col in report.columns:
+        report = materialize(report)
         first = report.agg(F.min(date_col)).first()[0]
-    if first is None:
-        first = today or _dt.date.today()
-    return f"attendance_report_{first.strftime('%Y-%m-%d')}"
+    path = f"{root.rstrip('/')}/{run_id}/attendance_report_{(first or _dt.date.today()).strftime('%Y-%m-%d')}"
+    _csv_opts(report.write.mode("overwrite"), True, "").csv(path)
+    return path
 
 
-def write_report(report: DataFrame, root: str, run_id: str) -> str:
-    """CSV report folder ``<root>/<run_id>/attendance_report_<day>``.
+MAX_COLUMNS = 200        # widest export that is read
 
-    The run id keeps two reports with the same first day apart.  Rows stay
-    distributed (one file per task, files in sort order); no byte-order
-    mark is written.
-    """
-    path = f"{root.rstrip('/')}/{run_id}/{report_name(report)}"
-    _csv_opts(report.write.mode("overwrite"), True, "").csv(path)
-    return path
+
+def _cells(reader) -> object:
+    """Reader of CSV rows as text cells, whatever their headers."""
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(MAX_COLUMNS)])
+    return (reader.schema(schema).option("header", False).option("escape", '"').option("quote", '"')
+            .option("nullValue", NULL_MARK).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).option("recursiveFileLookup", True))
+
+
+def with_file(cells: DataFrame) -> DataFrame:
+    """(source_file, cells) of rows read by ``_cells``."""
+    return cells.select(F.col("_metadata.file_path").alias("source_file"),
+                        F.array(*[f"_{i}" for i in range(MAX_COLUMNS)]).alias("cells"))
+
+
+def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple = ()) -> DataFrame:
+    """Rows of files that each carry their own header, columns found by name.
+
+    A row that holds ``key`` as a cell is its file's header; the headers (one
+    row per file) are joined to the rows by file.  Result: the declared export
+    columns as text, typed where the schema says number, dates kept as text for
+    the cleaner, the ``extra`` columns (headers beyond them) as text, and the
+    file name.  Columns a file lacks are NULL."""
+    is_header = F.exists("cells", lambda c: c == F.lit(key))
+    heads = materialize(rows.where(is_header).select("source_file", F.col("cells").alias("head")).dropDuplicates(["source_file"]))
+    body = rows.where(~F.coalesce(is_header, F.lit(False))).join(heads, "source_file")
+
+    def cell(name):
+        at = F.array_position("head", F.lit(name))
+        return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
+    number = (T.DoubleType,)
+    cols = [(cell(f.name).try_cast(f.dataType) if isinstance(f.dataType, number) or f.name == "Received On" else cell(f.name))
+            .alias(f.name) for f in RAW_SCHEMA.fields]
+    return body.select(*cols, *[cell(c).alias(c) for c in extra], "source_file")
+
+
+def headers(rows: DataFrame, key: str = "Employee No") -> list[str]:
+    """All header names of the files, declared or not (bounded by MAX_COLUMNS
+    times the number of distinct headers)."""
+    named = rows.where(F.exists("cells", lambda c: c == F.lit(key))).select(F.explode("cells").alias("name"))
+    return sorted(r[0] for r in named.where("name IS NOT NULL").distinct().collect())
 
 
-def read_landing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Every CSV file under a landing folder in one read, with its file name."""
-    return read_csv(spark, path, schema, header=True).withColumn("source_file", F.input_file_name())
+def read_landing(spark: SparkSession, path: str, extra: bool = False) -> DataFrame:
+    """Every CSV file under a landing folder in one read, columns found by each
+    file's own header, with its file name; ``extra`` keeps undeclared columns."""
+    rows = with_file(_cells(spark.read).csv(path))
+    more = [c for c in headers(rows) if c not in RAW_SCHEMA.fieldNames()] if extra else []
+    return by_header(rows, extra=tuple(more))

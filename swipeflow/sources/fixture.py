@@ -20,7 +20,7 @@ IO_BY_EVENT = {"view": "In", "signup": "IN", "click": "Out", "purchase": "OUT",
 REJECTED_EVENT = "error"
 WEB_EVERY = 3            # event_id % 3 = 0 -> web sign-in
 RECEIVED_LAG_MOD = 7     # Received_On = Swipe_Date + (event_id % 7) minutes
-DIRTY_EVERY = 50         # dirty rows: event_id % 50 in (0, 1, 2, 3)
+DIRTY_EVERY = 50         # dirty rows: event_id % 50 in (0, 1, 2, 3, 5, 6, 7)
 DUPLICATE_EVERY = 10     # re-sent rows: event_id % 10 = 0, a day later, Remarks 'v2'
 # --- end of fixed values ---
 
@@ -73,8 +73,8 @@ def raw_swipes(events: DataFrame, density: str = "sparse", dirty: bool = False,
                swipe_as_text: bool = False) -> DataFrame:
     """Rows shaped like a raw swipe export (the 18 header names).
 
-    ``dirty`` adds the cleaning cases (NULL / punctuation-only / padded keys,
-    a padded direction); ``duplicates`` re-sends every tenth swipe a day
+    ``dirty`` adds the cleaning cases (NULL / missing-value text / punctuation-only
+    / padded keys, a padded direction); ``duplicates`` re-sends every tenth swipe a day
     later; ``swipe_as_text`` gives ``Swipe Date`` as text with some
     unparseable values, as a CSV export would.
     """
@@ -86,6 +86,9 @@ def raw_swipes(events: DataFrame, density: str = "sparse", dirty: bool = False,
         emp = (F.when(k == 0, F.lit(None).cast("string"))
                .when(k == 1, F.lit("--"))
                .when(k == 2, F.concat(F.lit("  "), emp, F.lit("  ")))
+               .when(k == 5, F.lit("N/A"))
+               .when(k == 6, F.concat(emp, F.lit("\t")))
+               .when(k == 7, F.concat(F.lit("\u00a0"), emp))
                .otherwise(emp))
         io = F.when(k == 3, F.lit(" In ")).otherwise(io)
     null_s = F.lit(None).cast("string")
@@ -111,8 +114,11 @@ def raw_swipes(events: DataFrame, density: str = "sparse", dirty: bool = False,
     }
     types = {f.name: f.dataType for f in RAW_SCHEMA.fields}
     if swipe_as_text:
-        cols["Swipe Date"] = F.when(F.col("event_id") % DIRTY_EVERY == 4, F.lit("not a date")) \
-            .otherwise(F.col("swipe").cast("string"))
+        k, at = F.col("event_id") % DIRTY_EVERY, F.col("swipe")
+        cols["Swipe Date"] = (F.when(k == 4, F.lit("not a date"))
+                              .when(k == 8, F.date_format(at, "dd-MMM-yyyy HH:mm:ss"))
+                              .when(k == 9, F.date_format(at, "MM/dd/yyyy HH:mm"))
+                              .otherwise(at.cast("string")))
         types["Swipe Date"] = None  # already text
     sel = [(cols[n] if types[n] is None else cols[n].cast(types[n])).alias(n) for n in RAW_SCHEMA.fieldNames()]
     if keep_event_id:

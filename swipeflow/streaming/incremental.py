@@ -14,30 +14,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from collections import deque
+
 from ..config import DEFAULT, AttendanceConfig
 from ..plans.batch import Tables, run_batch
-from ..schemas import RAW_SCHEMA
-from ..sources.files import NULL_MARK, TS_FORMAT
+from ..sources.files import _cells, by_header, with_file
+
+KEPT_RESULTS = 100   # results of past micro-batches that stay on the driver
 
 
 def landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("escape", '"')
-         .option("multiLine", True).option("timestampNTZFormat", TS_FORMAT)
-         .option("nullValue", NULL_MARK).option("recursiveFileLookup", True))
+    """Rows of landed files as cells; a micro-batch holds whole files, so each
+    file's header comes with its rows."""
+    r = _cells(spark.readStream)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(landing)
+    return with_file(r.csv(landing))
 
 
 def run_incremental(spark: SparkSession, landing: str, tables: Tables, checkpoint: str,
                     cfg: AttendanceConfig = DEFAULT, available_now: bool = True,
-                    max_files_per_trigger: int | None = None):
+                    max_files_per_trigger: int | None = None, newer_only: bool = False, replace_days: bool = False):
     """Process landed files into the three tables; returns the query handle
-    (already finished when ``available_now``) and the per-batch results."""
-    results = []
+    (already finished when ``available_now``) and the latest per-batch results.
+    With ``newer_only`` and ``replace_days`` the tables do not depend on how
+    files fall into micro-batches or in which order they arrive."""
+    results = deque(maxlen=KEPT_RESULTS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        results.append((batch_id, run_batch(batch.sparkSession, batch, tables, cfg)))
+        results.append((batch_id, run_batch(batch.sparkSession, by_header(batch), tables, cfg,
+                                            run_id=f"stream-{batch_id}", newer_only=newer_only,
+                                            replace_days=replace_days)))
 
     w = landing_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(each) \
         .option("checkpointLocation", checkpoint)

@@ -16,7 +16,7 @@ def test_csv_round_trip_keeps_quotes_blanks_and_nulls(spark):
     rows = [("  a  ", "", None, 'q"uote'), ("b", "x,y", "line\nbreak", "back\\")]
     df = spark.createDataFrame(rows, schema)
     p = IO.write_csv_quoted(df, work_path(spark, "csv"), header=False)
-    back = IO.read_csv(spark, p, schema)
+    back = IO.read_csv(spark, p, schema, multiline=True)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
 
 
@@ -32,9 +32,10 @@ def test_name_collision_is_an_error():
 
 def test_report_named_by_first_day_or_today(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 5),), (dt.date(2024, 1, 3),)], "work_date date")
-    assert IO.report_name(df) == "attendance_report_2024-01-03"
-    empty = spark.createDataFrame([], "work_date date")
-    assert IO.report_name(empty, today=dt.date(2030, 2, 1)) == "attendance_report_2030-02-01"
+    root = work_path(spark, "reports")
+    assert IO.write_report(df, root, "r").endswith("/r/attendance_report_2024-01-03")
+    assert IO.write_report(df, root, "s", first=dt.date(2024, 1, 1)).endswith("/s/attendance_report_2024-01-01")
+    assert IO.write_report(df.limit(0), root, "t").endswith(f"attendance_report_{dt.date.today():%Y-%m-%d}")
 
 
 def test_stream_equals_batch(spark):
@@ -44,47 +45,38 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def _xlsx(parts: dict) -> bytes:
-    import io
-    import zipfile
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for k, v in parts.items():
-            z.writestr(k, v)
-    return buf.getvalue()
-
-
-def test_workbook_shared_strings_and_first_sheet_fallback():
-    from swipeflow.sources.workbook import read_rows
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    pk = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
-    book = _xlsx({
-        "xl/workbook.xml": f'<workbook {ns} {rel}><sheets><sheet name="Swipes" sheetId="1" r:id="rId7"/>'
-                           f'</sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships {pk}><Relationship Id="rId7" Type="x" '
-                                      f'Target="/xl/worksheets/other.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst {ns}><si><t>Employee No</t></si><si><r><t>In</t></r><r><t>/Out</t></r></si>'
-                                f'<si><t>IN</t></si></sst>',
-        "xl/worksheets/other.xml": f'<worksheet {ns}><sheetData>'
-                                   f'<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
-                                   f'<row r="2"><c r="A2"><v>1001</v></c><c r="C2" t="s"><v>2</v></c></row>'
-                                   f'</sheetData></worksheet>',
-    })
-    assert read_rows(book) == [["Employee No", None, "In/Out"], [1001.0, None, "IN"]]
-
-
-def test_workbook_round_trip_with_other_sheet_name(spark):
-    from pyspark.sql import functions as F
+def _shuffled_exports(spark, root):
+    """Two exports of overlapping batches, the second with its columns reversed."""
     from swipeflow.sources import fixture as FX
-    from swipeflow.sources import workbook as W
-    raw = FX.raw_swipes(FX.read_events(spark, SF_SMALL), "sparse", dirty=True)
-    folder = work_path(spark, "wb")
-    W.write_workbooks(raw.repartition(3, F.col("`In/Out`")), folder, sheet="Export").count()
-    back = W.scan_workbooks(spark, folder)   # asks for 'mainsheet', falls back to the first sheet
-    assert back.select("source_file").distinct().count() == 3
-    assert sorted(map(tuple, back.drop("source_file").collect()), key=str) == \
-        sorted(map(tuple, raw.collect()), key=str)
+    ev = FX.read_events(spark, SF_SMALL)
+    for i in (1, 2):
+        raw = FX.raw_batch(ev, i).coalesce(1)
+        IO.write_csv_quoted(raw.select(*[f"`{c}`" for c in (raw.columns if i == 1 else reversed(raw.columns))]),
+                            f"{root}/landing/export-{i}")
+
+
+def test_newer_copies_win_however_files_are_cut(spark):
+    """Both files in one micro-batch, or one by one in either order of loading:
+    with ``newer_only`` and ``replace_days`` the gold table is the same."""
+    from swipeflow.operators.upsert import read_table
+    from swipeflow.plans.batch import Tables, run_batch
+    from swipeflow.schemas import GOLD_SCHEMA
+    from swipeflow.streaming.incremental import run_incremental
+    got = []
+    for cut in (None, 1):
+        root = work_path(spark, "cut")
+        t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+        _shuffled_exports(spark, root)
+        run_incremental(spark, f"{root}/landing", t, f"{root}/ckpt", max_files_per_trigger=cut, newer_only=True,
+                        replace_days=True)
+        got.append(sorted(map(tuple, read_table(spark, t.gold, GOLD_SCHEMA).collect())))
+    root = work_path(spark, "cut")
+    t = Tables(f"{root}/b", f"{root}/s", f"{root}/g")
+    _shuffled_exports(spark, root)
+    for i in (2, 1):
+        run_batch(spark, IO.read_landing(spark, f"{root}/landing/export-{i}"), t, newer_only=True, replace_days=True)
+    got.append(sorted(map(tuple, read_table(spark, t.gold, GOLD_SCHEMA).collect())))
+    assert got[0] == got[1] == got[2] and got[0]
 
 
 def test_stream_one_file_per_micro_batch_equals_batch(spark):
