@@ -104,12 +104,12 @@ def write_report(report: DataFrame, root: str, run_id: str, first=None, date_col
     return path
 
 
-MAX_COLUMNS = 200        # widest export that is read
+MAX_COLUMNS = 63         # widest export that is read; a wider one is an error
 
 
 def _cells(reader) -> object:
     """Reader of CSV rows as text cells, whatever their headers."""
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(MAX_COLUMNS)])
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(MAX_COLUMNS + 1)])
     return (reader.schema(schema).option("header", False).option("escape", '"').option("quote", '"')
             .option("nullValue", NULL_MARK).option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False).option("recursiveFileLookup", True))
@@ -117,8 +117,10 @@ def _cells(reader) -> object:
 
 def with_file(cells: DataFrame) -> DataFrame:
     """(source_file, cells) of rows read by ``_cells``."""
+    too_wide = F.raise_error(F.lit(f"an export has more than {MAX_COLUMNS} columns")).cast("string")
+    last = F.when(F.col(f"_{MAX_COLUMNS}").isNotNull(), too_wide).otherwise(F.col(f"_{MAX_COLUMNS - 1}"))
     return cells.select(F.col("_metadata.file_path").alias("source_file"),
-                        F.array(*[f"_{i}" for i in range(MAX_COLUMNS)]).alias("cells"))
+                        F.array(*[f"_{i}" for i in range(MAX_COLUMNS - 1)], last).alias("cells"))
 
 
 def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple = ()) -> DataFrame:

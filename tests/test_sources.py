@@ -2,6 +2,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
@@ -45,6 +46,19 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_too_wide_an_export_is_an_error(spark):
+    n = IO.MAX_COLUMNS
+    for width in (n, n + 1):
+        names = ["Employee No", *[f"c{i}" for i in range(width - 1)]]
+        df = spark.range(2).select(*[F.lit("x").alias(c) for c in names])
+        path = IO.write_csv_quoted(df, work_path(spark, "wide"))
+        if width == n:
+            assert [r[f"c{n - 2}"] for r in IO.read_landing(spark, path, extra=True).collect()] == ["x", "x"]
+        else:
+            with pytest.raises(Exception, match="more than"):
+                IO.read_landing(spark, path, extra=True).collect()
+
+
 def _shuffled_exports(spark, root):
     """Two exports of overlapping batches, the second with its columns reversed."""
     from swipeflow.sources import fixture as FX
