@@ -23,6 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from .common import by_value, col, fresh, per_process, table, text_of
 by_value(__name__)
 
 MODEL = "piece_bpe_32k.model"
-CACHED_UNITS = 600_000   # bound on units, and on pairs, that a Python worker remembers
+CACHED_UNITS = 150_000   # bound on units, and on pairs, that a Python worker remembers
+ANSWER_CHARS = 1_000_000  # characters whose ids leave a worker together
 CACHED_CHARS = 48        # longer units are not remembered
 
 
@@ -163,7 +165,8 @@ class PieceCodec(dict):
 
     def __missing__(self, unit: str) -> tuple[str, str]:
         ids = self.encode_unit(unit)
-        value = ",".join(map(str, ids)), self.decode(ids)
+        text = self.decode(ids)
+        value = ",".join(map(str, ids)), unit if text == unit else text   # mostly the same: kept once
         if len(unit) <= CACHED_CHARS:
             if len(self) >= CACHED_UNITS:
                 self.clear()
@@ -196,14 +199,23 @@ def _digests(model: bytes):
 
 
 def _ids(model: bytes):
+    def some(batch: pa.RecordBatch, texts: list[str], codec: PieceCodec) -> pa.RecordBatch:
+        got = [codec.both(t) for t in texts]
+        values = np.fromstring(",".join(ids for ids, _ in got if ids), dtype=np.int32, sep=",")
+        ends = np.cumsum([0, *(ids.count(",") + 1 if ids else 0 for ids, _ in got)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+             pa.array([text for _, text in got], pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_process(("pieces", hash(model)), lambda: PieceCodec(model))
         for batch in batches:
-            got = [codec.both(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([[int(i) for i in g[0].split(",")] if g[0] else [] for g in got],
-                                               pa.list_(pa.int32())),
-                 pa.array([g[1] for g in got], pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
+            texts, first, size = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):     # answer in small batches: ids take more room than text
+                size += len(t)
+                if size > ANSWER_CHARS or i + 1 == len(texts):
+                    yield some(batch.slice(first, i + 1 - first), texts[first:i + 1], codec)
+                    first, size = i + 1, 0
     return run
 
 
