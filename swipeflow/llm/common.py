@@ -156,18 +156,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are staged, so that both sides of the join are plain exchanges, which skew joins can split
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (both.where("b > a").join(least, "a")
                  .select(F.col("m").alias("a"), "b").where("a < b").distinct())
         large = stage(large, "large")
+        unstage(least)
         # small-star: every node b points to its smaller neighbours a
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = stage(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = (large.join(least, "b").select(F.explode(F.array(
             F.struct(F.col("m").alias("a"), F.col("b").alias("b")),
             F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a < b").distinct())
         small = stage(small, "small")
-        unstage(edges, large)
+        unstage(edges, large, least)
         edges = small
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")),
                         F.sum(F.xxhash64("a", "b") % 1000003)).first()

@@ -184,6 +184,7 @@ def near_links(distinct: DataFrame, radius: int, blocks: int, chunk: int) -> Dat
     keyed = stage(keyed, "simhash-keys")
     hot = (keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where(f"n > {chunk}")
            .select("c", "key", F.ceil(F.col("n") / chunk).cast("int").alias("s")))
+    hot = stage(hot, "simhash-hot")
     part = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
     cut = (keyed.join(hot, ["c", "key"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
@@ -204,7 +205,7 @@ def classes(prints: DataFrame, radius: int = 3, blocks: int = 4, chunk: int = 10
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = stage(joined, "simhash-roots")
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    least = stage(joined.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
     return joined.join(least, "root").select("fp", "component")
 
 

@@ -207,12 +207,14 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     """``docs(d, t, text)`` -> (d, t, spans): covered windows of each document,
     first to last start."""
     index = stage(docs.mapInArrow(_index(window, k), "h long, d long, pack long, sig long"), "rlz-index")
-    shared = index.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h")
+    # what is joined back is staged first: both sides are then plain exchanges, which skew joins can split
+    shared = stage(index.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"),
+                   "rlz-anchors")
     seen = stage(index.join(shared, "h"), "rlz-shared")
-    unstage(index)
-    refs = seen.groupBy("h", "sig").agg(F.min("d").alias("ref"))
+    unstage(index, shared)
+    refs = stage(seen.groupBy("h", "sig").agg(F.min("d").alias("ref")), "rlz-refs")
     several = refs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several"))
-    refs = stage(refs.join(several, "h", "left"), "rlz-blocks")
+    refs = stage(refs.join(stage(several, "rlz-several"), "h", "left"), "rlz-blocks")
     seen = stage(seen.join(refs, ["h", "sig"]).where("d > ref OR several"), "rlz-copies")
     copies = seen.where("d > ref").select("d", *_unpacked(F.col("pack")))
     # factor boundaries: open the reference blocks of anchors that have several
@@ -222,7 +224,8 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     named, _ = split_by_bitmap(docs, "d", opened.select("d"))
     windows = stage(named.join(opened, ["d", "t"]).select("d", "t", "text", "refs").mapInArrow(
         _open(window), "h long, w long, d long, t long, start long"), "rlz-windows")
-    least = windows.groupBy("h", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h", "w", "lo")
+    least = windows.groupBy("h", "w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+    least = stage(least.select("h", "w", "lo"), "rlz-least")
     more = windows.join(least, ["h", "w"]).where("d > lo").select(
         "d", "t", F.col("start").alias("first"), F.col("start").alias("last"))
     spans = copies.select("d", "t", "first", "last").unionByName(more)

@@ -221,7 +221,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.where("b >= 0").select("a", "b"))
     joined = stage(classes.drop("vec").join(count, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
                    .withColumn("root", F.coalesce("root", "cid")), "vector-roots")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stage(joined.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     named = joined.join(least, "root").select(
         "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     plain = base.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
