@@ -10,9 +10,11 @@ however it is punctuated, so references to one person still agree.
 
 Collisions are checked over the corpus: distinct originals are gathered (one row
 each), and where two of one type share a surrogate, or one keeps its own, all
-but the first get the next try of the key, until none collide.  A first try
-needs no table: documents compute it.  Only the rare later tries are joined to
-the documents that hold them.
+but the first get the next try of the key, until none collide.  Names and e-mail
+addresses grow with the try, so there is room for any number of them; only a
+format of fixed width whose values are nearly all in use is an error.  A first
+try needs no table: documents compute it.  Only later tries are joined to the
+documents that hold them.
 
 Defined results: null and empty texts stay as they are; a document without
 entities stays byte for byte; repeated rows get the same surrogates; an empty
@@ -36,7 +38,7 @@ from .common import by_value, col, fresh, split_by_bitmap, stage, table, text_of
 by_value(__name__)
 
 KEY = b"replace this key"
-TRIES = 20
+TRIES = 20                       # rounds without fewer collisions before a fixed format counts as full
 
 # --- fixed values -----------------------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -120,15 +122,16 @@ def surrogate(key: bytes, kind: str, name: str, trial: int = 0) -> str:
     if kind == "email":
         local, _, domain = name.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_letters(key, 'local@' + domain, local, trial)}@{_letters(key, 'host', host, trial)}.{top}"
+        more = _syllables(_stream(key, kind, name, trial), "latin", trial // 4).lower()    # short addresses get room
+        return f"{_letters(key, 'local@' + domain, local, trial)}{more}@{_letters(key, 'host', host, trial)}.{top}"
     _, gender, script = kind.split(":")              # name:given or family: gender: script
     roll = _stream(key, kind, name, trial)
     if gender:
         pool = GIVEN[gender, script]
         if trial < 2:
             return pool[roll % len(pool)]
-        roll, stem = divmod(roll, len(pool))         # past the pool: a second part keeps names apart
-        return pool[stem] + "-" + _syllables(roll, script, 2)
+        roll, stem = divmod(roll, len(pool))         # past the pool: a second part, longer with each try, keeps names apart
+        return pool[stem] + "-" + _syllables(roll, script, trial)
     return _syllables(roll, script, 3 + trial // 4)
 
 
@@ -167,6 +170,9 @@ def shaped(kind: str, original: str, new: str) -> str:
     if original.isupper():
         return new.upper()
     if kind == "email" and original != original.lower():
+        local, at, domain = original.partition("@")
+        grown = len(new) - len(original)
+        original = local + " " * grown + at + domain
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
     return new
 
@@ -239,19 +245,23 @@ def later_tries(found: DataFrame, key: bytes) -> DataFrame | None:
     schema = "kind string, name string, trial int, new string"
     now = found.select("kind", "name").distinct().withColumn("trial", F.lit(0)).mapInArrow(_assign(key), schema)
     now = stage(now, "surrogates")
-    for _ in range(TRIES):
+    least, idle = None, 0
+    while True:
         first = now.groupBy("kind", "new").agg(F.min(F.struct("trial", "name")).alias("one"), F.count("*").alias("c"))
         clash = (now.join(first.where("c > 1"), ["kind", "new"])
                  .where((F.col("one.name") != F.col("name"))).select("kind", "name", "trial"))
         own = now.where("new = name").select("kind", "name", "trial")
         again = stage(clash.union(own).distinct(), "surrogate-clashes")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             late = now.where("trial > 0").select("kind", "name", "trial")
             return None if late.isEmpty() else late
+        least, idle = (left, 0) if least is None or left < least else (least, idle + 1)
+        if idle == TRIES:
+            raise RuntimeError("surrogates still collide: a format of fixed width has no room left")
         keep = now.join(again.select("kind", "name"), ["kind", "name"], "left_anti")
         new = again.withColumn("trial", F.col("trial") + 1).mapInArrow(_assign(key), schema)
         now = stage(keep.unionByName(new), "surrogates")
-    raise RuntimeError("surrogates still collide; use a wider format or another key")
 
 
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> tuple[DataFrame, str]:

@@ -202,6 +202,15 @@ def test_collisions_are_resolved(spark):
     assert D.pseudonymised(df.limit(0))[0].count() == 0
 
 
+def test_any_number_of_given_names_stays_distinct(spark):
+    names = ["".join(chr(97 + i // 26 ** p % 26) for p in range(4)).capitalize() for i in range(20_000)]
+    rows = [(i, f"Mr {x} Stone") for i, x in enumerate(names)] + [(20_000 + i, f"mail {i}@_.com and _@_.org") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in D.pseudonymised(df)[0].collect()}
+    assert len(set(out.values())) == len(rows)
+    assert not any(t in out[i] for i, t in rows)
+
+
 # ---- shared helpers
 def test_components(spark):
     r = random.Random(1)
