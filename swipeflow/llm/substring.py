@@ -7,7 +7,7 @@ reference blocks held by earlier documents, and literal words between them:
 1. *Blocks.*  Of each window the k-gram with the smallest hash is its anchor
    (winnowing), so equal windows have equal anchors.  The windows of one anchor
    and the words they span are a block.  The index is one row per block: anchor
-   hash, document, place, block hash; it holds no text.
+   hash, document, text hash, place, block hash; it holds no text.
 2. *Whole blocks.*  Anchors seen in one document only are left out (one partial
    aggregation, one join).  Of equal blocks the smallest document is the
    reference; every other is a copy and all its windows are covered.
@@ -23,8 +23,8 @@ all documents share is never gathered.  Texts are shuffled only for documents
 that a bitmap of fixed size names (steps 3 and 4); the others stay in the scan.
 
 Defined results: null and empty texts have no words; a null id counts as larger
-than every id; rows that repeat an id are told apart by their text and do not
-cover each other; documents below ``window`` words keep all; an empty table
+than every id; rows that repeat an id (or have none) are told apart by a 64-bit hash
+of their text and do not cover each other; documents below ``window`` words keep all; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -130,8 +130,9 @@ def _joined(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _index(window: int, k: int):
-    """(d, t, text) -> rows (h, d, pack, sig); ``pack`` holds 20 bits that tell
-    texts of one id apart, the place, and how far before it windows start."""
+    """(d, t, text) -> rows (h, d, t, pack, sig); ``t`` is the text's
+    64-bit hash, which tells texts of one id apart, ``pack`` holds the place and
+    how far before it windows start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -139,10 +140,10 @@ def _index(window: int, k: int):
                 x, doc, start = _joined(docs)
                 h, place, far, near, sig = blocks(x, doc, window, k)
                 of = doc[place] if len(place) else place
-                pack = (t[first + of] << 44) | ((place - start[of]) << 12) | (far << 6) | near
+                pack = ((place - start[of]) << 12) | (far << 6) | near
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(d[first + of]), pa.array(pack), pa.array(sig.view(np.int64))],
-                    names=["h", "d", "pack", "sig"])
+                    [pa.array(h.view(np.int64)), pa.array(d[first + of]), pa.array(t[first + of]), pa.array(pack),
+                     pa.array(sig.view(np.int64))], names=["h", "d", "t", "pack", "sig"])
     return run
 
 
@@ -159,7 +160,7 @@ def _open(window: int):
             for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 whole = grams(word_hashes(re.findall(WORD, texts[i])), window)
                 h, pack = h_all[ends[i]:ends[i + 1]], p_all[ends[i]:ends[i + 1]]
-                place = (pack >> 12) & 0xFFFFFFFF
+                place = pack >> 12
                 first, last = place - ((pack >> 6) & 63), place - (pack & 63)
                 n = last - first + 1
                 which = np.repeat(np.arange(len(h)), n)
@@ -206,7 +207,7 @@ def _digest(window: int, texts_too: bool):
 def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """``docs(d, t, text)`` -> (d, t, spans): covered windows of each document,
     first to last start."""
-    index = stage(docs.mapInArrow(_index(window, k), "h long, d long, pack long, sig long"), "rlz-index")
+    index = stage(docs.mapInArrow(_index(window, k), "h long, d long, t long, pack long, sig long"), "rlz-index")
     # what is joined back is staged first: both sides are then plain exchanges, which skew joins can split
     shared = stage(index.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"),
                    "rlz-anchors")
@@ -216,9 +217,9 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     several = refs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several"))
     refs = stage(refs.join(stage(several, "rlz-several"), "h", "left"), "rlz-blocks")
     seen = stage(seen.join(refs, ["h", "sig"]).where("d > ref OR several"), "rlz-copies")
-    copies = seen.where("d > ref").select("d", *_unpacked(F.col("pack")))
+    copies = seen.where("d > ref").select("d", "t", *_unpacked(F.col("pack")))
     # factor boundaries: open the reference blocks of anchors that have several
-    opened = (seen.where("d = ref").groupBy("d", F.shiftrightunsigned("pack", 44).alias("t"))
+    opened = (seen.where("d = ref").groupBy("d", "t")
               .agg(F.collect_list(F.struct("h", "pack")).alias("refs")))
     opened = stage(opened, "rlz-open")
     named, _ = split_by_bitmap(docs, "d", opened.select("d"))
@@ -233,9 +234,8 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
 
 
 def _unpacked(pack: Column) -> list[Column]:
-    place = F.shiftright(pack, 12).bitwiseAND(F.lit(0xFFFFFFFF))
-    return [F.shiftrightunsigned(pack, 44).alias("t"),
-            (place - F.shiftright(pack, 6).bitwiseAND(F.lit(63))).alias("first"),
+    place = F.shiftright(pack, 12)
+    return [(place - F.shiftright(pack, 6).bitwiseAND(F.lit(63))).alias("first"),
             (place - pack.bitwiseAND(F.lit(63))).alias("last")]
 
 
@@ -247,7 +247,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_of(col(docs, text_col))
     base = docs.select(col(docs, id_col).alias("doc_id"), text.alias("text"),
                        F.coalesce(col(docs, id_col).cast("long"), F.lit(LAST)).alias("d"),
-                       F.shiftrightunsigned(F.xxhash64(text), 44).alias("t"))
+                       F.xxhash64(text).alias("t"))
     spans = stage(covered(base.select("d", "t", "text"), window, k), "rlz-spans")
     named, rest = split_by_bitmap(base, "d", spans.select("d"))
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -99,6 +99,17 @@ def test_substring_other_window(docs):
     assert by_text(r[:4] for r in U.without_copies(df, window=20, k=6).collect()) == substring(pairs(rows), 20)
 
 
+def test_substring_many_texts_without_id(spark):
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(1, " ".join(passage))]
+    for i in range(20_000):
+        own = [f"{i}x{j}" for j in range(r.randint(1, 60))]
+        rows.append((None if i % 2 else 5, " ".join(own + passage[:r.choice([0, 49, 55, 70])] + [f"end{i}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_text(r[:4] for r in U.without_copies(df).collect()) == substring(rows)
+
+
 # ---- line de-duplication
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_lines(docs, least):
