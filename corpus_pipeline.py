@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swipeflow.llm.common import stage, table
-from swipeflow.llm.lines import without_later_copies
+from swipeflow.llm.lines import MIN_WORDS, without_later_copies
 from swipeflow.llm.mixing import mix
 from swipeflow.llm.pieces import encode
 from swipeflow.llm.quality import keep_good
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are deleted; lengths follow the text."""
-    out = without_later_copies(docs)
+    """Later copies of runs of lines and of long lines are deleted; lengths follow the text."""
+    out = without_later_copies(docs, min_words=MIN_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

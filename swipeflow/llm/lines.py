@@ -10,8 +10,11 @@ costs what still repeats.  Rounds end when nothing repeats.
 
 A run of ``min_lines`` lines or more that also begins earlier (smaller id, then
 earlier in the document) is a later copy: its lines are deleted, the first copy
-stays.  Maximal runs need no list of their own: they are the union of their
-windows of ``min_lines``, which is one interval level of the suffix array.
+stays.  So is, with ``min_words``, a single line of that many words or more, as a
+passage or a whole document may stand on one line; only short lines that repeat
+by themselves stay.  Maximal runs need no list of their own: they are the union of their
+windows of ``min_lines``, which is one interval level of the suffix array, and of
+long lines, which are its first level.
 
 Ranks come from distinct pairs only, counted with partial aggregation and put in
 order by range partitions, and go back by joins that split skewed keys; a line
@@ -29,13 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, col, fresh, let, prefix_sum, split_by_bitmap, stage, table, text_of, unstage
+from .common import LAST, col, fresh, let, n_words, prefix_sum, split_by_bitmap, stage, table, text_of, unstage
 
 MIN_LINES = 2
+MIN_WORDS = 20                   # of a single line; shorter documents fail the quality rules anyway
 POS = ["d", "t", "n"]
 
 
-def _ranked(rows: DataFrame, key: list[str]) -> DataFrame | None:
+def _ranked(rows: DataFrame, key: list[str], also: tuple = ()) -> DataFrame | None:
     """Rows of keys that repeat, with ``rank`` (left border of the key's interval
     in key order) and ``first`` (the earliest place); None if no key repeats."""
     keys = rows.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct(*POS)).alias("first")).where("c > 1")
@@ -43,7 +47,7 @@ def _ranked(rows: DataFrame, key: list[str]) -> DataFrame | None:
     if keys.isEmpty():
         return None
     keys = prefix_sum(keys, key, "c", "rank")
-    out = stage(rows.join(keys.drop("c"), key).select(*POS, "rank", "first"), "line-ranks")
+    out = stage(rows.join(keys.drop("c"), key).select(*POS, "rank", "first", *also), "line-ranks")
     unstage(keys)
     return out
 
@@ -55,16 +59,18 @@ def _pairs(ranked: DataFrame, shift: int) -> DataFrame:
 
 
 def doubled(lines: DataFrame, min_lines: int) -> tuple[DataFrame, int] | None:
-    """``lines(d, t, n, h1, h2)`` -> suffixes that repeat an earlier run of
-    ``min_lines`` lines (d, t, n), with the largest power of two they repeat;
-    and the number of rounds."""
-    level = _ranked(lines, ["h1", "h2"])
+    """``lines(d, t, n, h1, h2, long)`` -> suffixes that repeat an earlier run of
+    ``min_lines`` lines, or an earlier long line (d, t, n), with the largest power
+    of two they repeat (1: the long line); and the number of rounds."""
+    level = _ranked(lines, ["h1", "h2"], ("long",))
     size, rounds, copies = 1, 0, []
+    if level is not None:
+        copies.append(_later(level.where("long"), 1))
     while level is not None:
         if size <= min_lines < 2 * size:
             runs = level if size == min_lines else _ranked(_pairs(level, min_lines - size), ["r1", "r2"])
             if runs is None:
-                return None
+                break
             copies.append(_later(runs, min_lines))
         elif size > min_lines:
             copies.append(_later(level, size))
@@ -87,7 +93,14 @@ def _lines(text: Column) -> Column:
                     lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> tuple[DataFrame, dict[str, str]]:
+def _long(line: Column, min_words: int | None) -> Column:
+    if min_words is None:
+        return F.lit(False)
+    return F.when(F.length(line) >= 2 * min_words - 1, n_words(line) >= min_words).otherwise(False)
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int,
+           min_words: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the places of the lines to delete (null: none) and the
     longest repeated run known, a power of two; and their names."""
     if min_lines < 1:
@@ -98,12 +111,13 @@ def marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> tuple
     based = docs.withColumns({own["d"]: F.coalesce(col(docs, id_col).cast("long"), F.lit(LAST)),
                               own["t"]: F.xxhash64(text)})
     lines = (based.select(F.col(own["d"]).alias("d"), F.col(own["t"]).alias("t"), F.posexplode(_lines(text)).alias("n", "s"))
-             .select("d", "t", "n", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2")))
+             .select("d", "t", "n", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"),
+                     _long(F.col("s.x"), min_words).alias("long")))
     found = doubled(stage(lines.distinct(), "lines"), min_lines)
     if found is None:
         return based.withColumns({own["gone"]: F.lit(None).cast("array<int>"), own["longest"]: F.lit(0)}), own
     gone = stage(found[0].groupBy("d", "t").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("n"), F.col("n") + min_lines - 1)))).alias("ns"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("n"), F.col("n") + F.least("size", F.lit(min_lines)) - 1)))).alias("ns"),
         F.max("size").alias("longest")), "line-copies")
     named, rest = split_by_bitmap(based, own["d"], gone.select("d"))
     hit = named.join(gone.select(F.col("d").alias(own["d"]), F.col("t").alias(own["t"]), F.col("ns").alias(own["gone"]),
@@ -123,9 +137,9 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         min_lines: int = MIN_LINES) -> DataFrame:
+                         min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """The documents without the lines of later copies, own columns only."""
-    out, own = marked(docs, id_col, text_col, min_lines)
+    out, own = marked(docs, id_col, text_col, min_lines, min_words)
     done = out.withColumn(text_col, _without(col(out, text_col), F.col(own["gone"])))
     return done.select(*[col(done, c) for c in docs.columns])
 
@@ -133,7 +147,7 @@ def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op3_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, SHA-256 of the kept text, longest
     run (as a power of two) that repeats an earlier one."""
-    out, own = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", MIN_LINES)
+    out, own = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", MIN_LINES, MIN_WORDS)
     text, gone = text_of(F.col("text")), F.col(own["gone"])
     return out.select("doc_id", F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
                       F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),

@@ -128,6 +128,17 @@ def test_lines_long_runs(spark):
     assert got == {1: (0, 0), 2: (100, 64)} or got == {1: (0, None), 2: (100, 64)}
 
 
+def test_lines_long_single_line(spark):
+    long, short = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, long), (3, f"c\n{long}\nd\n{short}\ne"), (4, f"a\n{long}\nf"), (5, short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(L.without_later_copies(df, min_words=L.MIN_WORDS).collect())
+    assert got == {1: rows[0][1], 2: "", 3: f"c\nd\n{short}\ne", 4: "f", 5: short}
+    assert dict(L.without_later_copies(df, min_words=L.MIN_WORDS, min_lines=9).collect()) == \
+        got | {4: "a\nf"}
+    assert dict(L.without_later_copies(df).collect()) == dict(rows) | {4: "f"}
+
+
 # ---- SimHash
 def test_simhash(docs):
     rows, df = docs
