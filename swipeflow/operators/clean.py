@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import sanitize_name, strip, time_text
-from ..schemas import RENAME_MAP
+from ..schemas import NO_HEADER, RENAME_MAP
 
 KEY_RAW = "Employee No"
 SWIPE_RAW = "Swipe Date"
@@ -125,12 +125,15 @@ def cleaning_counts(raw: DataFrame, key: str = KEY_RAW, swipe: str = SWIPE_RAW)
 def classified(raw: DataFrame) -> DataFrame:
     """Bronze rows (18 renamed columns, 6 date parts, any others) of all raw
     rows, with ``_reason`` (NULL: the row stays) and, for rows that do not stay,
-    ``_raw``: the row as it came, as JSON."""
-    given = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"ignoreNullFields": "false"})
-    df = parse_swipe(raw.withColumn("_raw", given))
-    df = df.withColumn("_reason", removal_reason(df)).withColumn(
+    ``_raw``: the row as it came, as JSON.  Landed rows of files without a
+    header do not stay (``no_header``, with their cells)."""
+    columns = [c for c in raw.columns if c != NO_HEADER]
+    cells = F.col(NO_HEADER) if NO_HEADER in raw.columns else F.lit(None).cast("string")
+    given = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    df = parse_swipe(raw.withColumn("_raw", F.coalesce(cells, given)))
+    df = df.withColumn("_reason", F.when(cells.isNotNull(), "no_header").otherwise(removal_reason(df))).withColumn(
         "_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw")))
-    names = table_names(raw.columns)
+    names = table_names(columns)
     df = with_date_parts(cast_trim(df))
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()],
                      "Date", "time", "Year", "Day", "Month_short_name", "Month_Number", "_reason", "_raw")

@@ -28,6 +28,7 @@ RENAME_MAP = {
 # --- end of fixed values ---
 
 RAW_COLUMNS = list(RENAME_MAP)
+NO_HEADER = "_no_header"      # cells, as JSON, of landed rows whose file has no header
 
 _S, _D, _TS = T.StringType(), T.DoubleType(), T.TimestampNTZType()
 

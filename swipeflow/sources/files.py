@@ -10,11 +10,12 @@ and NULL is written as ``\\N`` so that it survives next to the empty string
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import RAW_SCHEMA
+from ..functions.columns import sanitize_name, strip
+from ..schemas import BRONZE_SCHEMA, NO_HEADER, RAW_SCHEMA
 from ..session import materialize
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -123,37 +124,71 @@ def with_file(cells: DataFrame) -> DataFrame:
                         F.array(*[f"_{i}" for i in range(MAX_COLUMNS - 1)], last).alias("cells"))
 
 
-def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple = ()) -> DataFrame:
+def _norm(name: Column) -> Column:
+    """A header name as it is matched: without blanks at its ends, in lower case."""
+    return F.lower(strip(name))
+
+
+def _is_header(key: str) -> Column:
+    return F.coalesce(F.exists("cells", lambda c: _norm(c) == F.lit(key.lower())), F.lit(False))
+
+
+def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple | None = None) -> DataFrame:
     """Rows of files that each carry their own header, columns found by name.
 
-    A row that holds ``key`` as a cell is its file's header; the headers (one
-    row per file) are joined to the rows by file.  Result: the declared export
-    columns as text, typed where the schema says number, dates kept as text for
-    the cleaner, the ``extra`` columns (headers beyond them) as text, and the
-    file name.  Columns a file lacks are NULL."""
-    is_header = F.exists("cells", lambda c: c == F.lit(key))
-    heads = materialize(rows.where(is_header).select("source_file", F.col("cells").alias("head")).dropDuplicates(["source_file"]))
-    body = rows.where(~F.coalesce(is_header, F.lit(False))).join(heads, "source_file")
+    A row that holds ``key`` as a cell (blanks at its ends and case aside) is its
+    file's header, the one with most declared names if there are several; the
+    headers (one row per file) are joined to the rows by file.  Result: the
+    declared export columns as text, typed where the schema says number, dates
+    kept as text for the cleaner, the ``extra`` columns (default: all headers
+    beyond the declared) as text, the file name, and NO_HEADER: the cells, as
+    JSON, of rows whose file has no header (else NULL).  Columns a file lacks are
+    NULL."""
+    extra = tuple(headers(rows, key)) if extra is None else extra
+    known = F.array(*[F.lit(f.name.lower()) for f in RAW_SCHEMA.fields])
+    names = F.transform("cells", lambda c: F.coalesce(_norm(c), F.lit("")))
+    heads = rows.where(_is_header(key)).groupBy("source_file").agg(
+        F.max(F.struct(F.size(F.array_intersect(names, known)).alias("n"), F.col("cells"), names.alias("names"))).alias("h"))
+    heads = materialize(heads.select("source_file", F.col("h.cells").alias("head"), F.col("h.names").alias("names")))
+    body = rows.join(heads, "source_file", "left").where(~F.col("cells").eqNullSafe(F.col("head")))
 
     def cell(name):
-        at = F.array_position("head", F.lit(name))
+        at = F.array_position("names", F.lit(name.strip().lower()))
         return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
     number = (T.DoubleType,)
     cols = [(cell(f.name).try_cast(f.dataType) if isinstance(f.dataType, number) or f.name == "Received On" else cell(f.name))
             .alias(f.name) for f in RAW_SCHEMA.fields]
-    return body.select(*cols, *[cell(c).alias(c) for c in extra], "source_file")
+    filled = F.slice("cells", 1, F.greatest(F.lit(1), F.array_max(F.transform(
+        "cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))))
+    no_header = F.when(F.col("head").isNull(), F.to_json(F.struct(filled.alias("cells")), {"ignoreNullFields": "false"}))
+    return body.select(*cols, *[cell(c).alias(n) for c, n in _free_names(extra).items()], "source_file",
+                       no_header.alias(NO_HEADER))
+
+
+def _free_names(extra: tuple) -> dict[str, str]:
+    """Undeclared headers -> names that meet no declared or other column."""
+    taken = {n.lower() for n in (*RAW_SCHEMA.fieldNames(), *BRONZE_SCHEMA.fieldNames(), "source_file", NO_HEADER)}
+    out = {}
+    for c in extra:
+        n = c.replace("`", "'")
+        while sanitize_name(n).lower() in taken:
+            n += "_2"
+        taken.add(sanitize_name(n).lower())
+        out[c] = n
+    return out
 
 
 def headers(rows: DataFrame, key: str = "Employee No") -> list[str]:
-    """All header names of the files, declared or not (bounded by MAX_COLUMNS
-    times the number of distinct headers)."""
-    named = rows.where(F.exists("cells", lambda c: c == F.lit(key))).select(F.explode("cells").alias("name"))
-    return sorted(r[0] for r in named.where("name IS NOT NULL").distinct().collect())
+    """Header names of the files beyond the declared ones, one spelling each
+    (bounded by MAX_COLUMNS times the number of distinct headers)."""
+    named = rows.where(_is_header(key)).select(F.explode("cells").alias("c")).select(strip(F.col("c")).alias("name"))
+    named = named.where("name <> ''").groupBy(_norm(F.col("name")).alias("n")).agg(F.min("name").alias("name"))
+    declared = {f.name.lower() for f in RAW_SCHEMA.fields}
+    return sorted(r["name"] for r in named.collect() if r["n"] not in declared)
 
 
-def read_landing(spark: SparkSession, path: str, extra: bool = False) -> DataFrame:
+def read_landing(spark: SparkSession, path: str, extra: bool = True) -> DataFrame:
     """Every CSV file under a landing folder in one read, columns found by each
     file's own header, with its file name; ``extra`` keeps undeclared columns."""
     rows = with_file(_cells(spark.read).csv(path))
-    more = [c for c in headers(rows) if c not in RAW_SCHEMA.fieldNames()] if extra else []
-    return by_header(rows, extra=tuple(more))
+    return by_header(rows, extra=None if extra else ())

@@ -112,3 +112,33 @@ def test_stream_one_file_per_micro_batch_equals_batch(spark):
     got = sorted(map(tuple, read_table(spark, t.gold, GOLD_SCHEMA).collect()))
     want = sorted(map(tuple, E.queries()["upsert_gold"](spark, SF_SMALL).collect()))
     assert got == want
+
+
+def test_no_landed_row_is_lost_in_batch_and_stream(spark):
+    """Headers match with blanks and in any case, files without one go to the
+    quarantine, undeclared columns stay; batch and stream alike."""
+    import os
+
+    from swipeflow.operators.upsert import read_table
+    from swipeflow.plans.batch import Tables, run_batch
+    from swipeflow.streaming.incremental import run_incremental
+    root = work_path(spark, "headers")
+    files = {"odd": " employee no ,SWIPE DATE,Gate,Remarks\nE1,2024-06-03 08:00:00,g7,employee no\nE2,2024-06-03 09:00:00,g8,x\n,2024-06-03 09:30:00,g9,x\n",
+             "none": "E3,2024-06-03 10:00:00,,a\nE4,2024-06-03 11:00:00,,b\n"}
+    folder = root.removeprefix("file:") + "/landing"
+    os.makedirs(folder)
+    for name, text in files.items():
+        with open(f"{folder}/{name}.csv", "w") as f:
+            f.write(text)
+    for way in ("batch", "stream"):
+        t = Tables(f"{root}/{way}/b", f"{root}/{way}/s", f"{root}/{way}/g")
+        if way == "batch":
+            counts = run_batch(spark, IO.read_landing(spark, folder), t, run_id="one").counts
+        else:
+            counts = run_incremental(spark, folder, t, f"{root}/ckpt")[1][0][1].counts
+        assert counts["cleaning"] == {"initial_rows": 5, "final_rows": 2, "removed_rows": 3}
+        kept = read_table(spark, t.bronze).select("Employee_No", "Gate").collect()
+        assert sorted(map(tuple, kept)) == [("E1", "g7"), ("E2", "g8")]
+        bad = sorted((r.reason, r.row) for r in spark.read.parquet(t.rejects).collect())
+        assert [b[0] for b in bad] == ["no_header", "no_header", "null_key"]
+        assert bad[0][1] == '{"cells":["E3","2024-06-03 10:00:00",null,"a"]}' and '"Gate":"g9"' in bad[2][1]
