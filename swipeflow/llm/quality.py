@@ -3,16 +3,18 @@
 A document's character-class histogram and its common-word histogram are
 compared with the histograms of its language by Jensen-Shannon distance
 (square root of the divergence, base 2, so 0..1).  The references are summed
-over all documents of the language given; they are at most one row per known
-language plus one for all others, so they travel as literals.  Documents
-shorter than the guards get no divergence verdict.
+over all documents of the language given, one row per language, and joined back
+to the documents (broadcast if Spark's size check allows it).  Documents shorter
+than the guards get no divergence verdict.
 
 Everything is built-in expressions: one scan, no shuffle of texts.
 
 Defined results: a null or empty text has zero words and fails the base rules;
-an unknown or null language is compared on characters only, with the reference
-of all such documents; a reference with fewer than ``min_reference`` characters
-or common words gives no verdict.  Repeated rows are scored each by themselves;
+a language is its tag in lower case without region (``en-US`` is ``en``, a script
+as in ``sr-Latn`` stays); one without a list of common words is compared on
+characters only; a null or blank language gets no divergence verdict; a
+reference with fewer than ``min_reference`` characters or common words gives
+none.  Repeated rows are scored each by themselves;
 an empty table gives an empty result.  Other columns pass through; names that
 clash are avoided with :func:`common.fresh`.
 """
@@ -153,25 +155,30 @@ def _word_chars(words: Column) -> Column:
 
 
 def language(lang: Column) -> Column:
-    return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise("")
-
-
-def references(scored: DataFrame, lang: str, hist: str) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms by language over all rows: at most one row per known
-    language and one for the rest reach the driver."""
-    sums = [F.sum(F.get(F.col(hist)["chars"], F.lit(i))) for i in range(N_CLASSES)]
-    sums += [F.sum(F.get(F.col(hist)["common"], F.lit(i))) for i in range(N_WORD_BINS)]
-    out = {}
-    for r in scored.groupBy(F.col(lang).alias("l")).agg(*sums).collect():
-        n = N_CLASSES + 1
-        out[r[0]] = ([x or 0 for x in r[1:n]], [x or 0 for x in r[n:]])
-    return out
+    """Language and script of a tag in lower case; null if there is none."""
+    tag = F.translate(F.lower(F.trim(lang.cast("string"))), "_", "-")
+    part = F.regexp_extract(tag, r"^([a-z]{2,3}(?:-[a-z]{4})?)(?:-|$)", 1)
+    return F.when(part != "", part).when(tag != "", tag)
+
+
+def references(scored: DataFrame, lang: str, hist: str, out: list[str], rules: QualityRules) -> DataFrame:
+    """Summed histograms by language over all rows, as shares, in the columns
+    ``out`` (language, characters, common words); null below ``min_reference``."""
+    def sums(part, n):
+        return F.array(*[F.coalesce(F.sum(F.get(F.col(hist)[part], F.lit(i))), F.lit(0)) for i in range(n)])
+
+    def shares(h):
+        return let(h, lambda x: let(_total(x), lambda n: F.when(
+            n >= rules.min_reference, F.transform(x, lambda v: v.cast("double") / n))))
+    summed = scored.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias(out[0])).agg(
+        sums("chars", N_CLASSES).alias("c"), sums("common", N_WORD_BINS).alias("w"))
+    return stage(summed.select(out[0], shares(F.col("c")).alias(out[1]), shares(F.col("w")).alias(out[2])), "references")
 
 
-def js_distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of a histogram from a reference, base 2."""
-    total = sum(reference)
-    q = F.array(*[F.lit(x / total) for x in reference])
+def js_distance(counts: Column, reference: Column | list[int]) -> Column:
+    """Jensen-Shannon distance of a histogram from a reference (shares, or a
+    list of counts), base 2."""
+    q = reference if isinstance(reference, Column) else F.array(*[F.lit(x / sum(reference)) for x in reference])
 
     def part(p, m):
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
@@ -182,17 +189,11 @@ def js_distance(counts: Column, reference: list[int]) -> Column:
     return let(_total(counts).cast("double"), of)
 
 
-def distances(hist: Column, lang: Column, refs: dict, rules: QualityRules) -> tuple[Column, Column]:
-    """Character and common-word distance, null where a guard holds."""
-    chars = words = F.lit(None).cast("double")
-    for code, (c, w) in refs.items():
-        if sum(c) >= rules.min_reference:
-            chars = F.when((lang == code) & (_total(hist["chars"]) >= rules.min_chars),
-                           js_distance(hist["chars"], c)).otherwise(chars)
-        if code and sum(w) >= rules.min_reference:
-            words = F.when((lang == code) & (_total(hist["common"]) >= rules.min_common_of),
-                           js_distance(hist["common"], w)).otherwise(words)
-    return chars, words
+def distances(hist: Column, chars: Column, common: Column, rules: QualityRules) -> tuple[Column, Column]:
+    """Character and common-word distance from the references, null where a guard holds."""
+    return (F.when(chars.isNotNull() & (_total(hist["chars"]) >= rules.min_chars), js_distance(hist["chars"], chars)),
+            F.when(common.isNotNull() & (_total(hist["common"]) >= rules.min_common_of),
+                   js_distance(hist["common"], F.slice(common, 1, F.size(hist["common"])))))
 
 
 def base_failed(m: Column, rules: QualityRules) -> Column:
@@ -214,9 +215,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = docs.select(col(docs, id_col).alias("doc_id"), lang.alias("l"),
                           base_metrics(text, lang, rules).alias("m"))
     counted = stage(counted, "quality")
-    refs = references(counted, "l", "m")
-    m, (chars, words) = F.col("m"), distances(F.col("m"), F.col("l"), refs, rules)
-    out = counted.select("doc_id", *[m[c].alias(c) for c in
+    refs = references(counted, "l", "m", ["l", "q_chars", "q_common"], rules)
+    m, (chars, words) = F.col("m"), distances(F.col("m"), F.col("q_chars"), F.col("q_common"), rules)
+    out = counted.join(refs, "l", "left").select("doc_id", *[m[c].alias(c) for c in
                                      ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                          base_failed(m, rules).alias("base_failed"),
                          chars.alias("char_distance"), words.alias("word_distance"))
@@ -227,14 +228,16 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
               rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with their own columns.  Two scans: one sums
     the references, one filters; no text is shuffled."""
-    l, h = fresh(docs, "q_lang", "q_hist")
+    l, h, r, qc, qw = fresh(docs, "q_lang", "q_hist", "q_ref", "q_chars", "q_common")
     text, lang = text_of(col(docs, text_col)), language(col(docs, lang_col))
-    refs = references(docs.select(lang.alias(l), histograms(text, lang).alias(h)), l, h)
+    refs = references(docs.select(lang.alias(l), histograms(text, lang).alias(h)), l, h,
+                      [r, qc, qw], rules)
 
     def verdict(m):
-        chars, words = distances(m, lang, refs, rules)
+        chars, words = distances(m, F.col(qc), F.col(qw), rules)
         return base_failed(m, rules) | diverges(chars, words, rules)
-    return docs.where(~let(base_metrics(text, lang, rules), verdict))
+    own = [col(docs, c) for c in docs.columns]
+    return docs.join(refs, lang == F.col(r), "left").where(~let(base_metrics(text, lang, rules), verdict)).select(*own)
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,19 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert kept == set(range(40))
 
 
+def test_quality_small_language_has_its_own_reference(spark):
+    r = random.Random(5)
+    russian = lambda: " ".join(r.choice("КОТ дом. река, Мир СВЕТ лес; Поле".split()) + str(r.randint(0, 9)) for _ in range(60))
+    thai = lambda: "".join(r.choice("กขคงจฉชซญ") + (" " if i % 9 == 8 else "") for i in range(400))
+    rows = [(i, russian(), "ru", "s") for i in range(60)] + [(100 + i, thai(), "th-TH" if i % 2 else "TH", "s") for i in range(9)]
+    rows += [(200, thai(), None, "s"), (201, thai(), "km", "s")]          # no language; a reference below the guard
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: x for x in Q.score(df, rules=Q.QualityRules(max_repeat_pct=100)).collect()}
+    assert all(x.kept for x in got.values())
+    assert got[100].char_distance is not None and got[200].char_distance is None and got[201].char_distance is None
+    assert Q.keep_good(df, rules=Q.QualityRules(max_repeat_pct=100)).count() == len(rows)
+
+
 # ---- substring de-duplication
 def test_substring(docs):
     rows, df = docs
