@@ -42,10 +42,18 @@ TRIES = 20                       # rounds without fewer collisions before a fixe
 
 # --- fixed values -----------------------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# national digits of a phone number: North American 3-3-4, then by prefix and digit count
+NANP = r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+SEP = r"[ ./()-]{0,2}"
+ABROAD = (rf"(?:\+|00)(?:1(?:{SEP}\d){{10}}|3[34](?: ?\(0\))?(?:{SEP}\d){{9}}|44(?: ?\(0\))?(?:{SEP}\d){{9,10}}"
+          rf"|(?!1|3[34]|44)[1-9]\d(?: ?\(0\))?(?:{SEP}\d){{6,13}})")
+NATIONAL = (r"(?!\d\d[./-]\d\d[./-](?:19|20)\d\d(?!\d))0[1-9](?:[ ./-]?\d){7,9}"
+            r"|[6-9]\d\d (?:\d{3} \d{3}|\d\d \d\d \d\d)(?! ?\d)")
+COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 KINDS = {
     "email": r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?{NANP}|{ABROAD}|(?<![\d.,:/-])(?<!\d ){NATIONAL})(?!\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w|[.-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
 }
@@ -62,6 +70,7 @@ TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 NAME = r"(?:%s)\.? [^\W\d_]+(?:[ -][^\W\d_]+)?" % "|".join(map(re.escape, TITLE))
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, TITLE))})(?P<dot>\.? )(?P<names>[^\W\d_]+(?:[ -][^\W\d_]+)?)")
+WORDS = re.compile(r"[^\W\d_]+")
 HINT = re.compile(r"[\d@]")
 
 
@@ -95,7 +104,10 @@ def luhn(digits: str) -> bool:
 
 def canonical(kind: str, text: str) -> str:
     """What names the entity: the same for all ways to write it."""
-    if kind in ("phone", "card", "ssn"):
+    if kind == "phone":
+        text = re.sub(r"^00", "+", text.replace("(0)", ""))
+        return re.sub(r"[^\d+]", "", text)
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", text)
     return text.lower() if kind == "email" else text
 
@@ -103,7 +115,11 @@ def canonical(kind: str, text: str) -> str:
 def surrogate(key: bytes, kind: str, name: str, trial: int = 0) -> str:
     """The canonical surrogate of a canonical original."""
     if kind in ("phone", "ssn"):
-        keep = len(name) - 10 if kind == "phone" and len(name) > 10 else 0    # the country code stays
+        country = COUNTRY.match(name)
+        keep = country.end() if country else 0       # the country code stays
+        if kind == "phone" and re.match("0[1-9]", name):    # so does the trunk prefix, and what follows is no zero
+            low = 10 ** (len(name) - 2)
+            return "0" + str(low + permute(key, "trunk", int(name) - low, 9 * low, trial))
         rest = name[keep:]
         return name[:keep] + str(permute(key, kind, int(rest), 10 ** len(rest), trial)).zfill(len(rest))
     if kind == "card":
@@ -162,7 +178,10 @@ def _letters(key: bytes, label: str, text: str, trial: int) -> str:
 
 def shaped(kind: str, original: str, new: str) -> str:
     """A canonical surrogate in the format of the original."""
-    if kind in ("phone", "card", "ssn"):
+    if kind == "phone":
+        digits = iter(new.lstrip("+"))
+        return re.sub(r"^00|\(0\)|\d", lambda m: m[0] if len(m[0]) > 1 else next(digits), original)
+    if kind in ("card", "ssn"):
         digits = iter(new)
         return re.sub(r"\d", lambda _: next(digits), original)
     if kind == "ip":
@@ -182,18 +201,36 @@ def _script(word: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical) of each entity; name parts one by one."""
+    """(start, end, kind, canonical) of each entity; name parts one by one, also
+    where a name found after a title stands again without it."""
     found = []
     if HINT.search(text):
         found = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in PATTERN.finditer(text)]
+    kinds = {}
     for m in NAMES.finditer(text):
         parts = [(p.start(), p.end(), p[0]) for p in re.finditer(r"[^\W\d_]+", m["names"])]
         parts = [p for p in parts if p[2][0].isupper()] if parts and parts[0][2][0].isupper() else []
         for i, (a, b, word) in enumerate(parts):
             role = "given" if i == 0 and len(parts) > 1 else "family"
             gender = TITLE[m["title"]] if role == "given" else ""
-            found.append((m.start("names") + a, m.start("names") + b, f"{role}:{gender}:{_script(word)}", word.casefold()))
-    return sorted(found)
+            kind = f"{role}:{gender}:{_script(word)}"
+            found.append((m.start("names") + a, m.start("names") + b, kind, word.casefold()))
+            if word not in TITLE:
+                kinds.setdefault(word.casefold(), kind)
+    found.sort()
+    if not kinds:
+        return found
+    more, i, end = [], 0, 0
+    for m in WORDS.finditer(text):
+        kind = kinds.get(m[0].casefold()) if m[0][0].isupper() else None
+        if kind is None:
+            continue
+        while i < len(found) and found[i][0] < m.end():
+            end = max(end, found[i][1])
+            i += 1
+        if end <= m.start():
+            more.append((m.start(), m.end(), kind, m[0].casefold()))
+    return sorted(found + more)
 
 
 def replaced(key: bytes, text: str, tries: dict) -> tuple[str, int]:

@@ -211,6 +211,24 @@ def test_any_number_of_given_names_stays_distinct(spark):
     assert not any(t in out[i] for i, t in rows)
 
 
+def test_phone_layouts_and_untitled_names():
+    for n in ("+1 555 123 4567", "555 123 4567", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49 30 1234567", "0049 30 1234567",
+              "+34 612 345 678", "06 12 34 56 78", "030/1234567", "612 34 56 78", "(555) 123-4567", "+358 40 123 4567"):
+        text = f"call {n}, or not"
+        assert [(text[a:b], k) for a, b, k, _ in D.entities(text)] == [(n, "phone")], n
+        new = D.replaced(D.KEY, text, {})[0]
+        assert new != text and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+        country = re.match(r"\+1|\+44|\+49|\+34|\+358|0049|0(?=[36])|", n)[0]
+        assert new.startswith("call " + country)
+    assert D.canonical("phone", "+49 30 1234567") == D.canonical("phone", "0049 (0)30-1234567")
+    for t in ("on 01.02.2024 10:30", "at 2024-06-03 08:00:00.123456", "12 345 678 900 people", "0.123456789012", "1,234.50"):
+        assert D.entities(t) == []
+    text = "Mr John Smith came. Smith said John left, a smith; JOHN knew. Mail Smith@x.org"
+    new = D.replaced(D.KEY, text, {})[0]
+    first, last = re.match(r"Mr (\w+) (\w+) came", new).groups()
+    assert f"{last} said {first} left, a smith; {first.upper()} knew." in new and "John" not in new
+
+
 # ---- shared helpers
 def test_components(spark):
     r = random.Random(1)
