@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP13_SQL, op13_aho_corasick_decontamination
 from .lines import op3_line_suffix_array
 from .mixing import op8_subset_sum_mixing
 from .pieces import op5_sentencepiece_backtracking
@@ -17,6 +18,8 @@ QUERIES = {f.__name__: f for f in (
     op1_distribution_divergence, op2_relative_lempel_ziv, op3_line_suffix_array, op4_subspace_pigeonhole,
     op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
     op7_entropy_secrets, op8_subset_sum_mixing, op9_keyed_surrogates,
-    op10_overlap_resynchronisation,
+    op10_overlap_resynchronisation, op13_aho_corasick_decontamination,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op13_aho_corasick_decontamination": OP13_SQL,
+}
