@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP13_SQL, op13_aho_corasick_decontamination
 from .lines import op3_line_suffix_array
 from .mixing import op8_subset_sum_mixing
+from .negatives import OP12_SQL, op12_secondary_sort_negatives
 from .pieces import op5_sentencepiece_backtracking
 from .pii import op9_keyed_surrogates
 from .quality import op1_distribution_divergence
@@ -18,8 +19,9 @@ QUERIES = {f.__name__: f for f in (
     op1_distribution_divergence, op2_relative_lempel_ziv, op3_line_suffix_array, op4_subspace_pigeonhole,
     op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
     op7_entropy_secrets, op8_subset_sum_mixing, op9_keyed_surrogates,
-    op10_overlap_resynchronisation, op13_aho_corasick_decontamination,
+    op10_overlap_resynchronisation, op12_secondary_sort_negatives, op13_aho_corasick_decontamination,
 )}
 SQL: dict[str, str] = {
+    "op12_secondary_sort_negatives": OP12_SQL,
     "op13_aho_corasick_decontamination": OP13_SQL,
 }
