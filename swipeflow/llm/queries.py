@@ -14,12 +14,14 @@ from .simhash import op6_simhash_bit_sliced
 from .substring import op2_relative_lempel_ziv
 from .tokencount import op10_overlap_resynchronisation
 from .vectors import op4_subspace_pigeonhole
+from .whitening import op11_incremental_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_distribution_divergence, op2_relative_lempel_ziv, op3_line_suffix_array, op4_subspace_pigeonhole,
     op5_sentencepiece_backtracking, op6_simhash_bit_sliced,
     op7_entropy_secrets, op8_subset_sum_mixing, op9_keyed_surrogates,
-    op10_overlap_resynchronisation, op12_secondary_sort_negatives, op13_aho_corasick_decontamination,
+    op10_overlap_resynchronisation, op11_incremental_whitening, op12_secondary_sort_negatives,
+    op13_aho_corasick_decontamination,
 )}
 SQL: dict[str, str] = {
     "op12_secondary_sort_negatives": OP12_SQL,
