@@ -566,13 +566,13 @@ def upsert_new_columns(spark, sf_dir):
 
 @register("upsert_after_interruption", f"SELECT {_BRONZE_COLS} FROM ({O.bronze_after_two()})")
 def upsert_after_interruption(spark, sf_dir):
-    """The second load stops after an old day was deleted and before the new
-    one was moved in; running it again gives the table of a clean run."""
+    """The second load stops with its rows written and no version that names
+    them: the table is still that of the first load.  Running it again gives the
+    table of a clean run."""
     path = work_path(spark, "stopped")
     r1, r2 = (C.clean_bronze(r) for r in _batches(spark, sf_dir))
     U.upsert(spark, path, r1, BRONZE_KEYS, "Date", latest="Received_On")
-    stopped = U.upsert(spark, path, r2, BRONZE_KEYS, "Date", latest="Received_On", commit=False)
-    U.remove_path(spark, f"{path}/Date={stopped.partitions_written[0]}")
+    U.upsert(spark, path, r2, BRONZE_KEYS, "Date", latest="Received_On", commit=False)
     U.upsert(spark, path, r2, BRONZE_KEYS, "Date", latest="Received_On")
     return U.read_table(spark, path).select(*O.BRONZE_NAMES)
 
@@ -831,7 +831,7 @@ def quarantine_rows(spark, sf_dir):
     IO.write_csv_quoted(_text_batch(spark, sf_dir), f"{root}/landing")
     B.run_batch(spark, IO.read_landing(spark, f"{root}/landing"), t, run_id="one")
     row = F.from_json("row", "`Employee No` string, `Swipe Date` string")
-    bad = spark.read.parquet(t.rejects).select(
+    bad = B.read_rejects(spark, t).select(
         F.lit("quarantined").alias("side"), "reason", row["Employee No"].alias("key_text"), row["Swipe Date"].alias("swipe_text"))
     return bad.unionByName(U.read_table(spark, t.bronze).select(
         F.lit("kept").alias("side"), F.lit(None).cast("string").alias("reason"), F.col("Employee_No").alias("key_text"),

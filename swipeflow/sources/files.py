@@ -144,12 +144,12 @@ def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple | None = N
     beyond the declared) as text, the file name, and NO_HEADER: the cells, as
     JSON, of rows whose file has no header (else NULL).  Columns a file lacks are
     NULL."""
-    extra = tuple(headers(rows, key)) if extra is None else extra
     known = F.array(*[F.lit(f.name.lower()) for f in RAW_SCHEMA.fields])
     names = F.transform("cells", lambda c: F.coalesce(_norm(c), F.lit("")))
     heads = rows.where(_is_header(key)).groupBy("source_file").agg(
         F.max(F.struct(F.size(F.array_intersect(names, known)).alias("n"), F.col("cells"), names.alias("names"))).alias("h"))
     heads = materialize(heads.select("source_file", F.col("h.cells").alias("head"), F.col("h.names").alias("names")))
+    extra = tuple(headers(heads)) if extra is None else extra
     body = rows.join(heads, "source_file", "left").where(~F.col("cells").eqNullSafe(F.col("head")))
 
     def cell(name):
@@ -178,10 +178,10 @@ def _free_names(extra: tuple) -> dict[str, str]:
     return out
 
 
-def headers(rows: DataFrame, key: str = "Employee No") -> list[str]:
-    """Header names of the files beyond the declared ones, one spelling each
-    (bounded by MAX_COLUMNS times the number of distinct headers)."""
-    named = rows.where(_is_header(key)).select(F.explode("cells").alias("c")).select(strip(F.col("c")).alias("name"))
+def headers(heads: DataFrame) -> list[str]:
+    """Header names beyond the declared ones, one spelling each (bounded by
+    MAX_COLUMNS times the number of distinct headers)."""
+    named = heads.select(F.explode("head").alias("c")).select(strip(F.col("c")).alias("name"))
     named = named.where("name <> ''").groupBy(_norm(F.col("name")).alias("n")).agg(F.min("name").alias("name"))
     declared = {f.name.lower() for f in RAW_SCHEMA.fields}
     return sorted(r["name"] for r in named.collect() if r["n"] not in declared)

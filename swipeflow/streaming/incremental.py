@@ -5,19 +5,23 @@ A Structured Streaming file source tracks which files were already taken
 a batch load.  ``trigger(availableNow=True)`` takes what has landed and
 stops, so the job can run on a schedule; a continuous trigger works too.
 
-Restarts are safe: a micro-batch that is run again after a failure re-upserts
-the same rows, which is a no-op for rows already applied (the upsert is
-idempotent), and the source checkpoint never re-reads committed files.
+Restarts are safe, and each micro-batch is in the tables once: bronze keeps the
+last batch of every stream (by the stream's own id, which its checkpoint holds)
+in the same commit as the batch's rows and its quarantined rows.  A batch that
+is run again after a failure, by this stream or a copy of it, finds itself there
+and only brings silver and gold up to date.  Any number of streams can load into
+one set of tables, at the same time too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from collections import deque
+from threading import Event
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, AttendanceConfig
-from ..plans.batch import Tables, run_batch
+from ..plans.batch import BatchResult, Tables, run_batch
 from ..sources.files import _cells, by_header, with_file
 
 KEPT_RESULTS = 100   # results of past micro-batches that stay on the driver
@@ -40,16 +44,24 @@ def run_incremental(spark: SparkSession, landing: str, tables: Tables, checkpoin
     With ``newer_only`` and ``replace_days`` the tables do not depend on how
     files fall into micro-batches or in which order they arrive."""
     results = deque(maxlen=KEPT_RESULTS)
+    started, query = Event(), []
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        results.append((batch_id, run_batch(batch.sparkSession, by_header(batch), tables, cfg,
-                                            run_id=f"stream-{batch_id}", newer_only=newer_only,
-                                            replace_days=replace_days)))
+        started.wait()
+        results.append((batch_id, take_batch(batch, query[0].id, batch_id, tables, cfg, newer_only, replace_days)))
 
     w = landing_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(each) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    q = w.start()
+    query.append(w.start())
+    started.set()
     if available_now:
-        q.awaitTermination()
-    return q, results
+        query[0].awaitTermination()
+    return query[0], results
+
+
+def take_batch(batch: DataFrame, stream: str, batch_id: int, tables: Tables, cfg: AttendanceConfig = DEFAULT,
+               newer_only: bool = False, replace_days: bool = False) -> BatchResult:
+    """One micro-batch of ``landing_stream`` through the tables, once per (stream, batch)."""
+    return run_batch(batch.sparkSession, by_header(batch), tables, cfg, run_id=f"{stream}-{batch_id}",
+                     newer_only=newer_only, replace_days=replace_days, load=(stream, batch_id))

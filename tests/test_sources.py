@@ -120,7 +120,7 @@ def test_no_landed_row_is_lost_in_batch_and_stream(spark):
     import os
 
     from swipeflow.operators.upsert import read_table
-    from swipeflow.plans.batch import Tables, run_batch
+    from swipeflow.plans.batch import Tables, read_rejects, run_batch
     from swipeflow.streaming.incremental import run_incremental
     root = work_path(spark, "headers")
     files = {"odd": " employee no ,SWIPE DATE,Gate,Remarks\nE1,2024-06-03 08:00:00,g7,employee no\nE2,2024-06-03 09:00:00,g8,x\n,2024-06-03 09:30:00,g9,x\n",
@@ -139,6 +139,6 @@ def test_no_landed_row_is_lost_in_batch_and_stream(spark):
         assert counts["cleaning"] == {"initial_rows": 5, "final_rows": 2, "removed_rows": 3}
         kept = read_table(spark, t.bronze).select("Employee_No", "Gate").collect()
         assert sorted(map(tuple, kept)) == [("E1", "g7"), ("E2", "g8")]
-        bad = sorted((r.reason, r.row) for r in spark.read.parquet(t.rejects).collect())
+        bad = sorted((r.reason, r.row) for r in read_rejects(spark, t).collect())
         assert [b[0] for b in bad] == ["no_header", "no_header", "null_key"]
         assert bad[0][1] == '{"cells":["E3","2024-06-03 10:00:00",null,"a"]}' and '"Gate":"g9"' in bad[2][1]
