@@ -40,12 +40,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_distinct
-from ..session import remove_path, work_path
+from ..session import remove_path
 from . import versions
 from .versions import CHANGES, INSERTS, LOAD, Conflict, Version
 
@@ -56,18 +55,17 @@ MAX_FOLDERS = 16                     # loads a partition may lie in before it is
 TRIES = 50                           # times a load is tried again when others come first
 
 
-def align(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of ``schema`` in its order and types; missing ones NULL."""
-    have = set(df.columns)
-    return df.select(*[
-        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def changed(t_cols: list[Column], s_cols: list[Column]) -> Column:
-    """OR of NULL-safe differences (``IS DISTINCT FROM``)."""
-    return reduce(lambda a, b: a | b, [is_distinct(t, s) for t, s in zip(t_cols, s_cols)], F.lit(False))
+def align(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of ``schema`` in its order and types; missing ones NULL."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.selectExpr(*[
+        _q(f.name) if have.get(f.name) == f.dataType
+        else f"CAST({_q(f.name) if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {_q(f.name)}"
+        for f in schema.fields])
 
 
 def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
@@ -86,34 +84,29 @@ def merge_plan(target: DataFrame, source: DataFrame, keys: list[str],
     compare = compare or [c for c in vals if c in given and c not in LINEAGE]
 
     def side(df, mark):
-        return df.select(*keys, *[F.col(f"`{c}`").alias(f"{mark}_{c}") for c in vals if c in df.columns],
-                         F.lit(True).alias(f"_in_{mark}"))
+        return df.selectExpr(*map(_q, keys), *[f"{_q(c)} AS {_q(f'{mark}_{c}')}" for c in vals if c in df.columns],
+                             f"true AS _in_{mark}")
     s, t = side(source, "s"), side(target, "t")
     if scope is not None:
         sk = scope.columns
         t = t.join(scope.select(*sk).distinct().withColumn("_in_scope", F.lit(True)), sk, "left")
     j = t.join(s, on=keys, how="full_outer")
-    diff = changed([F.col(f"t_{c}") for c in compare], [F.col(f"s_{c}") for c in compare])
+    diff = " OR ".join(f"NOT ({_q(f't_{c}')} <=> {_q(f's_{c}')})" for c in compare) or "false"
     if newer_by:
-        stored, sent = F.col(f"t_{newer_by}"), F.col(f"s_{newer_by}")
-        diff = diff & F.coalesce(sent >= stored, stored.isNull())
-    gone = F.col("_in_s").isNull() & (F.col("_in_scope").isNotNull() if scope is not None else F.lit(False))
-    action = (F.when(F.col("_in_t").isNull(), "insert")
-              .when(gone, "delete")
-              .when(F.col("_in_s").isNull(), "target_only")
-              .when(diff, "update")
-              .otherwise("unchanged"))
-    j = j.withColumn("_action", action)
-    take_s = F.col("_action").isin("insert", "update")
+        stored, sent = _q(f"t_{newer_by}"), _q(f"s_{newer_by}")
+        diff = f"({diff}) AND coalesce({sent} >= {stored}, {stored} IS NULL)"
+    gone = "_in_s IS NULL AND _in_scope IS NOT NULL" if scope is not None else "false"
+    j = j.selectExpr("*", f"""CASE WHEN _in_t IS NULL THEN 'insert' WHEN {gone} THEN 'delete' WHEN _in_s IS NULL THEN 'target_only'
+                              WHEN {diff} THEN 'update' ELSE 'unchanged' END AS {ACTION}""")
 
     def value(c):
         if c in keys:
-            return F.col(c)
+            return _q(c)
         if c not in given:
-            return F.col(f"t_{c}").alias(c)
-        return F.when(take_s, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c)
-    before = F.when(F.col("_in_t"), F.struct(*[F.col(f"t_{c}").alias(c) for c in vals])).alias(OLD)
-    return j.select(*map(value, cols), "_action", *([before] if old else []))
+            return f"{_q(f't_{c}')} AS {_q(c)}"
+        return f"IF({ACTION} IN ('insert', 'update'), {_q(f's_{c}')}, {_q(f't_{c}')}) AS {_q(c)}"
+    was = ", ".join(f"'{c}', {_q(f't_{c}')}" for c in vals)
+    return j.selectExpr(*map(value, cols), ACTION, *([f"IF(_in_t, named_struct({was}), NULL) AS {OLD}"] if old else []))
 
 
 def action_counts(merged: DataFrame) -> DataFrame:
@@ -312,33 +305,25 @@ def _upsert(spark, path, v, source, keys, partition_col, schema, compare, latest
     known = [str(p) for p in partitions or [] if str(p) in v.parts]
     if known:
         target = align(_rows(spark, path, v, known), full)
-        rows = merge_plan(target, src, keys, compare, scope, newer_by, old=True)
+        every = merge_plan(target, src, keys, compare, scope, newer_by, old=True)
     else:                                  # nothing to compare with
         old = T.StructType([f for f in full.fields if f.name not in keys])
-        rows = align(src, full).withColumns({ACTION: F.lit("insert"), OLD: F.lit(None).cast(old)})
+        every = align(src, full).withColumns({ACTION: F.lit("insert"), OLD: F.lit(None).cast(old)})
     # counts and changed partitions, gathered while the changed rows are
     # written; the sets hold partition values that ``partitions`` bounds
     obs, value, action = Observation("upsert"), F.col(partition_col), F.col(ACTION)
     new = action.isin("insert", "update", "delete")
-    rows = rows.observe(
+    rows = every.observe(
         obs, *[F.count_if(action == a).alias(a) for a in ACTIONS],
         F.collect_set(F.when(new, value)).alias("_dirty"),
         F.collect_set(F.when(action.isin("update", "delete"), value)).alias("_changed")).where(new)
-    name, staged = versions.new_load(v), None
-    if known:
-        # a join that finds nothing new must not vanish from the plan, and its counts with it:
-        # the changed rows are put down first, then dealt out by partition value
-        staged = work_path(spark, "changed")
-        rows.write.parquet(staged)
-        rows = spark.read.schema(rows.schema).parquet(staged)
-    else:
-        _write(rows, path, name, partition_col, keys)
+    name = versions.new_load(v)
+    _write(rows, path, name, partition_col, keys)
     m = _observed(obs)
+    if not m and known:                    # nothing to write: Spark left the observed step out
+        m = {r[ACTION]: r["count"] for r in every.groupBy(ACTION).count().collect()}
     counts = {a: int(m.get(a, 0)) for a in ACTIONS}
     dirty, again = sorted(m.get("_dirty", [])), {str(d) for d in m.get("_changed", [])}
-    if dirty and staged:
-        _write(rows, path, name, partition_col, keys)
-    remove_path(spark, staged)
     if not commit:
         return UpsertResult(path, counts, dirty, v.number)
     if not dirty:

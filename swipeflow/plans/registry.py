@@ -425,6 +425,7 @@ from ..operators import upsert as U  # noqa: E402
 from ..schemas import BRONZE_KEYS, GOLD_MINUTE_COLUMNS, GOLD_SCHEMA  # noqa: E402
 from ..session import work_path  # noqa: E402
 from . import batch as B  # noqa: E402
+from concurrent.futures import ThreadPoolExecutor  # noqa: E402
 
 
 def _batches(spark, sf_dir):
@@ -588,6 +589,52 @@ def upsert_newer_only(spark, sf_dir):
     return U.read_table(spark, path).select(*O.BRONZE_NAMES)
 
 
+@register("upsert_two_writers", f"""WITH b AS (SELECT * FROM ({O.bronze_batch(1)}) UNION ALL SELECT * FROM ({O.bronze_batch(2)}))
+{O.dedup_from('b', cols=O.BRONZE_NAMES)}""")
+def upsert_two_writers(spark, sf_dir):
+    """Both loads at the same time into one table: the one that commits second
+    looks at what the first did, and both are in."""
+    path = work_path(spark, "writers")
+
+    def load(raw):
+        return U.upsert(spark, path, C.clean_bronze(raw), BRONZE_KEYS, "Date", latest="Received_On", newer_by="Received_On")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(load, _batches(spark, sf_dir)))
+    return U.read_table(spark, path).select(*O.BRONZE_NAMES)
+
+
+@register("upsert_compacted", f"SELECT {_BRONZE_COLS} FROM ({O.bronze_after_two()})")
+def upsert_compacted(spark, sf_dir):
+    """Two loads leave the changed rows of each in folders of their own; compaction writes
+    the days that lie in several folders anew, with the same rows."""
+    path, _ = _bronze_two(spark, sf_dir)
+    U.compact(spark, path)
+    return U.read_table(spark, path).select(*O.BRONZE_NAMES)
+
+
+_FED = ["Remarks", "Status", "Received_On"]
+
+
+@register("change_feed_rows", f"""WITH b1 AS ({O.bronze_batch(1)}), b2 AS ({O.bronze_batch(2)})
+SELECT b2.Employee_No, b2.Swipe_Date, CASE WHEN b1.Employee_No IS NULL THEN 'insert' ELSE 'update' END AS action,
+       {', '.join(f'b1.{c} AS old_{c}, b2.{c} AS new_{c}' for c in _FED)},
+       CASE WHEN b1.Employee_No IS NULL THEN '' ELSE concat_ws(',',
+            {', '.join(f"CASE WHEN b1.{c} IS DISTINCT FROM b2.{c} THEN '{c}' END" for c in _FED)}) END AS changed
+FROM b2 LEFT JOIN b1 ON {_B1_KEPT}
+WHERE b1.Employee_No IS NULL OR {' OR '.join(f'b1.{c} IS DISTINCT FROM b2.{c}' for c in O.BRONZE_NAMES
+                                              if c not in ('Employee_No', 'Swipe_Date'))}""")
+def change_feed_rows(spark, sf_dir):
+    """What the second load did to bronze, read from the feed: action, old and
+    new values, and which of three columns differ."""
+    path, res = _bronze_two(spark, sf_dir)
+    feed = U.change_feed(spark, path, after=res.version - 1)
+    differs = [F.when(FN.is_distinct(F.col(f"_old.{c}"), F.col(c)), F.lit(c)) for c in _FED]
+    return feed.select(
+        *BRONZE_KEYS, F.col("_action").alias("action"),
+        *[x for c in _FED for x in (F.col(f"_old.{c}").alias(f"old_{c}"), F.col(c).alias(f"new_{c}"))],
+        F.when(F.col("_action") == "insert", "").otherwise(F.concat_ws(",", *differs)).alias("changed"))
+
+
 @register("medallion_two_batches", f"""SELECT {_COERCED} FROM ({_gold_after_two_sql()})
 WHERE work_date BETWEEN DATE '{FX.BATCH2_FROM}' AND (SELECT MAX(CAST(ts AS DATE)) FROM events)""")
 def medallion_two_batches(spark, sf_dir):
@@ -819,10 +866,13 @@ def landing_by_header(spark, sf_dir):
         "Employee_No", "Swipe_Date", "In_Out", "Longitude", "Source")
 
 
-@register("quarantine_rows", f"""WITH raw AS ({_RAW_TEXT}), r AS (SELECT *, {_REASON} AS why FROM raw)
+_QUARANTINED = f"""WITH raw AS ({_RAW_TEXT}), r AS (SELECT *, {_REASON} AS why FROM raw)
 SELECT 'quarantined' AS side, why AS reason, {_K} AS key_text, "Swipe Date" AS swipe_text FROM r WHERE why IS NOT NULL
 UNION ALL SELECT 'kept', NULL, {_KEY}, strftime({O.swipe_time('"Swipe Date"')}, '%Y-%m-%d %H:%M:%S') FROM r WHERE why IS NULL
-QUALIFY ROW_NUMBER() OVER (PARTITION BY {_KEY}, {O.swipe_time('"Swipe Date"')}) = 1""")
+QUALIFY ROW_NUMBER() OVER (PARTITION BY {_KEY}, {O.swipe_time('"Swipe Date"')}) = 1"""
+
+
+@register("quarantine_rows", _QUARANTINED)
 def quarantine_rows(spark, sf_dir):
     """A landed export through the three tables: rows that cannot be read are
     stored with a reason, the others are in bronze."""
@@ -830,6 +880,11 @@ def quarantine_rows(spark, sf_dir):
     t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
     IO.write_csv_quoted(_text_batch(spark, sf_dir), f"{root}/landing")
     B.run_batch(spark, IO.read_landing(spark, f"{root}/landing"), t, run_id="one")
+    return _both_sides(spark, t)
+
+
+def _both_sides(spark, t):
+    """Quarantined rows with their reason, and the keys that are in bronze."""
     row = F.from_json("row", "`Employee No` string, `Swipe Date` string")
     bad = B.read_rejects(spark, t).select(
         F.lit("quarantined").alias("side"), "reason", row["Employee No"].alias("key_text"), row["Swipe Date"].alias("swipe_text"))
@@ -838,6 +893,24 @@ def quarantine_rows(spark, sf_dir):
         F.col("Swipe_Date").cast("string").alias("swipe_text")))
 
 
+@register("stream_two_sources_quarantine", _QUARANTINED)
+def stream_two_sources_quarantine(spark, sf_dir):
+    """Card and web exports land in two folders; two streams load them into one
+    set of tables, and the first stream's batch comes again after a failure.
+    Kept and quarantined rows are those of both exports, once."""
+    root = work_path(spark, "sources")
+    t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    raw = _text_batch(spark, sf_dir)
+    web = F.coalesce(F.col("`Swipe Type`").like("Web%"), F.lit(False))
+    for name, rows in (("card", raw.where(~web)), ("web", raw.where(web))):
+        IO.write_csv_quoted(rows, f"{root}/{name}")
+        query, _ = ST.run_incremental(spark, f"{root}/{name}", t, f"{root}/checkpoint-{name}")
+        if name == "card":
+            again = IO.with_file(IO._cells(spark.read).csv(f"{root}/card"))
+            ST.take_batch(again, query.id, 0, t)
+    return _both_sides(spark, t)
+
+
 @register("infer_declared_types", f"""WITH raw AS ({O.raw_fixture('sparse', dirty=True, keep_event=True)})
 SELECT {_K} AS Employee_No, "Swipe Date" AS Swipe_Date, CAST(event_id AS BIGINT) AS Badge, "Longitude" * 2 AS Site_HQ,
        hour(ts) < 5 AS Night_Shift, date_trunc('second', ts) AS Arrived, lpad(CAST(event_id % 100 AS VARCHAR), 3, '0') AS Gate
