@@ -26,7 +26,7 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
@@ -40,7 +40,7 @@ from ..operators.upsert import (ACTIONS, OLD, TRIES, UpsertResult, change_feed,
 from ..operators.versions import LOAD, Conflict, Version
 from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_SCHEMA, SILVER_KEYS, SILVER_SCHEMA
 from ..session import materialize, remove_path, work_path
-from ..sources.files import write_report
+from ..sources.files import write_file_reports, write_report
 
 MAX_DAYS = 100_000   # days a batch may touch; more is refused
 REJECTED = "source_file string, reason string, row string, run_id string"
@@ -157,7 +157,8 @@ def advance_gold(spark: SparkSession, tables: Tables, cfg: AttendanceConfig = DE
 
 def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
               cfg: AttendanceConfig = DEFAULT, replace_days: bool = False, report_root: str | None = None,
-              run_id: str | None = None, newer_only: bool = False, load: tuple[str, int] | None = None) -> BatchResult:
+              run_id: str | None = None, newer_only: bool = False, load: tuple[str, int] | None = None,
+              report_by: Column | None = None) -> BatchResult:
     """Load one batch of raw export rows through the three tables.
 
     The exports are read once: cleaned rows are staged in the shared folder.
@@ -174,7 +175,10 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
 
     With ``report_root``, the gold rows of the batch's date range are written
     as a CSV report (minute columns as integers) to
-    ``<report_root>/<run_id>/attendance_report_<first work day>``.
+    ``<report_root>/<run_id>/attendance_report_<first work day>``; with
+    ``report_by`` one report for each of its values (such as ``source_file``), for
+    the date range of that value's rows, all in one job (``write_file_reports``);
+    ``report`` is their folder then.
     """
     run_id = run_id or uuid.uuid4().hex[:12]
     seen = Observation("rows")
@@ -198,7 +202,12 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
         out.counts["silver"] = advance_silver(spark, tables)
         out.counts["gold"] = advance_gold(spark, tables, cfg, replace_days)
     out.counts["cleaning"] = {"initial_rows": n, "final_rows": kept, "removed_rows": n - kept}
-    if report_root and out.start_date is not None:
+    if report_root and report_by is not None and days:
+        files = good.groupBy(report_by.alias("source_file")).agg(F.min("Date").alias("first"), F.max("Date").alias("last"))
+        gold = read_table(spark, tables.gold, GOLD_SCHEMA, between=(str(out.start_date), str(out.end_date)))
+        write_file_reports(minutes_as_integers(gold), materialize(files), report_root, run_id)
+        out.report = f"{report_root.rstrip('/')}/{run_id}"
+    elif report_root and out.start_date is not None:
         report = minutes_as_integers(gold_for_range(spark, tables, out.start_date, out.end_date))
         out.report = write_report(report, report_root, run_id, first=out.start_date)
     remove_path(spark, staged)

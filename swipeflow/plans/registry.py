@@ -424,6 +424,7 @@ for _name, _cols in {
 from ..operators import upsert as U  # noqa: E402
 from ..schemas import BRONZE_KEYS, GOLD_MINUTE_COLUMNS, GOLD_SCHEMA  # noqa: E402
 from ..session import work_path  # noqa: E402
+from ..operators import paging as PG  # noqa: E402
 from . import batch as B  # noqa: E402
 from concurrent.futures import ThreadPoolExecutor  # noqa: E402
 
@@ -714,6 +715,29 @@ def append_csv_merge_schema(spark, sf_dir):
     return IO.read_merged(spark, table).select("Employee_No", "Swipe_Date", "Longitude", "Swipe_Type")
 
 
+_NUMBER = """CASE WHEN event_id % 7 = 0 THEN 'gate ' || event_id WHEN event_id % 11 = 0 THEN NULL
+             ELSE CAST(event_id AS VARCHAR) END"""
+
+
+@register("append_csv_rescue", f"""WITH raw AS ({O.raw_fixture('sparse', dirty=True, keep_event=True)}),
+r AS (SELECT event_id, {_K} AS k, {_NUMBER} AS n, 'day ' || event_id AS d FROM raw)
+SELECT k AS Employee_No, TRY_CAST(n AS BIGINT) AS Badge, TRY_CAST(NULL AS DATE) AS Since,
+       CASE WHEN n LIKE 'gate%' THEN '{{"Badge":"' || n || '","Since":"' || d || '"}}' ELSE '{{"Since":"' || d || '"}}' END AS _rescued
+FROM r""")
+def append_csv_rescue(spark, sf_dir):
+    """Cells that do not read as their type stay as text in one column; a second
+    load of the same files, each file once, adds nothing."""
+    raw = FX.raw_swipes(FX.read_events(spark, sf_dir), "sparse", dirty=True, keep_event_id=True)
+    n = F.col("event_id").cast("string")
+    number = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("gate "), n)).when(F.col("event_id") % 11 != 0, n)
+    path = IO.write_csv_quoted(raw.select(F.col("`Employee No`").alias("Employee_No"), number.alias("Badge"),
+                                          F.concat(F.lit("day "), n).alias("Since")), work_path(spark, "load"))
+    table = work_path(spark, "rescued")
+    for _ in range(2):
+        IO.load_csv_append(spark, path, table, {"Badge": "bigint", "Since": "date"}, force=False)
+    return IO.read_merged(spark, table).select("Employee_No", "Badge", "Since", IO.RESCUED)
+
+
 def _gold_table(spark, sf_dir, density="sparse"):
     """Gold of the sparse fixture written as a table partitioned by work_date."""
     path = work_path(spark, "gold")
@@ -775,6 +799,15 @@ def page_limit_offset(spark, sf_dir):
     return g.orderBy("Employee_No", "work_date").offset(PAGE_SIZE * PAGE_INDEX).limit(PAGE_SIZE)
 
 
+@register("page_by_index", f"""SELECT * FROM ({_GOLD_SPARSE}) ORDER BY Employee_No, work_date
+LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE * PAGE_INDEX}""")
+def page_by_index(spark, sf_dir):
+    """The same page read by position from stored ranges of the order."""
+    path = PG.build_page_index(A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")), ["Employee_No", "work_date"],
+                               work_path(spark, "pages"))
+    return PG.read_page(spark, path, PAGE_SIZE * PAGE_INDEX, PAGE_SIZE, GOLD_SCHEMA)
+
+
 @register("preview_head", f"SELECT * FROM ({_GOLD_SPARSE}) ORDER BY Employee_No, work_date LIMIT 5")
 def preview_head(spark, sf_dir):
     return A.gold_attendance(silver_fixture(spark, sf_dir, "sparse")).orderBy("Employee_No", "work_date").limit(5)
@@ -833,6 +866,35 @@ def _csv_by_day(raw, landing):
     IO._csv_opts(raw.write.mode("overwrite").partitionBy("day").option("quoteAll", True), True).csv(landing)
 
 
+_RESENT = f"Date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'"
+
+
+@register("reports_by_file", f"""WITH b1 AS ({O.bronze_batch(1)}), b2 AS ({O.bronze_batch(2)}),
+b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2),
+one AS ({O.dedup_from('b', cols=O.BRONZE_NAMES)}),
+g AS ({O.gold_over(O.silver_cast_from('one'))}),
+r AS (SELECT 'early' AS file, MIN(Date) AS a, MAX(Date) AS z FROM b1
+      UNION ALL SELECT 'late', MIN(Date), MAX(Date) FROM b2
+      UNION ALL SELECT 'resent', MIN(Date), MAX(Date) FROM b1 WHERE {_RESENT})
+SELECT r.file, CAST(r.a AS DATE) AS first_day, {_COERCED} FROM g JOIN r ON work_date BETWEEN r.a AND r.z""")
+def reports_by_file(spark, sf_dir):
+    """Three exports with overlapping dates landed in one load; one CSV report
+    for each, of its own date range, read back."""
+    root = work_path(spark, "exports")
+    r1, r2 = _batches(spark, sf_dir)
+    resent = r1.where(F.to_date("`Swipe Date`").between(F.lit(RANGE_START).cast("date"), F.lit(RANGE_END).cast("date")))
+    for name, rows in (("early", r1), ("late", r2), ("resent", resent)):
+        IO.write_csv_quoted(rows, f"{root}/landing/{name}")
+    t = B.Tables(f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    res = B.run_batch(spark, IO.read_landing(spark, f"{root}/landing"), t, report_root=f"{root}/reports",
+                      report_by=F.regexp_extract("source_file", "landing/([a-z]+)/", 1))
+    schema = T.StructType([f if f.name not in GOLD_MINUTE_COLUMNS else T.StructField(f.name, T.LongType())
+                           for f in GOLD_SCHEMA.fields])
+    rows = IO.read_csv(spark, res.report, schema, header=True, null_value=IO.NO_NULLS)
+    part = lambda i: F.regexp_extract("report", "([0-9]+-[0-9]+-[0-9]+)-([a-z]+)-[0-9a-f]+$", i)
+    return rows.select(part(2).alias("file"), part(1).cast("date").alias("first_day"), *schema.names)
+
+
 @register("stream_incremental_upsert", _gold_after_two_sql())
 def stream_incremental_upsert(spark, sf_dir):
     """Two exports land one after the other; each run of the file stream

@@ -23,6 +23,7 @@ NULL_MARK = "\\N"
 # read-side NULL marker for files whose NULLs are empty cells (reports):
 # a control character that never appears, so "" reads back as ""
 NO_NULLS = "\u0001"
+RESCUED, LOADED = "_rescued", "_loaded"    # columns of appended tables: unreadable cells; file and its time
 
 
 def _csv_opts(w, header: bool, null_value: str = NULL_MARK):
@@ -53,19 +54,36 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def load_csv_append(spark: SparkSession, csv_path: str, table_path: str,
-                    types: dict[str, str] | None = None) -> DataFrame:
+                    types: dict[str, str] | None = None, force: bool = True) -> DataFrame:
     """Headered CSV appended to a Parquet table, cast to the table's types; new
-    columns take their type from ``types``, else text.  A value that does not
-    read as its type becomes NULL.  A later read with ``mergeSchema`` unions the
-    columns of all loads.  Every load is appended again, seen or not."""
+    columns take their type from ``types``, else text.  A later read with
+    ``mergeSchema`` unions the columns of all loads.
+
+    A cell that does not read as its type becomes NULL and stays as text in
+    RESCUED, a JSON object by column (NULL if all cells read).  LOADED names the
+    file and the time it was last changed.  Every load is appended again, seen or
+    not; with ``force=False`` rows of files that the table has are left out, by
+    the rows' own LOADED, so the list of files is always that of the rows."""
     from ..operators.upsert import table_exists
-    have = {f.name: f.dataType.simpleString() for f in read_merged(spark, table_path).schema} \
-        if table_exists(spark, table_path) else {}
+    known = read_merged(spark, table_path) if table_exists(spark, table_path) else None
+    have = {f.name: f.dataType.simpleString() for f in known.schema} if known else {}
     kinds = (types or {}) | have
     df = read_csv(spark, csv_path, header=True)
-    df = df.withColumns({c: F.col(f"`{c}`").try_cast(kinds[c]) for c in df.columns if c in kinds})
-    df.write.mode("append").parquet(table_path)
-    return df
+    cells = df.columns
+    df = df.withColumn(LOADED, F.concat_ws("@", "_metadata.file_path", "_metadata.file_modification_time"))
+    if not force and LOADED in have:
+        # one row per file on the right; Spark broadcasts it where it is small
+        df = df.join(known.select(LOADED).where(F.col(LOADED).isNotNull()).distinct(), LOADED, "left_anti")
+    typed = {c: F.col(f"`{c}`").try_cast(kinds[c]) for c in cells if c in kinds}
+    lost = {c: F.when(F.col(f"`{c}`").isNotNull() & t.isNull(), F.col(f"`{c}`")) for c, t in typed.items()}
+    if lost:
+        any_lost = F.coalesce(*lost.values()).isNotNull()
+        rescued = F.when(any_lost, F.to_json(F.struct(*[v.alias(c) for c, v in lost.items()])))
+    else:
+        rescued = F.lit(None).cast("string")
+    out = df.select(*[typed.get(c, F.col(f"`{c}`")).alias(c) for c in cells], rescued.alias(RESCUED), LOADED)
+    out.write.mode("append").parquet(table_path)
+    return out
 
 
 def read_merged(spark: SparkSession, table_path: str) -> DataFrame:
@@ -105,6 +123,25 @@ def write_report(report: DataFrame, root: str, run_id: str, first=None, date_col
     return path
 
 
+def write_file_reports(gold: DataFrame, files: DataFrame, root: str, run_id: str, date_col: str = "work_date") -> DataFrame:
+    """One report per file, all in one job.  ``files`` (source_file, first, last):
+    the range of days each file's report covers; ranges may overlap.  Each
+    file's days are listed and joined to the gold rows by day; the rows are
+    written as CSV to ``<root>/<run_id>/report=attendance_report_<first day>-<file>``,
+    in order of employee and day.  Returns (source_file, first, last, report)."""
+    name = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.[^.]*$", "")
+    # files of one name in two folders keep apart
+    report = F.concat(F.lit("attendance_report_"), F.col("first").cast("string"), F.lit("-"), name, F.lit("-"),
+                      F.substring(F.sha2("source_file", 256), 1, 8))
+    files = files.withColumn("report", report)
+    days = files.select("report", F.explode(F.sequence("first", "last")).alias(date_col))
+    rows = gold.join(days, date_col).select("report", *[f"`{c}`" for c in gold.columns])
+    by = ["report", "Employee_No", date_col]
+    w = rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("report")
+    _csv_opts(w, True, "").csv(f"{root.rstrip('/')}/{run_id}")
+    return files
+
+
 MAX_COLUMNS = 63         # widest export that is read; a wider one is an error
 
 
