@@ -13,6 +13,10 @@ one task:
   sequence number *is* ``grp`` and the next/previous island is an equi-join
   on ``grp + 1`` (unique keys, nothing hot), not a day-wide window.
 * Per-day facts (first/last direction, first swipe type) are aggregates.
+
+``day_islands`` is the short way where no column per swipe is asked for: equal
+swipes are one, runs of one direction become one row inside their slice, and a
+window over these few rows joins runs across slices.  No row is joined back.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AttendanceConfig
-from ..session import materialize
-from .attendance import DAY, TIE_BREAK
+from ..functions.columns import plus_seconds
+from ..session import materialize_by
+from .attendance import DAY, DAY_ORDER, TIE_BREAK, distinct_swipes
 
 SLICE = "slice"
 
@@ -152,6 +157,38 @@ def day_first_last(collapsed: DataFrame) -> DataFrame:
     )
 
 
+def slice_runs(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
+    """Runs of one direction inside a time slice: one row each, with its last
+    second and the type of its first swipe.  One scan; the aggregate keeps the
+    partitioning of the windows."""
+    rows = with_slice(distinct_swipes(swipes), cfg)
+    w = Window.partitionBy(*DAY, SLICE).orderBy(F.col("sec"), *[F.col(c).asc_nulls_first() for c in DAY_ORDER])
+    rows = rows.withColumn("_lag", F.lag("io").over(w))
+    start = F.col("_lag").isNull() | (F.col("_lag") != F.col("io"))
+    rows = rows.withColumn("run", F.sum(start.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy(*DAY, SLICE, "run").agg(
+        F.max("io").alias("io"), F.max("Employee_Name").alias("Employee_Name"), F.max("sec").alias("effective_sec"),
+        F.min_by("Swipe_Type", F.struct("sec", *DAY_ORDER)).alias("first_type"))
+
+
+def day_islands(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
+    """Collapsed islands with their ordinal ``seq``, the next island's end and
+    the previous direction.  The day-wide windows see runs, not swipes: at most
+    one per distinct second and direction, whatever was sent how often."""
+    across = Window.partitionBy(*DAY).orderBy(SLICE, "run")
+    runs = slice_runs(swipes, cfg).withColumn("_lag", F.lag("io").over(across))
+    start = F.col("_lag").isNull() | (F.col("_lag") != F.col("io"))
+    runs = runs.withColumn("seq", F.sum(start.cast("long")).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    islands = runs.groupBy(*DAY, "seq").agg(
+        F.max("io").alias("io"), F.max("Employee_Name").alias("Employee_Name"), F.max("effective_sec").alias("effective_sec"),
+        F.min_by("first_type", F.struct(SLICE, "run")).alias("first_type"))
+    w = Window.partitionBy(*DAY).orderBy("seq")
+    return islands.select(
+        "*", plus_seconds(F.to_timestamp_ntz(F.col("work_date")), F.col("effective_sec")).alias("effective_ts"),
+        F.lead("effective_sec").over(w).alias("end_sec"), F.lead("io").over(w).alias("end_io"),
+        F.lag("io").over(w).alias("prev_io"))
+
+
 def first_swipe(swipes: DataFrame) -> DataFrame:
     """Swipe type of the day's first swipe, as an aggregate (``min_by``)."""
     key = F.struct(F.col("sec"), *[F.col(c) for c in TIE_BREAK])
@@ -161,14 +198,15 @@ def first_swipe(swipes: DataFrame) -> DataFrame:
 def day_measures_joined(swipes: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame:
     """Day measures assembled like the textbook plan: first/last, inside
     and outside sums and first swipe type, left-joined on (employee, day).
-    Every joined side has one row per day, so the joins have no hot key."""
-    # the collapsed islands feed four branches (both sides of the pairs join,
-    # first/last, the interval sums): compute them once, then cut lineage
-    p = pairs(materialize(collapse(islands_lag(swipes, cfg))))
-    f = day_first_last(p)  # pairs keeps every island once, so it serves here too
+    Every joined side has one row per day, so the joins have no hot key; all
+    sides come from one bucketing by day, so neither sums nor joins exchange rows."""
+    # the islands feed four branches: computed once and stored in buckets of the
+    # day, a partitioning that every branch and every join keeps
+    p = materialize_by(day_islands(swipes, cfg), *DAY)
+    f = day_first_last(p)
     a = sum_seconds(in_intervals(p), "in_seconds")
     o = sum_seconds(out_intervals(p), "out_seconds")
-    fs = first_swipe(swipes)
+    fs = p.where("seq = 1").select(*DAY, F.col("first_type").alias("first_swipe_type"))
     j = f.join(a, DAY, "left").join(o, DAY, "left").join(fs, DAY, "left")
     ins = F.coalesce("in_seconds", F.lit(0))
     outs = F.coalesce("out_seconds", F.lit(0))

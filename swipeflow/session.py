@@ -91,3 +91,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "once")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``materialize`` in buckets of ``columns`` (as many as shuffle partitions): groups and joins on
+    them need no exchange, whatever columns each branch reads."""
+    spark = df.sparkSession
+    name, path = f"by_{uuid.uuid4().hex}", work_path(spark, "buckets")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")     # the name only: the files have their own path, and the plan knows the buckets
+    return out
