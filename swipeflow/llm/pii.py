@@ -4,7 +4,7 @@ Detected entities are replaced by surrogates of the same type and format:
 digits are permuted under a key (a Feistel network over all digits of a number,
 so different numbers of one length get different ones), card numbers that pass
 the Luhn check still pass it, IPv4 addresses stay addresses, letters of e-mail
-addresses become letters of the same case, and titled names become names of the
+addresses become letters of the same case, IBANs get new check digits, and titled names become names of the
 same gender and script.  One original has one surrogate in the whole corpus,
 however it is punctuated, so references to one person still agree.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -56,21 +57,33 @@ KINDS = {
     "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?{NANP}|{ABROAD}|(?<![\d.,:/-])(?<!\d ){NATIONAL})(?!\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w|[.-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "iban": r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+            r"::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
 }
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н"],
-          "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"]}
+          "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа"],
+          "n": ["Dr", "Prof", "Professor", "Doktor", "Доктор", "Профессор", "доктор", "профессор"]}
+PARTICLES = "van von vom zu zur der den de del della di da dos du la le ter ten af av al el bin ibn".split()
 GIVEN = {("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Martin", "Oscar", "Paul"],
          ("f", "latin"): ["Alma", "Berta", "Clara", "Diana", "Elsa", "Flora", "Hanna", "Julia", "Laura", "Maria", "Olivia", "Petra"],
          ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Максим", "Олег", "Павел"],
+         ("n", "latin"): ["Alex", "Andrea", "Charlie", "Dominique", "Jordan", "Kim", "Noa", "Robin", "Sam", "Sascha", "Toni", "Yuki"],
+         ("n", "cyrillic"): ["Валя", "Женя", "Саша", "Слава", "Шура", "Паша", "Тоша", "Лёша", "Веня", "Мика"],
          ("f", "cyrillic"): ["Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Мария", "Нина", "Ольга"]}
 SYLLABLES = {"latin": "ba be bi bo da de di do ga ge ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te va ve".split(),
              "cyrillic": "ба бе во ва ге да де ди ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те".split()}
 # ----------------------------------------------------------------------------
 TITLE = {t: g for g, ts in TITLES.items() for t in ts}
-NAME = r"(?:%s)\.? [^\W\d_]+(?:[ -][^\W\d_]+)?" % "|".join(map(re.escape, TITLE))
+# a name's word keeps the apostrophe of its first letter (O'Brien), not that of a possessive
+WORD = r"(?:[ODL]['’](?=[^\W\d_]))?[^\W\d_]+"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) |[dl]['’])"
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(map(re.escape, TITLE))})(?P<dot>\.? )(?P<names>[^\W\d_]+(?:[ -][^\W\d_]+)?)")
-WORDS = re.compile(r"[^\W\d_]+")
+# longest titles first; two capitalised titles may stand together (Prof. Dr. ...)
+TITLED = "|".join(map(re.escape, sorted(TITLE, key=len, reverse=True)))
+NAMES = re.compile(rf"(?<!\w)(?P<title>{TITLED})(?P<dot>\.? )(?:(?:{TITLED})\.? )*"
+                   rf"(?P<one>{PARTICLE}*{WORD}(?:-{WORD})*)(?: (?P<two>{PARTICLE}*{WORD}(?:-{WORD})*))?")
+WORDS = re.compile(WORD)
 HINT = re.compile(r"[\d@]")
 
 
@@ -109,9 +122,32 @@ def canonical(kind: str, text: str) -> str:
         return re.sub(r"[^\d+]", "", text)
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", text)
+    if kind == "iban":
+        return text.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
     return text.lower() if kind == "email" else text
 
 
+def checked_iban(country: str, body: str) -> str:
+    """With the two check digits that make the number 1 modulo 97."""
+    value = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(value) % 97:02d}{body}"
+
+
+def genuine(kind: str, text: str) -> bool:
+    """Whether a match of the format is one: formats that only a check tells apart."""
+    if kind == "iban":
+        name = canonical(kind, text)
+        return 15 <= len(name) <= 34 and checked_iban(name[:2], name[4:]) == name
+    if kind == "ipv6":
+        try:
+            return bool(re.search(r"\d", text)) and len(text) > 3 and bool(ipaddress.IPv6Address(text))
+        except ValueError:
+            return False
+    return True
+
+
 def surrogate(key: bytes, kind: str, name: str, trial: int = 0) -> str:
     """The canonical surrogate of a canonical original."""
     if kind in ("phone", "ssn"):
@@ -135,6 +171,11 @@ def surrogate(key: bytes, kind: str, name: str, trial: int = 0) -> str:
         octets = [int(x) for x in name.split(".")]
         value = permute(key, kind, int.from_bytes(bytes(octets), "big"), 1 << 32, trial)
         return ".".join(map(str, value.to_bytes(4, "big")))
+    if kind == "iban":
+        return checked_iban(name[:2], _letters(key, "iban" + name[:2], name[4:].lower(), trial).upper())
+    if kind == "ipv6":
+        value = permute(key, kind, int(ipaddress.IPv6Address(name)), 1 << 128, trial)
+        return ipaddress.IPv6Address(value).exploded
     if kind == "email":
         local, _, domain = name.partition("@")
         host, _, top = domain.rpartition(".")
@@ -143,7 +184,7 @@ def surrogate(key: bytes, kind: str, name: str, trial: int = 0) -> str:
     _, gender, script = kind.split(":")              # name:given or family: gender: script
     roll = _stream(key, kind, name, trial)
     if gender:
-        pool = GIVEN[gender, script]
+        pool = [n for n in GIVEN[gender, script] if n.casefold() != name]     # never the name itself, nor a longer form of it
         if trial < 2:
             return pool[roll % len(pool)]
         roll, stem = divmod(roll, len(pool))         # past the pool: a second part, longer with each try, keeps names apart
@@ -186,6 +227,13 @@ def shaped(kind: str, original: str, new: str) -> str:
         return re.sub(r"\d", lambda _: next(digits), original)
     if kind == "ip":
         return new
+    if kind == "iban":
+        letters = iter(new)
+        return re.sub(r"\w", lambda _: next(letters), original)
+    if kind == "ipv6":
+        full = re.fullmatch("(?:[0-9A-Fa-f]{4}:){7}[0-9A-Fa-f]{4}", original)
+        new = new if full else str(ipaddress.IPv6Address(new))
+        return new.upper() if original != original.lower() else new
     if original.isupper():
         return new.upper()
     if kind == "email" and original != original.lower():
@@ -200,23 +248,31 @@ def _script(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+def name_words(m: re.Match, part: str) -> list[tuple[int, int, str]]:
+    """The words of one part of a name, without particles; none unless capitalised."""
+    if m[part] is None:
+        return []
+    words = [(m.start(part) + w.start(), m.start(part) + w.end(), w[0]) for w in WORDS.finditer(m[part])]
+    words = [w for w in words if w[2] not in PARTICLES and w[2] not in ("d", "l")]
+    return [w for w in words if w[2][0].isupper()] if words and words[0][2][0].isupper() else []
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) of each entity; name parts one by one, also
     where a name found after a title stands again without it."""
     found = []
     if HINT.search(text):
-        found = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in PATTERN.finditer(text)]
+        found = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in PATTERN.finditer(text)
+                 if genuine(m.lastgroup, m[0])]
     kinds = {}
     for m in NAMES.finditer(text):
-        parts = [(p.start(), p.end(), p[0]) for p in re.finditer(r"[^\W\d_]+", m["names"])]
-        parts = [p for p in parts if p[2][0].isupper()] if parts and parts[0][2][0].isupper() else []
-        for i, (a, b, word) in enumerate(parts):
-            role = "given" if i == 0 and len(parts) > 1 else "family"
-            gender = TITLE[m["title"]] if role == "given" else ""
-            kind = f"{role}:{gender}:{_script(word)}"
-            found.append((m.start("names") + a, m.start("names") + b, kind, word.casefold()))
-            if word not in TITLE:
-                kinds.setdefault(word.casefold(), kind)
+        one, two = (name_words(m, part) for part in ("one", "two"))
+        for role, words in (("given" if one and two else "family", one), ("family", two if one else [])):
+            for a, b, word in words:
+                kind = f"{role}:{TITLE[m['title']] if role == 'given' else ''}:{_script(word)}"
+                found.append((a, b, kind, word.casefold()))
+                if word not in TITLE:
+                    kinds.setdefault(word.casefold(), kind)
     found.sort()
     if not kinds:
         return found
@@ -287,7 +343,7 @@ def later_tries(found: DataFrame, key: bytes) -> DataFrame | None:
         first = now.groupBy("kind", "new").agg(F.min(F.struct("trial", "name")).alias("one"), F.count("*").alias("c"))
         clash = (now.join(first.where("c > 1"), ["kind", "new"])
                  .where((F.col("one.name") != F.col("name"))).select("kind", "name", "trial"))
-        own = now.where("new = name").select("kind", "name", "trial")
+        own = now.where(F.lower("new") == F.lower("name")).select("kind", "name", "trial")
         again = stage(clash.union(own).distinct(), "surrogate-clashes")
         left = again.count()
         if not left:

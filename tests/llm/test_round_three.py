@@ -277,3 +277,59 @@ def test_registered_digest(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     want = [(i, w, h, len(n), hashlib.sha256(",".join(n).encode()).hexdigest(), h > 0) for i, w, h, n, _ in plain_hits(docs, items, 10)]
     assert by_text(rows) == by_text(want) and any(r.contaminated for r in rows)
+
+
+# ---- personal data: nothing found stays
+FOUND = ["Mr Emil Hansen, Frau Alma Koch, господин Антон Чехов und Herr Иван Нина", "Mr. O'Brien met Mrs van der Berg. O'Brien's dog, Berg's cat",
+         "Prof. Dr. Anna Schmidt and Dr. Ivan Petrov; Petrov left. Herr Dr. Müller-Lüdenscheidt", "Monsieur d'Artagnan et Mme Clara-Maria Weiß",
+         "IBAN DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819 x", "at 2001:db8::ff00:42:8329 and fe80:0000:0000:0000:0202:b3ff:fe1e:8329",
+         "MR. is no title, Sra. Flora Diana is one, г-жа Ольга Вера too"]
+KEYS = [b"one", b"two", b"three", b"four", b"replace this key"]
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_no_name_survives(spark, key):
+    from swipeflow.llm import pii as D
+    titles = {"m": "Mr", "f": "Frau", "n": "Dr."}
+    pool = [f"{titles[g]} {name} {family}" for (g, _), names in D.GIVEN.items() for name, family in zip(names, names[1:] + names[:1])]
+    texts = FOUND + pool
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in D.pseudonymised(df, key=key)[0].collect()}
+    renamed = {}
+    for i, t in enumerate(texts):
+        spans = D.entities(t)
+        assert spans
+        if i >= len(FOUND):
+            assert len(spans) == 2
+        # what stands around the entities is as it was, and each entity's place holds something else
+        gaps = [re.escape(t[e:s]) for (e, s) in zip([0] + [b for _, b, _, _ in spans], [a for a, _, _, _ in spans] + [len(t)])]
+        m = re.fullmatch("(.+?)".join(gaps), out[i])
+        assert m, (t, out[i])
+        for (a, b, kind, name), new in zip(spans, m.groups()):
+            words = {w.casefold() for w in re.findall(r"[^\W_]+", new)}
+            assert new.casefold() != t[a:b].casefold() and name not in words, (t, out[i])
+            assert renamed.setdefault((kind, name), new.casefold().replace(" ", "")) == new.casefold().replace(" ", "") or kind in ("ipv6",)
+    by_kind = [(k[0], v) for k, v in renamed.items()]
+    assert len(by_kind) == len(set(by_kind))                   # distinct originals stay distinct
+
+
+def test_every_pool_name_under_many_tries():
+    from swipeflow.llm import pii as D
+    for key in KEYS:
+        for (g, script), names in D.GIVEN.items():
+            for name in names:
+                for trial in range(8):
+                    new = D.surrogate(key, f"given:{g}:{script}", name.casefold(), trial)
+                    assert name.casefold() not in new.casefold().split("-")
+
+
+def test_formats_that_need_a_check():
+    from swipeflow.llm import pii as D
+    new = D.replaced(D.KEY, FOUND[4], {})[0]
+    ibans = re.findall(r"(?:DE|GB)[0-9A-Z ]+?(?= or| x)", new)
+    assert len(ibans) == 2 and all(D.genuine("iban", i) for i in ibans) and ibans[0][4] == " "
+    full = D.replaced(D.KEY, "a 2001:db8::1, b 2001:0db8:0000:0000:0000:0000:0000:0001", {})[0]
+    import ipaddress
+    assert len({ipaddress.IPv6Address(x) for x in re.findall(r"[0-9a-f:]{6,}", full)}) == 1
+    for t in ("std::vector", "12:30:45", "a::b", "DE12 3456", "DE89 3704 0044 0532 0130 01", "x::y", "::", "Mr. smith went"):
+        assert D.entities(t) == [], t
