@@ -53,7 +53,8 @@ BRONZE_SCHEMA = T.StructType(
     ]
 )
 
-# Silver column order and types.  `time` stays an HH:mm:ss string: casting
+# --- fixed values: names, order and types of the silver and gold columns ---
+# `time` stays an HH:mm:ss string: casting
 # a bare time of day to TIMESTAMP stamps it with the run date, which would
 # make every re-run look like a change.
 SILVER_SCHEMA = T.StructType(
@@ -111,6 +112,7 @@ GOLD_SCHEMA = T.StructType(
 GOLD_KEYS = ["Employee_No", "work_date"]
 
 BRONZE_KEYS = ["Employee_No", "Swipe_Date"]
+# --- end of fixed values ---
 
 
 def ddl(schema: T.StructType) -> str:
