@@ -250,7 +250,7 @@ def _write(rows: DataFrame, path: str, load: str, partition_col: str, keys: list
         .write.mode("overwrite").partitionBy(partition_col).parquet(f"{path}/{LOAD}={load}")
 
 
-def _observed(obs: Observation) -> dict:
+def observed(obs: Observation) -> dict:
     """What was observed; nothing where Spark found the input empty and left the observed step out."""
     return obs.get if obs._jo.getRow().size() else {}
 
@@ -319,7 +319,7 @@ def _upsert(spark, path, v, source, keys, partition_col, schema, compare, latest
         F.collect_set(F.when(action.isin("update", "delete"), value)).alias("_changed")).where(new)
     name = versions.new_load(v)
     _write(rows, path, name, partition_col, keys)
-    m = _observed(obs)
+    m = observed(obs)
     if not m and known:                    # nothing to write: Spark left the observed step out
         m = {r[ACTION]: r["count"] for r in every.groupBy(ACTION).count().collect()}
     counts = {a: int(m.get(a, 0)) for a in ACTIONS}
@@ -379,7 +379,7 @@ def compact(spark: SparkSession, path: str, partitions: list | None = None) -> i
     rows.withColumn(ACTION, F.lit(None).cast("string")) \
         .observe(obs, F.collect_set(F.col(v.partition_col)).alias("parts")).repartitionByRange(*by).sortWithinPartitions(*by) \
         .write.mode("overwrite").partitionBy(v.partition_col).parquet(f"{path}/{LOAD}={name}")
-    left = {str(p) for p in _observed(obs).get("parts", [])}
+    left = {str(p) for p in observed(obs).get("parts", [])}
     moved = {p: [[name, INSERTS]] for p in parts if p in left}
     try:
         versions.commit(spark, path, v, parts={p: x for p, x in v.parts.items() if p not in parts} | moved)

@@ -35,8 +35,8 @@ from ..operators.attendance import gold_attendance, minutes_as_integers
 from ..operators.clean import classified
 from ..operators.conform import silver_cast
 from ..operators import versions
-from ..operators.upsert import (ACTIONS, OLD, TRIES, UpsertResult, change_feed, fed_partitions, partition_values,
-                                read_table, upsert)
+from ..operators.upsert import (ACTIONS, OLD, TRIES, UpsertResult, change_feed, fed_partitions, observed,
+                                partition_values, read_table, upsert)
 from ..operators.versions import LOAD, Conflict, Version
 from ..schemas import BRONZE_KEYS, GOLD_KEYS, GOLD_SCHEMA, SILVER_KEYS, SILVER_SCHEMA
 from ..session import materialize, remove_path, work_path
@@ -73,6 +73,12 @@ def affected_days(rows: DataFrame, cfg: AttendanceConfig = DEFAULT) -> DataFrame
     return rows.select("Employee_No", wd.alias("work_date")).distinct()
 
 
+def within_days(days: list) -> list:
+    if len(days) > MAX_DAYS:
+        raise ValueError(f"more than {MAX_DAYS} days in one load; load fewer at once")
+    return sorted(days)
+
+
 def read_rejects(spark: SparkSession, tables: Tables) -> DataFrame:
     """Rows that could not be read (file, reason, the row as it came, run id):
     those of the loads that are in bronze."""
@@ -84,7 +90,7 @@ def read_rejects(spark: SparkSession, tables: Tables) -> DataFrame:
 
 def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
                  cfg: AttendanceConfig = DEFAULT, replace_days: bool = False, silver: Version | None = None,
-                 base: Version | None = None) -> dict:
+                 base: Version | None = None, dates: list | None = None) -> dict:
     """Recompute whole affected work days from silver and upsert them.
 
     ``days`` (Employee_No, work_date; cheap to read, it is read three times)
@@ -92,9 +98,10 @@ def refresh_gold(spark: SparkSession, tables: Tables, days: DataFrame,
     span, limits what is read.  By default a day that no longer has any counted
     swipe keeps its old gold row (no delete arm); with ``replace_days`` the
     recomputed days replace their gold rows wholesale, deleting such rows.
-    ``silver``, ``base``: versions that silver is read at and that gold had then.
+    ``silver``, ``base``: versions that silver is read at and that gold had then;
+    ``dates``: the days' dates, if known.
     """
-    dates = partition_values(days, "work_date", MAX_DAYS)
+    dates = partition_values(days, "work_date", MAX_DAYS) if dates is None else dates
     took = silver.number if silver else None
     if not dates and not took:
         return dict.fromkeys(ACTIONS, 0)
@@ -146,12 +153,14 @@ def advance_gold(spark: SparkSession, tables: Tables, cfg: AttendanceConfig = DE
         v, up = versions.current(spark, tables.gold), versions.current(spark, tables.silver)
         if up.number <= v.took:
             return dict.fromkeys(ACTIONS, 0)
-        days = materialize(changed_days(spark, tables, v.took, up.number, cfg))
+        seen, path = Observation("days"), work_path(spark, "days")
+        days = changed_days(spark, tables, v.took, up.number, cfg)
+        days.observe(seen, F.collect_set("work_date").alias("dates")).write.parquet(path)
+        dates = within_days(observed(seen).get("dates", []))
         try:
-            return refresh_gold(spark, tables, days, cfg, replace_days, up, v)
+            return refresh_gold(spark, tables, spark.read.schema(days.schema).parquet(path), cfg, replace_days, up, v, dates)
         finally:
-            for f in days.inputFiles()[:1]:
-                remove_path(spark, f.rsplit("/", 1)[0])
+            remove_path(spark, path)
     return _followed(attempt)
 
 
@@ -184,13 +193,14 @@ def run_batch(spark: SparkSession, raw: DataFrame, tables: Tables,
     seen = Observation("rows")
     staged = work_path(spark, "batch")
     rows = classified(raw)
-    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("_reason").isNull()).alias("kept")) \
-        .write.parquet(staged)
+    stays = F.col("_reason").isNull()
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(stays).alias("kept"),
+                 F.collect_set(F.when(stays, F.col("Date"))).alias("days")).write.parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged)
-    n, kept = int(seen.get["n"]), int(seen.get["kept"])
+    m = observed(seen)
+    n, kept, days = int(m.get("n", 0)), int(m.get("kept", 0)), within_days(m.get("days", []))
     rejects = _write_rejects(rows, tables, run_id) if kept < n else None
     good = rows.where(F.col("_reason").isNull()).drop("_reason", "_raw")
-    days = partition_values(good, "Date", MAX_DAYS)
     out = BatchResult(min(days), max(days)) if days else BatchResult(None, None)
     if days or rejects or load:
         done: UpsertResult = upsert(spark, tables.bronze, good, BRONZE_KEYS, "Date", latest="Received_On", partitions=days,
