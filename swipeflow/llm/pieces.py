@@ -2,7 +2,11 @@
 
 A piece sequence is the merge result of a text exactly when each piece merges
 to itself and each adjacent pair, merged again from its characters, stays that
-pair.  So a unit of text is encoded left to right with the longest piece that
+pair.  Whether it does is seen by re-merging at the boundary only: the last
+merges of both pieces are undone one by one, the later first, and at each step
+the two parts that meet there must not have a better merge with each other.
+(That needs pieces that score below their parts, which is checked; else the pair
+is merged again as a whole.)  So a unit of text is encoded left to right with the longest piece that
 an Aho-Corasick automaton finds at each position; a pair that re-merges to
 something else makes the encoder try the next shorter piece, and a position
 from which nothing fits is marked in a bitfield and never entered again.
@@ -33,7 +37,9 @@ from .common import by_value, col, fresh, per_process, table, text_of
 by_value(__name__)
 
 MODEL = "piece_bpe_32k.model"
-CACHED_UNITS = 150_000   # bound on units, and on pairs, that a Python worker remembers
+# units in each of the two generations that a Python worker remembers, and half as many pairs: about
+# 300 bytes each, so up to 180 MB where only digests leave, and 45 MB beside whole rows of ids
+CACHED_UNITS, CACHED_BESIDE_ROWS = 300_000, 75_000
 ANSWER_CHARS = 1_000_000  # characters whose ids leave a worker together
 CACHED_CHARS = 48        # longer units are not remembered
 
@@ -46,9 +52,10 @@ def model_path(name: str = MODEL) -> str:
 class PieceCodec(dict):
     """Maps a unit of text to (its ids as text, its decoded text)."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = CACHED_UNITS):
         import ahocorasick
         import sentencepiece
+        self.remembered = remembered
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(size)]
@@ -64,19 +71,29 @@ class PieceCodec(dict):
             raise ValueError("needs pieces that hold blanks in front only, single characters and all bytes")
         self.known = chars
         self.automaton = ahocorasick.Automaton()
+        self.parts = {}              # id -> the ids of its last merge
         for p, i in self.id_of.items():
             if self.merge(p) == [i]:  # pieces that no merge order reaches never occur
                 self.automaton.add_word(p, (len(p) - 1, i))
+                if len(p) > 1:
+                    self.parts[i] = self.last
         self.automaton.make_automaton()
+        single = {i for p, i in self.id_of.items() if len(p) == 1}
+        # when an id is made: characters are there from the start, then the better score comes first
+        self.rank = [float("inf") if i in single else score for i, score in enumerate(self.score)]
+        # (runs of blanks have equal scores; they are merged as a whole)
+        self.falling = all(self.rank[part] > self.rank[i] for i, both in self.parts.items() for part in both
+                           if self.piece[i].strip("▁"))
         self.shorter = {}            # id -> longest piece that is a proper prefix of it
         for p, i in self.id_of.items():
             self.shorter[i] = next((self.id_of[p[:n]] for n in range(len(p) - 1, 0, -1)
                                     if self.automaton.exists(p[:n])), None)
-        self.pairs = {}
+        self.pairs, self.old = {}, {}
         self.units = re.compile(r"\n| *[^ \n]+| +") if "\n" not in chars else re.compile(r" *[^ ]+| +")
 
     def merge(self, text: str) -> list[int]:
-        """The ids by merging: best score first, then leftmost."""
+        """The ids by merging: best score first, then leftmost.  ``last`` keeps
+        the parts of the last merge."""
         part, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
         heap = []
 
@@ -91,6 +108,7 @@ class PieceCodec(dict):
             if part[a] != x or part[b] != y or after[a] != b:
                 continue
             part[a], part[b] = x + y, None
+            self.last = self.id_of[x], self.id_of[y]
             after[a] = after[b]
             if after[a] < len(part):
                 before[after[a]] = a
@@ -101,11 +119,28 @@ class PieceCodec(dict):
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two adjacent pieces survive being merged again."""
-        if len(self.pairs) >= CACHED_UNITS:
+        if len(self.pairs) >= self.remembered:
             self.pairs.clear()
-        ok = self.pairs[a, b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        ok = self.pairs[a, b] = self.stay(a, b) if self.falling else self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return ok
 
+    def stay(self, a: int, b: int) -> bool:
+        """Undo the merges next to the boundary, the latest first; at each step
+        a merge across it must not come before the one just undone (of two equal
+        ones the left comes first)."""
+        piece, rank, parts, score, id_of = self.piece, self.rank, self.parts, self.score, self.id_of
+        least, ties = float("-inf"), True            # what a merge across has to beat, and whether a tie is enough
+        while True:
+            across = id_of.get(piece[a] + piece[b])
+            if across is not None and (score[across] > least or ties and score[across] == least):
+                return False
+            if rank[a] < rank[b]:
+                least, ties, a = rank[a], False, parts[a][1]
+            elif b in parts:
+                least, ties, b = rank[b], True, parts[b][0]
+            else:                                    # two characters: nothing is left to undo
+                return True
+
     def backtrack(self, text: str) -> list[int]:
         """Ids of a run of known characters."""
         # matches come by their end, so of one start the longest comes last
@@ -164,15 +199,25 @@ class PieceCodec(dict):
                          for i in ids]).decode("utf-8", "replace")
 
     def __missing__(self, unit: str) -> tuple[str, str]:
+        value = self.old.pop(unit, None)
+        if value is not None:
+            self.remember(unit, value)
+            return value
         ids = self.encode_unit(unit)
         text = self.decode(ids)
         value = ",".join(map(str, ids)), unit if text == unit else text   # mostly the same: kept once
         if len(unit) <= CACHED_CHARS:
-            if len(self) >= CACHED_UNITS:
-                self.clear()
-            self[unit] = value
+            self.remember(unit, value)
         return value
 
+    def remember(self, unit: str, value: tuple[str, str]) -> None:
+        """Units are kept in two generations: when the new one is full it becomes
+        the old one, so units that go on coming are not looked up anew."""
+        if len(self) >= self.remembered:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = value
+
     def both(self, text: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text) of a whole text."""
         if not text:
@@ -208,7 +253,7 @@ def _ids(model: bytes):
              pa.array([text for _, text in got], pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_process(("pieces", hash(model)), lambda: PieceCodec(model))
+        codec = per_process(("pieces", hash(model), "rows"), lambda: PieceCodec(model, CACHED_BESIDE_ROWS))
         for batch in batches:
             texts, first, size = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
             for i, t in enumerate(texts):     # answer in small batches: ids take more room than text

@@ -333,3 +333,51 @@ def test_formats_that_need_a_check():
     assert len({ipaddress.IPv6Address(x) for x in re.findall(r"[0-9a-f:]{6,}", full)}) == 1
     for t in ("std::vector", "12:30:45", "a::b", "DE12 3456", "DE89 3704 0044 0532 0130 01", "x::y", "::", "Mr. smith went"):
         assert D.entities(t) == [], t
+
+
+# ---- SentencePiece: pairs at their boundary
+def test_pairs_stay_as_merging_says():
+    """All ways to cut a piece in two, pieces that follow each other in text, and random ones."""
+    from swipeflow.llm import pieces as P
+    c = P.PieceCodec(P._model(None))
+    assert c.falling
+    made = set(c.parts) | {i for p, i in c.id_of.items() if len(p) == 1}
+    words = [i for i in made if c.piece[i].strip("▁")]
+    r = random.Random(6)
+    pairs = [(r.choice(words), r.choice(words)) for _ in range(4000)]
+    for i in r.sample(sorted(c.parts), 4000):
+        p = c.piece[i]
+        cuts = [(c.id_of.get(p[:k]), c.id_of.get(p[k:])) for k in range(1, len(p))]
+        pairs += [(a, b) for a, b in cuts if a in made and b in made and c.piece[a].strip("▁") and c.piece[b].strip("▁")]
+    kept = 0
+    for a, b in pairs:
+        ok = c.merge(c.piece[a] + c.piece[b]) == [a, b]
+        assert c.stay(a, b) == ok, (c.piece[a], c.piece[b])
+        kept += ok
+    assert 100 < kept < len(pairs) - 100
+
+
+def test_units_are_remembered_in_two_generations():
+    from swipeflow.llm import pieces as P
+    c = P.PieceCodec(P._model(None), remembered=5)
+    texts = [" ".join(random.Random(i).choices("the of and einer nicht была wort x y z".split(), k=30)) for i in range(20)]
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+    assert [c.both(t)[0] for t in texts + texts] == [",".join(map(str, library.encode(t))) for t in texts + texts]
+    assert len(c) <= 5 and len(c.old) <= 5 and all(c.both(t)[1] == t for t in texts)
+
+
+# ---- substring copies: many equal rows
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_equal_rows_are_indexed_once(spark, doc_id):
+    from swipeflow.llm import substring as U
+    r = random.Random(2)
+    passage = " ".join(f"w{r.randrange(10_000)}" for _ in range(120))
+    other = " ".join(f"v{r.randrange(10_000)}" for _ in range(80))
+    rows = [(3, "start " + passage)] + [(doc_id, passage + " end")] * 20_000 + [(doc_id, other)] * 50 + [(9, other + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {}
+    for x in U.without_copies(df).collect():
+        got[x.doc_id, x.n_words, x.n_removed] = got.get((x.doc_id, x.n_words, x.n_removed), 0) + 1
+    lost = 0 if doc_id == 7 else 80          # a row without id stands after all others
+    assert got == {(3, 121, 0): 1, (doc_id, 121, 120): 20_000, (doc_id, 80, lost): 50, (9, 81, 80 - lost): 1}
