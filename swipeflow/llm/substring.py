@@ -1,8 +1,9 @@
 """Substring de-duplication by relative Lempel-Ziv parsing (op 2).
 
 A word goes if a window of ``window`` words that covers it also starts in a
-document with a smaller id.  Documents are parsed into factors, copies of
-reference blocks held by earlier documents, and literal words between them:
+document with a smaller id.  Blocks found by hash stand in for the greedy parse
+(README says why); what they give is its factors, copies of reference blocks held
+by earlier documents, and literal words between them:
 
 1. *Blocks.*  Of each window the k-gram with the smallest hash is its anchor
    (winnowing), so equal windows have equal anchors.  The windows of one anchor
@@ -24,7 +25,7 @@ that a bitmap of fixed size names (steps 3 and 4); the others stay in the scan.
 
 Defined results: null and empty texts have no words; a null id counts as larger
 than every id; rows that repeat an id (or have none) are told apart by a 64-bit hash
-of their text and do not cover each other; documents below ``window`` words keep all; an empty table
+of their text and do not cover each other, equal ones are indexed once; documents below ``window`` words keep all; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -206,7 +207,11 @@ def _digest(window: int, texts_too: bool):
 
 def covered(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """``docs(d, t, text)`` -> (d, t, spans): covered windows of each document,
-    first to last start."""
+    first to last start.  Equal rows are one document here."""
+    again = stage(docs.groupBy("d", "t").count().where("count > 1").select("d"), "rlz-repeated")
+    if not again.isEmpty():
+        many, rest = split_by_bitmap(docs, "d", again)       # their texts are reduced map-side
+        docs = stage(many.groupBy("d", "t").agg(F.first("text").alias("text")).unionByName(rest), "rlz-documents")
     index = stage(docs.mapInArrow(_index(window, k), "h long, d long, t long, pack long, sig long"), "rlz-index")
     # what is joined back is staged first: both sides are then plain exchanges, which skew joins can split
     shared = stage(index.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"),
