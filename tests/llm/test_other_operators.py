@@ -120,6 +120,51 @@ def test_fit_is_the_nearest_sum_from_below():
         assert all(0 <= a <= b for a, b in zip(y, counts)) and sum(a * b for a, b in zip(sizes, y)) <= budget
 
 
+def test_fit_on_either_side():
+    r = random.Random(4)
+    for _ in range(200):
+        sizes = sorted(r.sample(range(1, 60), r.randint(1, 8)))
+        counts = [r.randint(1, 6) for _ in sizes]
+        total = sum(a * b for a, b in zip(sizes, counts))
+        budget = r.randint(0, total + 5)
+        reach = {0}
+        for s, c in zip(sizes, counts):
+            for _ in range(c):
+                reach |= {x + s for x in reach}
+        for room in (M.KNAPSACK, 40):           # a small room grows until nothing nearer can exist
+            x = M.fit(sizes, counts, budget, knapsack=room, over=True)
+            assert all(0 <= a <= b for a, b in zip(x, counts))
+            assert abs(sum(a * b for a, b in zip(sizes, x)) - budget) == min(abs(s - budget) for s in reach)
+            y = M.fit(sizes, counts, budget, knapsack=room)
+            assert sum(a * b for a, b in zip(sizes, y)) == max(s for s in reach if s <= budget)
+    assert M.fit([20_000], [1], 19_999, over=True) == [1] and M.fit([20_000], [1], 19_999) == [0]
+
+
+def test_fit_of_large_budgets():
+    sizes, counts = [30, 70, 1000, 90_000], [10 ** 9, 10 ** 9, 10 ** 8, 10 ** 5]
+    for budget in (10 ** 9 + 10, 7 * 10 ** 10, 6 * 10 ** 10 + 7):
+        x = M.fit(sizes, counts, budget)
+        assert sum(a * b for a, b in zip(sizes, x)) == budget - budget % 10
+    # lengths that fit nothing exactly, beyond the largest room: less than the longest is missed
+    sizes, counts = [90_000, 90_001], [10 ** 5, 1]
+    for over, most in ((False, 90_001), (True, 45_001)):
+        x = M.fit(sizes, counts, 8 * 10 ** 9 + 45_000, over=over)
+        assert abs(sum(a * b for a, b in zip(sizes, x)) - 8 * 10 ** 9 - 45_000) <= most
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(None, "a", "w w w")] * 500 + [(1, "b", "w " * 7)] * 90 + [(i, "c", "w") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for over in (False, True):
+        out, name = M.mixed(df.withColumn("times", F.lit(0)), over=over)
+        got = out.groupBy("source").agg(F.count("*").alias("n"), F.max(name["target"]).alias("goal"),
+                                        F.sum(F.col(name["size"]) * F.col(name["times"])).alias("taken"),
+                                        F.max(name["times"]).alias("most"), F.max(name["size"]).alias("size")).collect()
+        assert sorted((g.source, g.n) for g in got) == [("a", 500), ("b", 90), ("c", 40)]
+        for g in got:
+            assert g.most <= 3 and abs(g.taken - g.goal) <= (g.size / 2 + 1 if over else g.size)
+
+
 def shares(sizes, cap=3.0):
     """Targets by sharing again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
