@@ -5,9 +5,12 @@ rotation they are split into blocks of a few dimensions; two vectors within
 the radius are, in at least one block, within that block's share of the squared
 radius.  Each block is range-joined: a grid over its first ``grid`` coordinates
 with cells as wide as the block's radius brings such pairs into one cell or two
-neighbours, and every vector goes to its own cell and to the neighbours on one
-side.  Inside a cell the block distance filters by matrix products, and what
-passes is verified by the cosine of the original vectors in double precision.
+neighbours, and every vector goes to its own cell and to those neighbours on one
+side that its ball meets.  Inside a cell rows are sorted by the block's next
+coordinate, so that a few probes at a time meet only the rows within the radius
+of theirs; there the block distance filters by matrix products that stay in
+cache, and what passes is verified by the cosine of the original vectors in
+double precision.
 A pair is counted in the first block whose share it keeps, so the union over
 blocks counts it once.
 
@@ -35,9 +38,11 @@ from .common import by_value, col, components, per_process, stage, table
 
 by_value(__name__)
 
-BLOCK = 8          # dimensions of a block
+BLOCK = 16         # dimensions of a block: half as many copies as with 8, and as many pairs to compare
 GRID = 2           # of which so many make the grid
 TILE = 8192
+CHUNK = 128        # probes of one matrix product
+WIDE = 2048        # and rows they are compared with at once
 SEED = 11
 
 
@@ -64,23 +69,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _cells(cosine: float):
     """(cid, n, dim, vec) -> with the cells (block, x, y, home) it goes to."""
-    kind = pa.list_(pa.struct([("b", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("home", pa.bool_())]))
+    kind = pa.struct([("b", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("home", pa.bool_())])
+    beside = np.array([(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)])        # its own cell first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                r = rotated(_matrix(part.column(3)))
-                out = [[] for _ in range(part.num_rows)]
-                for b, (first, end, share) in enumerate(shares(dim, cosine)):
-                    cell = np.floor(r[:, first:min(first + GRID, end)] / np.sqrt(share)).astype(np.int64)
-                    flat = cell.shape[1] < 2
-                    beside = [(1, 0)] if flat else [(1, 0), (-1, 1), (0, 1), (1, 1)]
-                    for cells, (x, y) in zip(out, zip(cell[:, 0].tolist(), [0] * len(r) if flat else cell[:, 1].tolist())):
-                        cells.append({"b": b, "x": x, "y": y, "home": True})
-                        cells += [{"b": b, "x": x + i, "y": y + j, "home": False} for i, j in beside]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)],
+                r, blocks = rotated(_matrix(part.column(3))), shares(dim, cosine)
+                to = np.zeros((len(r), len(blocks), len(beside), 2), np.int64)
+                meets = np.ones(to.shape[:3], bool)
+                for b, (first, end, share) in enumerate(blocks):
+                    at = r[:, first:min(first + GRID, end)] / np.sqrt(share)        # in radii, as wide as a cell
+                    if at.shape[1] < 2:
+                        at = np.hstack([at, np.zeros_like(at)])
+                        meets[:, b, 2:] = False
+                    cell = np.floor(at)
+                    to[:, b] = cell.astype(np.int64)[:, None] + beside
+                    up, left = 1 - (at - cell), at[:, 0] - cell[:, 0]               # to the borders
+                    meets[:, b, 2] &= left ** 2 + up[:, 1] ** 2 <= 1 + 1e-6
+                    meets[:, b, 4] &= (up ** 2).sum(1) <= 1 + 1e-6
+                row, b, which = np.nonzero(meets)
+                cells = pa.StructArray.from_arrays(
+                    [pa.array(b.astype(np.int32)), pa.array(to[meets][:, 0]), pa.array(to[meets][:, 1]),
+                     pa.array(which == 0)], fields=list(kind))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(r)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), cells)],
                                                  names=[*part.schema.names, "cells"])
     return run
 
@@ -99,22 +114,40 @@ def _links(vec: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, cosine: fl
     return ok
 
 
+def windows(probe: np.ndarray, build: np.ndarray, radius: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Parts (of ``probe``, of ``build``) of two sorted coordinates that hold every
+    pair within ``radius``; if they are the same, each pair once at least."""
+    for at in range(0, len(probe), CHUNK):
+        to = min(at + CHUNK, len(probe))
+        low = np.searchsorted(build, probe[at] - radius)
+        high = np.searchsorted(build, probe[to - 1] + radius, "right")
+        for first in range(max(low, at) if same else low, high, WIDE):
+            yield at, to, first, min(first + WIDE, high)
+
+
 def join_tile(vec, n, probe, build, block: int, cosine: float, same: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links between the rows ``probe`` and ``build`` of a cell (each pair once
     if they are the same): number of linked vectors per row, spanning links."""
     rot = rotated(vec)
     first, end, share = shares(vec.shape[1], cosine)[block]
     sub = rot[:, first:end].astype(np.float32)
-    norm = (sub * sub).sum(1)
+    most = np.float32(share + 1e-5)               # wider than single precision can move a distance
+    c = sub[:, min(GRID, end - first - 1)]
+    probe, build = probe[np.argsort(c[probe])], build[np.argsort(c[build])]
+    norm, one = (sub * sub).sum(1, keepdims=True), np.ones((len(sub), 1), np.float32)
+    left = np.hstack([-2 * sub, norm, one])[probe]
+    right = np.ascontiguousarray(np.hstack([sub, one, norm])[build].T)
     count, label, out = np.zeros(len(vec), np.int64), np.arange(len(vec)), []
-    for at in range(0, len(probe), 512):
-        rows = probe[at:at + 512]
-        d = norm[rows][:, None] + norm[build][None, :] - 2 * (sub[rows] @ sub[build].T)
-        i, j = np.nonzero(d <= share + 1e-5)
-        a, b = rows[i], build[j]
+    for at, to, b0, b1 in windows(c[probe], c[build], float(np.sqrt(most)) + 1e-5, same):
+        near = np.flatnonzero((left[at:to] @ right[:, b0:b1]).ravel() <= most)
+        i, j = np.divmod(near, b1 - b0)
+        i, j = i + at, j + b0
         if same:
-            once = a < b
-            a, b = a[once], b[once]
+            once = i < j
+            i, j = i[once], j[once]
+        if not len(i):
+            continue
+        a, b = probe[i], build[j]
         ok = _links(vec, a, b, block, cosine, rot)
         a, b = a[ok], b[ok]
         np.add.at(count, a, n[b])
@@ -167,11 +200,11 @@ def _join(cosine: float):
     return run
 
 
-def link_counts(classes: DataFrame, cosine: float, tile: int) -> DataFrame:
+def link_counts(classes: DataFrame, cosine: float, tile: int, kind: str = "float") -> DataFrame:
     """``classes(cid, n, dim, vec)`` -> rows (a, -1, n): links of class a found
     in one tile, and (a, b, 0): spanning links."""
     cell = ["dim", "b", "x", "y"]
-    placed = classes.mapInArrow(_cells(cosine), "cid long, n long, dim int, vec array<float>, "
+    placed = classes.mapInArrow(_cells(cosine), f"cid long, n long, dim int, vec array<{kind}>, "
                                 "cells array<struct<b:int,x:bigint,y:bigint,home:boolean>>")
     placed = stage(placed, "vector-cells").select("cid", "n", "dim", "vec", F.explode("cells").alias("c")).select(
         "cid", "n", "dim", "c.*", "vec")
@@ -215,8 +248,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                                                         F.first("vec").alias("vec"))
                .withColumn("cid", F.monotonically_increasing_id()))
     classes = stage(classes, "vector-classes")    # from here the class ids are fixed
-    found = stage(link_counts(classes.select("cid", "n", F.size("vec").alias("dim"), F.col("vec").cast("array<float>").alias("vec")),
-                              cosine, tile), "vector-links")
+    kind = "float" if classes.schema["vec"].dataType.elementType.simpleString() == "float" else "double"
+    found = stage(link_counts(classes.select("cid", "n", F.size("vec").alias("dim"), F.col("vec").cast(f"array<{kind}>").alias("vec")),
+                              cosine, tile, kind), "vector-links")
     count = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b >= 0").select("a", "b"))
     joined = stage(classes.drop("vec").join(count, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

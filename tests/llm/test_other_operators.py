@@ -45,6 +45,38 @@ def test_vectors(spark, dim, tile):
     assert by_text(tuple(r) for r in V.near_vectors(df, tile=tile).collect()) == vectors(rows)
 
 
+@pytest.mark.parametrize("n", [500, 1000, 2000])
+def test_windows_hold_every_near_pair(n):
+    rng = np.random.default_rng(n)
+    c = np.sort(rng.normal(size=n) * 0.125)
+    for same, other in ((True, c), (False, np.sort(rng.normal(size=n // 2) * 0.125))):
+        seen, cost = np.zeros((n, len(other)), bool), 0
+        for at, to, first, end in V.windows(c, other, 0.05, same):
+            assert end - first <= V.WIDE and to - at <= V.CHUNK
+            seen[at:to, first:end] = True
+            cost += (to - at) * (end - first)
+        near = np.abs(c[:, None] - other[None, :]) <= 0.05
+        assert seen[np.triu(near, 1) if same else near].all() and cost < (0.4 if same else 0.6) * n * len(other)
+
+
+@pytest.mark.parametrize("n", [300, 900, 2700])
+def test_planted_links_at_every_cosine(spark, n):
+    """Pairs on either side of the threshold, by one angle each, among random vectors."""
+    rng, dim, rows, want = np.random.default_rng(n), 64, [], {}
+    for k in range(n // 3):
+        x, y = rng.normal(size=(2, dim))
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        y /= np.linalg.norm(y)
+        cos = (0.95 + 1e-9, 0.96, 0.99, 0.95 - 1e-9, 0.94)[k % 5]   # told apart in double precision only
+        rows += [(3 * k, x), (3 * k + 1, cos * x + np.sqrt(1 - cos * cos) * y), (3 * k + 2, rng.normal(size=dim))]
+        linked = int(cos > 0.95)
+        want |= {3 * k: (linked, 3 * k), 3 * k + 1: (linked, 3 * k + 1 - linked), 3 * k + 2: (0, 3 * k + 2)}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(df, tile=256).collect()}
+    assert got == want
+
+
 def test_no_vectors(spark):
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
