@@ -58,10 +58,11 @@ def _pairs(ranked: DataFrame, shift: int) -> DataFrame:
     return ranked.select(*POS, F.col("rank").alias("r1")).join(on, POS)
 
 
-def doubled(lines: DataFrame, min_lines: int) -> tuple[DataFrame, int] | None:
+def doubled(lines: DataFrame, min_lines: int, longest: bool = True) -> tuple[DataFrame, int] | None:
     """``lines(d, t, n, h1, h2, long)`` -> suffixes that repeat an earlier run of
     ``min_lines`` lines, or an earlier long line (d, t, n), with the largest power
-    of two they repeat (1: the long line); and the number of rounds."""
+    of two they repeat (1: the long line); and the number of rounds.  Without
+    ``longest`` rounds end at ``min_lines``, the level that decides what goes."""
     level = _ranked(lines, ["h1", "h2"], ("long",))
     size, rounds, copies = 1, 0, []
     if level is not None:
@@ -72,6 +73,8 @@ def doubled(lines: DataFrame, min_lines: int) -> tuple[DataFrame, int] | None:
             if runs is None:
                 break
             copies.append(_later(runs, min_lines))
+            if not longest:
+                break
         elif size > min_lines:
             copies.append(_later(level, size))
         level, size, rounds = _ranked(_pairs(level, size), ["r1", "r2"]), 2 * size, rounds + 1
@@ -100,9 +103,10 @@ def _long(line: Column, min_words: int | None) -> Column:
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int,
-           min_words: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+           min_words: int | None = None, longest: bool = True) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the places of the lines to delete (null: none) and the
-    longest repeated run known, a power of two; and their names."""
+    longest repeated run known, a power of two (without ``longest`` at most
+    ``min_lines``); and their names."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     names = ["d", "t", "gone", "longest"]
@@ -113,7 +117,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, min_lines: int,
     lines = (based.select(F.col(own["d"]).alias("d"), F.col(own["t"]).alias("t"), F.posexplode(_lines(text)).alias("n", "s"))
              .select("d", "t", "n", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"),
                      _long(F.col("s.x"), min_words).alias("long")))
-    found = doubled(stage(lines.distinct(), "lines"), min_lines)
+    found = doubled(stage(lines.distinct(), "lines"), min_lines, longest)
     if found is None:
         return based.withColumns({own["gone"]: F.lit(None).cast("array<int>"), own["longest"]: F.lit(0)}), own
     gone = stage(found[0].groupBy("d", "t").agg(
@@ -138,8 +142,9 @@ def _without(text: Column, gone: Column) -> Column:
 
 def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """The documents without the lines of later copies, own columns only."""
-    out, own = marked(docs, id_col, text_col, min_lines, min_words)
+    """The documents without the lines of later copies, own columns only.  What
+    goes is decided at the level of ``min_lines``, so doubling ends there."""
+    out, own = marked(docs, id_col, text_col, min_lines, min_words, longest=False)
     done = out.withColumn(text_col, _without(col(out, text_col), F.col(own["gone"])))
     return done.select(*[col(done, c) for c in docs.columns])
 
