@@ -52,10 +52,10 @@ def model_path(name: str = MODEL) -> str:
 class PieceCodec(dict):
     """Maps a unit of text to (its ids as text, its decoded text)."""
 
-    def __init__(self, model: bytes, remembered: int = CACHED_UNITS):
+    def __init__(self, model: bytes, remembered: int | None = None):
         import ahocorasick
         import sentencepiece
-        self.remembered = remembered
+        self.remembered = CACHED_UNITS if remembered is None else remembered
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(size)]
