@@ -146,8 +146,11 @@ MAX_COLUMNS = 63         # widest export that is read; a wider one is an error
 
 
 def _cells(reader) -> object:
-    """Reader of CSV rows as text cells, whatever their headers."""
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(MAX_COLUMNS + 1)])
+    """Reader of CSV rows as text cells, whatever their headers.  One declared column
+    more than is ever read: Spark then has the parser pick columns by position, and
+    cells that a row lacks come as NULL; with all of them read, each lacking cell
+    and each row would be an exception caught inside the parser."""
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(MAX_COLUMNS + 2)])
     return (reader.schema(schema).option("header", False).option("escape", '"').option("quote", '"')
             .option("nullValue", NULL_MARK).option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False).option("recursiveFileLookup", True))
@@ -167,7 +170,10 @@ def _norm(name: Column) -> Column:
 
 
 def _is_header(key: str) -> Column:
-    return F.coalesce(F.exists("cells", lambda c: _norm(c) == F.lit(key.lower())), F.lit(False))
+    """Whether a cell is ``key``.  The row's text is searched first: cells are only
+    looked at one by one where it holds the key."""
+    holds = F.lower(F.array_join("cells", "\n")).contains(key.strip().lower())
+    return holds & F.coalesce(F.exists("cells", lambda c: _norm(c) == F.lit(key.lower())), F.lit(False))
 
 
 def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple | None = None) -> DataFrame:
@@ -187,11 +193,14 @@ def by_header(rows: DataFrame, key: str = "Employee No", extra: tuple | None = N
         F.max(F.struct(F.size(F.array_intersect(names, known)).alias("n"), F.col("cells"), names.alias("names"))).alias("h"))
     heads = materialize(heads.select("source_file", F.col("h.cells").alias("head"), F.col("h.names").alias("names")))
     extra = tuple(headers(heads)) if extra is None else extra
+    # where each column stands is found once per file; a column it lacks is at -1, outside any row
+    place = {c: f"_at_{i}" for i, c in enumerate((*RAW_SCHEMA.fieldNames(), *extra))}
+    heads = heads.select("source_file", "head", *[
+        (F.array_position("names", F.lit(c.strip().lower())) - 1).cast("int").alias(at) for c, at in place.items()])
     body = rows.join(heads, "source_file", "left").where(~F.col("cells").eqNullSafe(F.col("head")))
 
     def cell(name):
-        at = F.array_position("names", F.lit(name.strip().lower()))
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
+        return F.get("cells", F.col(place[name]))
     number = (T.DoubleType,)
     cols = [(cell(f.name).try_cast(f.dataType) if isinstance(f.dataType, number) or f.name == "Received On" else cell(f.name))
             .alias(f.name) for f in RAW_SCHEMA.fields]

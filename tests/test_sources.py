@@ -142,3 +142,34 @@ def test_no_landed_row_is_lost_in_batch_and_stream(spark):
         bad = sorted((r.reason, r.row) for r in read_rejects(spark, t).collect())
         assert [b[0] for b in bad] == ["no_header", "no_header", "null_key"]
         assert bad[0][1] == '{"cells":["E3","2024-06-03 10:00:00",null,"a"]}' and '"Gate":"g9"' in bad[2][1]
+
+
+def test_short_rows_are_no_malformed_rows(spark):
+    """Rows with fewer cells than the widest export are read without an exception
+    caught per lacking cell: the strictest mode takes them, in batch and stream."""
+    from swipeflow.sources import fixture as FX
+    landing = work_path(spark, "short")
+    IO.write_csv_quoted(FX.raw_batch(FX.read_events(spark, SF_SMALL), 1).limit(50).coalesce(1), landing)
+    want = sorted(str(r.cells) for r in IO.with_file(IO._cells(spark.read).csv(landing)).collect())
+    assert len(want) == 51
+    strict = IO.with_file(IO._cells(spark.read).option("mode", "FAILFAST").csv(landing))
+    assert sorted(str(r.cells) for r in strict.collect()) == want
+    got = []
+    IO.with_file(IO._cells(spark.readStream).option("mode", "FAILFAST").csv(landing)).writeStream.foreachBatch(
+        lambda b, _: got.extend(str(r.cells) for r in b.collect())).option(
+        "checkpointLocation", work_path(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == want
+
+
+def test_columns_are_placed_once_per_file(spark):
+    """Files with other orders, lacking and further columns; places are no work per row."""
+    rows = [("f1", ["Remarks", " employee NO ", "Gate"]), ("f1", ["r", "E1", "g"]), ("f1", ["s"]),
+            ("f2", ["Employee No", "Swipe Date"]), ("f2", ["Employee No: none", "x"]), ("f2", [None, "y", "beyond"]), ("f3", ["E9", None])]
+    out = IO.by_header(spark.createDataFrame(rows, "source_file string, cells array<string>"))
+    got = sorted(((r["source_file"], r["Employee No"], r["Swipe Date"], r["Remarks"], r["Gate"], r["_no_header"]) for r in
+                  out.withColumnRenamed(IO.NO_HEADER, "_no_header").collect()), key=str)
+    assert got == sorted([("f1", "E1", None, "r", "g", None), ("f1", None, None, "s", None, None),
+                          ("f2", "Employee No: none", "x", None, None, None), ("f2", None, "y", None, None, None),
+                          ("f3", None, None, None, None, '{"cells":["E9"]}')], key=str)
+    per_row = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "_at_0" in per_row and "array_position" not in per_row
