@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import types
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,7 +137,9 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFra
         offsets.append((r[part], run))
         run += r[base] or 0
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offs = df.sparkSession.createDataFrame(offsets, f"{part} int, {base} long")
+    # as an Arrow table: rows of Python objects would start Python workers on the executors to read them
+    offs = df.sparkSession.createDataFrame(pa.table({
+        part: pa.array([p for p, _ in offsets], pa.int32()), base: pa.array([b for _, b in offsets], pa.int64())}))
     return (parts.join(F.broadcast(offs), part)
             .withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(base))
             .drop(part, base))

@@ -218,6 +218,12 @@ class PieceCodec(dict):
             self.clear()
         self[unit] = value
 
+    def forget(self) -> None:
+        """Give back what was remembered; the tables of the pieces stay."""
+        self.clear()
+        self.old.clear()
+        self.pairs.clear()
+
     def both(self, text: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text) of a whole text."""
         if not text:
@@ -243,24 +249,27 @@ def _digests(model: bytes):
     return run
 
 
-def _ids(model: bytes):
-    def some(batch: pa.RecordBatch, texts: list[str], codec: PieceCodec) -> pa.RecordBatch:
-        got = [codec.both(t) for t in texts]
+def _ids(model: bytes, at: int, columns: int):
+    """Answers for column ``at``, beside the first ``columns`` columns."""
+    def some(batch: pa.RecordBatch, got: list[tuple[str, str]]) -> pa.RecordBatch:
         values = np.fromstring(",".join(ids for ids, _ in got if ids), dtype=np.int32, sep=",")
         ends = np.cumsum([0, *(ids.count(",") + 1 if ids else 0 for ids, _ in got)], dtype=np.int32)
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-             pa.array([text for _, text in got], pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
+            [*batch.columns[:columns], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+             pa.array([text for _, text in got], pa.string())], names=[*batch.schema.names[:columns], "ids", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_process(("pieces", hash(model), "rows"), lambda: PieceCodec(model, CACHED_BESIDE_ROWS))
         for batch in batches:
-            texts, first, size = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):     # answer in small batches: ids take more room than text
-                size += len(t)
-                if size > ANSWER_CHARS or i + 1 == len(texts):
-                    yield some(batch.slice(first, i + 1 - first), texts[first:i + 1], codec)
-                    first, size = i + 1, 0
+            got, first, size = [], 0, 0
+            for i, text in enumerate(batch.column(at)):  # one text at a time: a batch is held once, as it came
+                text = text.as_py() or ""
+                got.append(codec.both(text))
+                size += len(text)
+                if size > ANSWER_CHARS or i + 1 == batch.num_rows:   # answer in small batches: ids take more room than text
+                    yield some(batch.slice(first, len(got)), got)
+                    got, first, size = [], i + 1, 0
+        codec.forget()                    # the worker lives on beside later steps
     return run
 
 
@@ -272,11 +281,13 @@ def _model(path: str | None) -> bytes:
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with two more columns: ids (array of int) and decoded text,
     named ``ids`` and ``decoded`` (with underscores added if taken)."""
-    (raw, ids, decoded) = fresh(docs, "raw", "ids", "decoded")
+    ids, decoded = fresh(docs, "ids", "decoded")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    df = docs.toDF(*names).withColumn(raw, text_of(F.col(names[docs.columns.index(text_col)])))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    out = df.mapInArrow(_ids(_model(path)), f"{schema}, ids array<int>, decoded string")
+    df, at = docs.toDF(*names), docs.columns.index(text_col)
+    schema = ", ".join(f"{n} {kind}" for n, kind in df.dtypes)
+    if df.dtypes[at][1] != "string":      # else the column itself travels, once
+        df, at = df.withColumn("raw", text_of(F.col(names[at]))), len(names)
+    out = df.mapInArrow(_ids(_model(path), at, len(names)), f"{schema}, ids array<int>, decoded string")
     return out.toDF(*docs.columns, ids, decoded)
 
 

@@ -58,7 +58,7 @@ def fingerprint(text: str, k: int = 3, seed: int = 42) -> int:
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t, k) for t in b.column(1).to_pylist()], pa.int64())
+            fp = pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())  # one text at a time
             yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["id", "fp"])
     return run
 
